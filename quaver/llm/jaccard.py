@@ -37,7 +37,7 @@ from ._common import parts, table, written
 
 N, THRESHOLD = 5, 0.8
 RUNS, FAN = 8, 2.0
-SPLIT, BLOCK = 512, 512
+SPLIT, BLOCK = 512, 1536
 _NONE = -(1 << 63)
 _SEEDS = V.mix(np.arange(1, 1 + 64, dtype=np.uint64))
 
@@ -128,42 +128,43 @@ def _spread(n: int):
 
 
 def linked(sets: list[np.ndarray], others: list[np.ndarray], bucket: int, part: np.ndarray | None, threshold: float) -> np.ndarray:
-    """Pairs (i, j), i < j, that this task of the bucket owns and whose Jaccard reaches the threshold."""
+    """Pairs (i, j) that this task of the bucket owns and whose Jaccard reaches the threshold; ``part`` tells two blocks apart."""
     size = np.array([len(s) for s in sets])
-    n = len(sets)
-    small, large = np.minimum.outer(size, size), np.maximum.outer(size, size)
-    own = np.triu(small >= threshold * large, 1)
-    if part is not None:  # a pair of two blocks; pairs inside a block are another task's
-        own &= part[:, None] != part[None, :]
+    left = np.arange(len(sets)) if part is None else np.flatnonzero(part == part.min())
+    right = left if part is None else np.flatnonzero(part != part.min())
+    own = np.minimum.outer(size[left], size[right]) >= threshold * np.maximum.outer(size[left], size[right])
+    if part is None:
+        own = np.triu(own, 1)
     before = [o[o < bucket] for o in others]
-    if any(len(o) for o in before):
-        own &= ~(_common(before, np.float32) > 0)
-    pairs = np.argwhere(own)
-    if not len(pairs):
-        return pairs
-    if len(pairs) <= 4 * n:
-        common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in pairs.tolist()])
+    if own.any() and any(len(o) for o in before):
+        own &= ~(_common(before, left, right) > 0)
+    x, y = np.nonzero(own)
+    if not len(x):
+        return np.zeros((0, 2), np.int64)
+    if len(x) <= 4 * len(sets):
+        common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(left[x].tolist(), right[y].tolist())])
     else:
-        common = _common(sets, np.float32)[pairs[:, 0], pairs[:, 1]]
+        common = _common(sets, left, right)[x, y]
+    pairs = np.stack([left[x], right[y]], 1)
     return pairs[common >= threshold * (size[pairs].sum(1) - common) - 1e-9]
 
 
-def _common(sets: list[np.ndarray], kind) -> np.ndarray:
-    """Sizes of all intersections, from an incidence matrix of the values that occur more than once."""
-    n = len(sets)
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of left and right sets, from incidence matrices of the values that occur more than once."""
     flat = np.concatenate(sets)
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
-    values, back, count = np.unique(flat, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, back, count = np.unique(flat, return_inverse=True, return_counts=True)
     keep = count[back] > 1
-    column = (np.cumsum(count > 1) - 1)[back[keep]]
-    row = row[keep]
-    out = np.zeros((n, n), kind)
-    width = 4096
+    column, row = (np.cumsum(count > 1) - 1)[back[keep]], row[keep]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    width = 2048
     for a in range(0, int((count > 1).sum()), width):
-        m = np.zeros((n, width), kind)
-        own = (column >= a) & (column < a + width)
+        m = np.zeros((len(sets), width), np.float32)
+        own = slice(*np.searchsorted(column, [a, a + width]))
         m[row[own], column[own] - a] = 1
-        out += m @ m.T
+        out += m[left] @ m[right].T
     return out
 
 
