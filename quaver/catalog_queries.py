@@ -1,9 +1,104 @@
+"""Queries of the catalog operators over the driver's tables, each with its DuckDB equivalent."""
+
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .operators import checks, corpus, search, stats
+from .sources import catalog as C
+
+Query = Callable[[SparkSession, str], DataFrame]
+_FIELDS = "title, coalesce(composer_names, '') AS artist, artist_note, title_length, s.song_url, popularity_label, popularity_score, published_year, sort_order"
+_FROM = "FROM songs s JOIN details d ON s.song_url = d.url LEFT JOIN (SELECT song_url, string_agg(name, ' / ' ORDER BY name) AS composer_names FROM people GROUP BY 1) n ON n.song_url = s.song_url"
+_TAIL = "popularity_score DESC, popularity_order, sort_order"
+
+
+def _search(where: str = "", lead: str = "", page: str = "LIMIT 50") -> str:
+    return f"{C.SQL} SELECT {_FIELDS} {_FROM} {'WHERE ' + where if where else ''} ORDER BY {lead}{_TAIL} {page}"
+
+
+_COMPOSER = "EXISTS (SELECT 1 FROM people p WHERE p.song_url = s.song_url AND contains(p.normalized_name, 'supplier#00000000'))"
+_SEARCHES: dict[str, tuple[dict, str]] = {
+    "search_default": ({}, _search()),
+    "search_length": ({"length": 9}, _search("title_length = 9")),
+    "search_label": ({"labels": ("PROMO", "LARGE")}, _search("popularity_label IN ('PROMO', 'LARGE')")),
+    "search_year": ({"year": 1997}, _search("published_year = 1997")),
+    "search_composer": ({"composer": " SUPPLIER#00000000"}, _search(_COMPOSER)),
+    "search_combined": ({"composer": "supplier#00000000", "labels": ("PROMO",), "length": 9}, _search(f"{_COMPOSER} AND popularity_label = 'PROMO' AND title_length = 9")),
+    "search_len_asc": ({"sort": "title_length_asc"}, _search(lead="title_length, ")),
+    "search_len_desc": ({"sort": "title_length_desc"}, _search(lead="title_length DESC, ")),
+    "search_year_asc": ({"sort": "published_year_asc", "limit": None}, _search(lead="published_year ASC NULLS LAST, ", page="")),
+    "search_year_desc": ({"sort": "published_year_desc", "offset": 50}, _search(lead="published_year DESC NULLS LAST, ", page="LIMIT 50 OFFSET 50")),
+    "search_page_past_end": ({"offset": 100_000_000}, _search(page="LIMIT 50 OFFSET 100000000")),
+}
+
+
+def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = F.element_at(F.create_map(*[F.lit(x) for pair in (("purchase", 1200), ("signup", 1000), ("click", 950), ("view", 800), ("error", 750)) for x in pair]), F.col("event_type"))
+    rank = F.element_at(F.create_map(*[F.lit(x) for pair in (("purchase", 0), ("signup", 1), ("click", 2), ("view", 3), ("error", 4)) for x in pair]), F.col("event_type"))
+    return C.read(spark, sf_dir, "events").select(F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("title"), F.col("event_type").alias("tag"), rank.alias("tag_rank"), scored.alias("score"), F.col("event_id").alias("position"))
+
+
+_TAGS = "SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS title, event_type AS tag, CASE event_type WHEN 'purchase' THEN 1200 WHEN 'signup' THEN 1000 WHEN 'click' THEN 950 WHEN 'view' THEN 800 ELSE 750 END::INT AS score, CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 4 END AS tag_rank, event_id AS position FROM events"
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.read(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.read(spark, sf_dir, "pages")
+
+
+def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tags(spark, sf_dir).select("title", "position", "tag")
+    return corpus.merge_unique(t.filter("tag = 'purchase'"), t.filter("tag = 'view'"), t.filter("tag = 'click'")).select("title", "tag", "position")
+
+
+_DERIVED: dict[str, tuple[Query, str | None]] = {
+    "search_total": (lambda s, d: search.total(C.catalog(s, d), labels=("PROMO",), composer="supplier#00000000"), f"{C.SQL} SELECT count(*) AS total FROM songs s JOIN details d ON s.song_url = d.url WHERE popularity_label = 'PROMO' AND {_COMPOSER}"),
+    "detail_lookup": (lambda s, d: search.detail(C.catalog(s, d), "https://catalog.example.test/pages/42.html").select("url", "published_year"), f"{C.SQL} SELECT url, published_year FROM details WHERE url = 'https://catalog.example.test/pages/42.html'"),
+    "worklist": (lambda s, d: search.worklist(C.catalog(s, d)), f"{C.SQL} SELECT song_url FROM songs"),
+    "popularity_labels": (lambda s, d: stats.by_label(C.songs(s, d)).select("popularity_label"), f"{C.SQL} SELECT DISTINCT popularity_label FROM songs WHERE popularity_label <> ''"),
+    "stats_by_length": (lambda s, d: stats.buckets(C.songs(s, d), "title_length"), f"{C.SQL} SELECT title_length, count(*) AS n FROM songs GROUP BY 1"),
+    "stats_by_year": (lambda s, d: stats.buckets(C.details(s, d), "published_year"), f"{C.SQL} SELECT published_year, count(*) AS n FROM details WHERE published_year IS NOT NULL GROUP BY 1"),
+    "stats_by_label": (lambda s, d: stats.by_label(C.songs(s, d)), f"{C.SQL} SELECT popularity_label, count(*) AS n FROM songs WHERE popularity_label <> '' GROUP BY 1"),
+    "stats_top_composers": (lambda s, d: stats.top_composers(C.people(s, d)), f"{C.SQL} SELECT min(name) AS name, count(DISTINCT song_url) AS n FROM people GROUP BY normalized_name ORDER BY n DESC, name LIMIT 30"),
+    "stats_scalars": (lambda s, d: stats.scalars(C.catalog(s, d)), f"{C.SQL} SELECT (SELECT count(*) FROM songs) AS songs, (SELECT count(*) FROM details) AS details, (SELECT count(published_year) FROM details) AS with_year, (SELECT count(DISTINCT song_url) FROM people) AS with_composer"),
+    "stats_bars": (lambda s, d: stats.bars(stats.buckets(C.songs(s, d), "title_length")), f"{C.SQL}, c AS (SELECT title_length, count(*) AS n FROM songs GROUP BY 1) SELECT title_length, n, greatest(4, round(100 * n / (SELECT max(n) FROM c)))::BIGINT AS width FROM c"),
+    "tag_resolution": (lambda s, d: corpus.best_tag(_tags(s, d)), f"SELECT title, score, tag, position FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY score DESC, tag_rank, position) AS r FROM ({_TAGS})) WHERE r = 1"),
+    "merge_unique": (_merge, f"SELECT title, tag, position FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY CASE tag WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 ELSE 2 END, position) AS r FROM ({_TAGS}) WHERE tag IN ('purchase', 'view', 'click')) WHERE r = 1"),
+    "title_split": (lambda s, d: C.songs(s, d).select("raw_title", "title", "artist", "artist_note"), f"{C.SQL} SELECT raw_title, title, artist, artist_note FROM songs"),
+    "title_length": (lambda s, d: _docs(s, d).select("doc_id", X.title_length(F.col("text")).cast("long").alias("n")), "SELECT doc_id, length_grapheme(regexp_replace(nfc_normalize(text), '\\s', '', 'g'))::BIGINT AS n FROM documents"),
+    "clean_text": (lambda s, d: _docs(s, d).select("doc_id", F.md5(X.clean_text(F.col("text"))).alias("h")), "SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS h FROM documents"),
+    "useful_lines_count": (lambda s, d: _docs(s, d).select("doc_id", F.size(X.useful_lines(F.col("text"))).cast("long").alias("n")), "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS n FROM documents"),
+    "nfkc_names": (lambda s, d: C.read(s, d, "supplier").select("s_suppkey", X.credit_name(F.col("s_name")).alias("name")), "SELECT s_suppkey, lower(trim(s_name)) AS name FROM supplier"),
+    "page_title": (lambda s, d: _pages(s, d).select("page_id", corpus.page_title(F.col("html")).alias("title")), "SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages"),
+    "page_links": (lambda s, d: corpus.links(_pages(s, d)).select("page_id", F.col("position").cast("long").alias("position"), "href"), "SELECT page_id, (i - 1)::BIGINT AS position, l[i] AS href FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*?href=[\"'']([^\"'']*)[\"'']', 1) AS l FROM pages))"),
+    "page_link_count": (lambda s, d: stats.buckets(corpus.links(_pages(s, d)), "page_id"), "SELECT page_id, sum(len(regexp_extract_all(html, '(?i)<a\\s[^>]*?href=[\"'']([^\"'']*)[\"'']', 1)))::BIGINT AS n FROM pages GROUP BY 1 HAVING n > 0"),
+    "last_page": (lambda s, d: _pages(s, d).select("page_id", corpus.last_page(F.col("html")).alias("n")), "SELECT page_id, coalesce(list_max(list_transform(regexp_extract_all(html, '[?&]p=(\\d+)', 1), lambda x: x::INT)), 1) AS n FROM pages"),
+    "url_parts": (lambda s, d: _pages(s, d).select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("PATH")).alias("path")), "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages"),
+    "url_decode": (lambda s, d: _pages(s, d).select("page_id", X.url_decoded(F.url_encode(F.col("url"))).alias("url")), "SELECT page_id, url FROM pages"),
+    "json_props": (lambda s, d: C.read(s, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k")), "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events"),
+    "json_counters": (lambda s, d: checks.json_counters(C.read(s, d, "events"), "props"), "SELECT count(*) AS n, count(*) FILTER (WHERE NOT json_valid(props)) AS invalid, count(*) FILTER (WHERE json_type(props) = 'OBJECT') AS objects FROM events"),
+    "orphan_orders": (lambda s, d: checks.orphans(C.read(s, d, "customer").select("c_custkey"), C.read(s, d, "orders"), "c_custkey", "o_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "orphan_details": (lambda s, d: checks.orphans(C.details(s, d).select("url"), C.people(s, d), "url", "song_url"), f"{C.SQL} SELECT url FROM details WHERE url NOT IN (SELECT song_url FROM people)"),
+    "scan_emails": (lambda s, d: checks.emails(_docs(s, d)), f"SELECT doc_id, line, value FROM (SELECT doc_id, i::BIGINT AS line, unnest(regexp_extract_all(l[i], '{checks.EMAIL}')) AS value FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))) WHERE NOT ends_with(lower(value), '@example.com')"),
+    "scan_ips": (lambda s, d: checks.public_ips(_docs(s, d)), None),
+    "scan_secrets": (lambda s, d: checks.secret_assignments(_docs(s, d)).select("doc_id", "line", F.md5("value").alias("h")), None),
+    "duplicate_headings": (lambda s, d: stats.duplicates(_docs(s, d).select(F.md5("text").alias("h")), "h"), "SELECT md5(text) AS h, count(*) AS n FROM documents GROUP BY 1 HAVING n > 1"),
+    "profile_latency": (lambda s, d: stats.latency(C.read(s, d, "events"), "event_type", "value"), "SELECT event_type, round(min(value), 2) AS min_ms, round(median(value), 2) AS median_ms, round(max(value), 2) AS max_ms FROM events GROUP BY 1"),
+}
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Query]:
+    found = {k: (lambda s, d, how=how: search.search(C.catalog(s, d), **how)) for k, (how, _) in _SEARCHES.items()}
+    return found | {k: q for k, (q, _) in _DERIVED.items()}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {k: sql for k, (_, sql) in _SEARCHES.items()} | {k: sql for k, (_, sql) in _DERIVED.items() if sql}
