@@ -4,7 +4,7 @@ A text is the set of its ``N``-word shingles.  In each of ``RUNS`` runs a set
 walks a tree: at every node it follows the shared tokens whose hash with the
 node falls under ``FAN / |set|``, so similar sets choose the same children.
 Sets at the same second-level node form a bucket; buckets over ``SPLIT`` sets
-recurse once more.  A pair of Jaccard 0.8 survives one run with probability of
+recurse once more, unless their children together would cost more comparisons.  A pair of Jaccard 0.8 survives one run with probability of
 at least 0.72 (0.68 where it recurses), so eight runs miss it with one chance in ten thousand
 or less, and more similar pairs far more rarely.
 
@@ -252,9 +252,15 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, runs: int
     stats2 = written(sized(two))
     over = stats2.filter(F.col("c") > split).select(F.col("bucket").alias("parent"))
     three = sets.select("set", F.explode(F.arrays_zip("three", "parent")).alias("z")).select("set", F.col("z.three").alias("bucket"), F.col("z.parent").alias("parent"))
-    three = written(three.join(over, "parent", "left_semi").select("set", "bucket"))
+    three = written(three.join(over, "parent", "left_semi"))
     stats3 = sized(three)
-    stats = stats2.filter(F.col("c") <= split).unionByName(stats3)
+    # near copies stay together below: such a bucket is cheaper whole
+    below = stats3.join(three.select("bucket", "parent").distinct(), "bucket").groupBy("parent").agg(F.sum(F.col("c") * F.col("c")).alias("cost"))
+    judged = stats2.join(below.withColumnRenamed("parent", "bucket"), "bucket", "left")
+    whole = (F.col("c") <= split) | (F.coalesce("cost", F.lit(0)) >= F.col("c") * F.col("c"))
+    divided = judged.filter(~whole).select(F.col("bucket").alias("parent"))
+    three = written(three.join(divided, "parent", "left_semi").select("set", "bucket"))
+    stats = judged.filter(whole).drop("cost").unionByName(sized(three))
     kept = written(stats.groupBy("c", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("c") / block).cast("long").alias("g")))
     members = two.unionByName(three).join(kept, "bucket")
     per_set = members.groupBy("set").agg(F.collect_set(F.struct("bucket", "g")).alias("bs"))
