@@ -10,7 +10,7 @@ or less, and more similar pairs far more rarely.
 
 Buckets are brute-forced exactly.  Buckets with the same members are the same
 bucket; each pair counts in the smallest bucket it has in common; larger ones
-are dealt out as pairs of blocks of ``BLOCK`` sets.  Only link counts and a
+are dealt out as pairs of blocks of ``BLOCK`` sets and ``TOKENS`` shingles.  Only link counts and a
 spanning forest leave a task, never pairs.  Classes are connected components by
 alternating stars over written tables.
 
@@ -38,6 +38,8 @@ from ._common import parts, table, written
 N, THRESHOLD = 5, 0.8
 RUNS, FAN = 8, 2.0
 SPLIT, BLOCK = 512, 1536
+#: Shingles in one block at most, as a mean, and values compared at once.
+TOKENS, FLAT = 5_000_000, 2_000_000
 _NONE = -(1 << 63)
 _SEEDS = V.mix(np.arange(1, 1 + 64, dtype=np.uint64))
 
@@ -150,21 +152,29 @@ def linked(sets: list[np.ndarray], others: list[np.ndarray], bucket: int, part:
 
 
 def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of left and right sets, from incidence matrices of the values that occur more than once."""
-    flat = np.concatenate(sets)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, back, count = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = count[back] > 1
-    column, row = (np.cumsum(count > 1) - 1)[back[keep]], row[keep]
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
+    """Sizes of the intersections of left and right sets, from incidence matrices of the values that occur more than once.
+
+    The sets are sorted, so ranges of values are looked at one after another: memory follows FLAT, not the bucket.
+    """
     out = np.zeros((len(left), len(right)), np.float32)
-    width = 2048
-    for a in range(0, int((count > 1).sum()), width):
-        m = np.zeros((len(sets), width), np.float32)
-        own = slice(*np.searchsorted(column, [a, a + width]))
-        m[row[own], column[own] - a] = 1
-        out += m[left] @ m[right].T
+    ranges = -(-sum(len(s) for s in sets) // FLAT)
+    least, most = (int(f([f(s) for s in sets if len(s)], default=0)) for f in (min, max))
+    edges = [least + (most + 1 - least) * k // ranges for k in range(ranges + 1)] if ranges else []
+    at = np.array([np.searchsorted(s, np.array(edges[:-1], s.dtype)).tolist() + [len(s)] for s in sets]) if ranges else np.zeros((len(sets), 1), int)
+    for k in range(ranges):
+        flat = np.concatenate([s[a:b] for s, a, b in zip(sets, at[:, k].tolist(), at[:, k + 1].tolist())])
+        row = np.repeat(np.arange(len(sets)), at[:, k + 1] - at[:, k])
+        _, back, count = np.unique(flat, return_inverse=True, return_counts=True)
+        keep = count[back] > 1
+        column, row = (np.cumsum(count > 1) - 1)[back[keep]], row[keep]
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        width = 2048
+        for a in range(0, int((count > 1).sum()), width):
+            m = np.zeros((len(sets), width), np.float32)
+            own = slice(*np.searchsorted(column, [a, a + width]))
+            m[row[own], column[own] - a] = 1
+            out += m[left] @ m[right].T
     return out
 
 
@@ -243,15 +253,15 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, runs: int
     keyed = _keyed(docs)
     walked = keyed.mapInArrow(_walk(runs, fan, n), "key long, th long, n long, size long, two array<long>, three array<long>, parent array<long>")
     walked = written(walked)
-    texts = written(walked.groupBy("th", "n").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("two").alias("two"), F.first("three").alias("three"), F.first("parent").alias("parent")))
+    texts = written(walked.groupBy("th", "n").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("two").alias("two"), F.first("three").alias("three"), F.first("parent").alias("parent")))
     # texts, not keys, tell sets apart: rows of one id may differ in text
-    sets = texts.select(F.xxhash64("th", "n", "key").alias("set"), "two", "three", "parent")
+    sets = texts.select(F.xxhash64("th", "n", "key").alias("set"), "size", "two", "three", "parent")
     mark = lambda salt: F.sum(F.shiftright(F.xxhash64("set", F.lit(salt)), 24))
-    sized = lambda df: df.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), mark(1).alias("s1"), mark(2).alias("s2")).filter("c > 1")
-    two = sets.select("set", F.explode("two").alias("bucket"))
+    sized = lambda df: df.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("tokens"), mark(1).alias("s1"), mark(2).alias("s2")).filter("c > 1")
+    two = sets.select("set", "size", F.explode("two").alias("bucket"))
     stats2 = written(sized(two))
     over = stats2.filter(F.col("c") > split).select(F.col("bucket").alias("parent"))
-    three = sets.select("set", F.explode(F.arrays_zip("three", "parent")).alias("z")).select("set", F.col("z.three").alias("bucket"), F.col("z.parent").alias("parent"))
+    three = sets.select("set", "size", F.explode(F.arrays_zip("three", "parent")).alias("z")).select("set", "size", F.col("z.three").alias("bucket"), F.col("z.parent").alias("parent"))
     three = written(three.join(over, "parent", "left_semi"))
     stats3 = sized(three)
     # near copies stay together below: such a bucket is cheaper whole
@@ -259,10 +269,10 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, runs: int
     judged = stats2.join(below.withColumnRenamed("parent", "bucket"), "bucket", "left")
     whole = (F.col("c") <= split) | (F.coalesce("cost", F.lit(0)) >= F.col("c") * F.col("c"))
     divided = judged.filter(~whole).select(F.col("bucket").alias("parent"))
-    three = written(three.join(divided, "parent", "left_semi").select("set", "bucket"))
+    three = written(three.join(divided, "parent", "left_semi").select("set", "size", "bucket"))
     stats = judged.filter(whole).drop("cost").unionByName(sized(three))
-    kept = written(stats.groupBy("c", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("c") / block).cast("long").alias("g")))
-    members = two.unionByName(three).join(kept, "bucket")
+    kept = written(stats.groupBy("c", "s1", "s2").agg(F.min("bucket").alias("bucket"), F.max("tokens").alias("tokens")).select("bucket", F.ceil(F.greatest(F.col("c") / block, F.col("tokens") / TOKENS)).cast("long").alias("g")))
+    members = two.unionByName(three).drop("size").join(kept, "bucket")
     per_set = members.groupBy("set").agg(F.collect_set(F.struct("bucket", "g")).alias("bs"))
     wanted = written(texts.select("th", "n", "key", "copies", F.xxhash64("th", "n", "key").alias("set")).join(per_set, "set").select("th", "n", "key", "copies", F.col("bs.bucket").alias("buckets"), F.col("bs.g").alias("groups"), "set"))
     # one row for each wanted text, whatever the number of equal rows
