@@ -9,14 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows in one Arrow batch at most: whole documents are wide, and batches are held on both sides of the pipe.
-BATCH_ROWS = 2000
+#: Rows and bytes in one Arrow batch at most: whole documents are wide, and batches are held on both sides of the pipe.
+BATCH_ROWS, BATCH_BYTES = 2000, 8_000_000
 
 
 def small_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(key, "-1")) <= most:
+            spark.conf.set(key, most)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
