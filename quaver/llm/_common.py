@@ -14,10 +14,10 @@ BATCH_ROWS, BATCH_BYTES = 2000, 8_000_000
 
 
 def small_batches(spark: SparkSession) -> None:
-    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{key}"
-        if not 0 < int(spark.conf.get(key, "-1")) <= most:
-            spark.conf.set(key, most)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
