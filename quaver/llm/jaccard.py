@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _vec as V
-from ._common import parts, table, written
+from ._common import BATCH_BYTES, parts, table, written
 
 N, THRESHOLD = 5, 0.8
 RUNS, FAN = 8, 2.0
@@ -110,9 +110,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _spread(n: int):
     """Each set to the tasks of its buckets."""
 
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["bucket", "task", "part", "key", "copies", "buckets", "tokens"])
+
     def run(batches):
+        """A text leaves once for each bucket, so that what leaves is cut by its own bytes."""
+        rows, held = [[] for _ in kinds], 0
         for b in batches:
-            rows = [[] for _ in range(7)]
             keys, copies, buckets, groups = (b.column(c).to_pylist() for c in ("key", "copies", "buckets", "groups"))
             for r, s in enumerate(shingles(b.column("text"), n)):
                 raw = (s & np.uint64(0xFFFFFFFF)).astype("<u4")
@@ -123,8 +129,11 @@ def _spread(n: int):
                     for other in range(g):
                         for c, x in zip(rows, (bucket, min(own, other) * g + max(own, other) if own != other else -1 - own, own, keys[r], copies[r], ids, raw)):
                             c.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["bucket", "task", "part", "key", "copies", "buckets", "tokens"])
+                        held += len(ids) + len(raw)
+                        if held > BATCH_BYTES:
+                            yield batch(rows)
+                            rows, held = [[] for _ in kinds], 0
+        yield batch(rows)
 
     return run
 
