@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 #: Rows and bytes in one Arrow batch at most: whole documents are wide, and batches are held on both sides of the pipe.
-BATCH_ROWS, BATCH_BYTES = 2000, 8_000_000
+BATCH_ROWS, BATCH_BYTES = 2000, 4_000_000
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -39,7 +39,7 @@ N, THRESHOLD = 5, 0.8
 RUNS, FAN = 8, 2.0
 SPLIT, BLOCK = 512, 1536
 #: Shingles in one block at most, as a mean, and values compared at once.
-TOKENS, FLAT = 5_000_000, 2_000_000
+TOKENS, FLAT = 5_000_000, 500_000
 _NONE = -(1 << 63)
 _SEEDS = V.mix(np.arange(1, 1 + 64, dtype=np.uint64))
 
