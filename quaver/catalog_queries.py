@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import checks, corpus, search, stats
+from .operators import checks, corpus, pages, search, stats
 from .sources import catalog as C
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,9 @@ _DERIVED: dict[str, tuple[Query, str | None]] = {
     "page_title": (lambda s, d: _pages(s, d).select("page_id", corpus.page_title(F.col("html")).alias("title")), "SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages"),
     "page_links": (lambda s, d: corpus.links(_pages(s, d)).select("page_id", F.col("position").cast("long").alias("position"), "href"), "SELECT page_id, (i - 1)::BIGINT AS position, l[i] AS href FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*?href=[\"'']([^\"'']*)[\"'']', 1) AS l FROM pages))"),
     "page_link_count": (lambda s, d: stats.buckets(corpus.links(_pages(s, d)), "page_id"), "SELECT page_id, sum(len(regexp_extract_all(html, '(?i)<a\\s[^>]*?href=[\"'']([^\"'']*)[\"'']', 1)))::BIGINT AS n FROM pages GROUP BY 1 HAVING n > 0"),
+    "page_records": (lambda s, d: pages.details(_pages(s, d)), None),
+    "page_listed": (lambda s, d: pages.listed(_pages(s, d)), None),
+    "page_credits": (lambda s, d: pages.details(_pages(s, d)).select("url", F.explode(pages.credit_rows(pages.parsed(F.col("payload_json")))).alias("r")).select("url", "r.*"), None),
     "last_page": (lambda s, d: _pages(s, d).select("page_id", corpus.last_page(F.col("html")).alias("n")), "SELECT page_id, coalesce(list_max(list_transform(regexp_extract_all(html, '[?&]p=(\\d+)', 1), lambda x: x::INT)), 1) AS n FROM pages"),
     "url_parts": (lambda s, d: _pages(s, d).select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("PATH")).alias("path")), "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages"),
     "url_decode": (lambda s, d: _pages(s, d).select("page_id", X.url_decoded(F.url_encode(F.col("url"))).alias("url")), "SELECT page_id, url FROM pages"),
