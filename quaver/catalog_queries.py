@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import checks, corpus, enrich, pages, search, stats
+from .operators import checks, corpus, enrich, pages, scans, search, stats
 from .sources import catalog as C
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,12 +88,14 @@ _DERIVED: dict[str, tuple[Query, str | None]] = {
     "url_decode": (lambda s, d: _pages(s, d).select("page_id", X.url_decoded(F.url_encode(F.col("url"))).alias("url")), "SELECT page_id, url FROM pages"),
     "json_props": (lambda s, d: C.read(s, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k")), "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events"),
     "json_counters": (lambda s, d: checks.json_counters(C.read(s, d, "events"), "props"), "SELECT count(*) AS n, count(*) FILTER (WHERE NOT json_valid(props)) AS invalid, count(*) FILTER (WHERE json_type(props) = 'OBJECT') AS objects FROM events"),
-    "row_checks": (lambda s, d: enrich.issues(C.details(s, d), 2026).select("url", F.concat_ws(",", "checks").alias("checks")), f"{C.SQL} SELECT url, 'missing_credits,missing_introduction,missing_primary_videos,' || CASE WHEN published_year IS NULL THEN 'missing_published_year' ELSE 'suspicious_published_year' END AS checks FROM details WHERE coalesce(published_year, 0) < 2000"),
-    "issue_counts": (lambda s, d: enrich.issue_counts(enrich.issues(C.details(s, d), 2026)), f"{C.SQL} SELECT c.name AS \"check\", count(url) AS n FROM (VALUES {', '.join(f'({k!r})' for k in enrich.CHECKS)}) c(name) LEFT JOIN details ON c.name IN ('missing_credits', 'missing_introduction', 'missing_primary_videos') OR c.name = 'missing_published_year' AND published_year IS NULL OR c.name = 'suspicious_published_year' AND published_year < 2000 GROUP BY 1"),
+    "row_checks": (lambda s, d: enrich.issues(C.details(s, d), 2026).select("url", F.concat_ws(",", "checks").alias("checks")), f"{C.SQL} SELECT url, 'missing_credits,missing_introduction,missing_primary_videos' || CASE WHEN published_year IS NULL THEN ',missing_published_year' WHEN published_year < 2000 OR published_year > 2027 THEN ',suspicious_published_year' ELSE '' END AS checks FROM details"),
+    "issue_counts": (lambda s, d: enrich.issue_counts(enrich.issues(C.details(s, d), 2026)), f"{C.SQL} SELECT c.name AS \"check\", count(url) AS n FROM (VALUES {', '.join(f'({k!r})' for k in enrich.CHECKS)}) c(name) LEFT JOIN details ON c.name IN ('missing_credits', 'missing_introduction', 'missing_primary_videos') OR c.name = 'missing_published_year' AND published_year IS NULL OR c.name = 'suspicious_published_year' AND (published_year < 2000 OR published_year > 2027) GROUP BY 1"),
     "video_ids": (lambda s, d: enrich.video_ids(pages.details(_pages(s, d))), None),
     "orphan_orders": (lambda s, d: checks.orphans(C.read(s, d, "customer").select("c_custkey"), C.read(s, d, "orders"), "c_custkey", "o_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
     "orphan_details": (lambda s, d: checks.orphans(C.details(s, d).select("url"), C.people(s, d), "url", "song_url"), f"{C.SQL} SELECT url FROM details WHERE url NOT IN (SELECT song_url FROM people)"),
     "scan_emails": (lambda s, d: checks.emails(_docs(s, d)), f"SELECT doc_id, line, value FROM (SELECT doc_id, i::BIGINT AS line, unnest(regexp_extract_all(l[i], '{checks.EMAIL}')) AS value FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))) WHERE NOT ends_with(lower(value), '@example.com')"),
+    "scan_domains": (lambda s, d: scans.domains(_docs(s, d), allowed=("example.org",)), "SELECT doc_id, line, value FROM (SELECT doc_id, i::BIGINT AS line, unnest(regexp_extract_all(l[i], 'https?://([^/,\\s''\"`]+)', 1)) AS value FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))) WHERE contains(value, '.') AND NOT contains(value, '$') AND NOT regexp_matches(lower(value), '^(?:example\\.org|(?:.*\\.)?example\\.com|www\\.example\\.com|localhost|127\\.0\\.0\\.1|0\\.0\\.0\\.0|example\\.test)(?::[^:]*)?$')"),
+    "markers": (lambda s, d: scans.lacking(_docs(s, d).withColumn("name", F.col("doc_id").cast("string")), {"1": ("the", "no such passage"), "2": ("",)}), "SELECT m.doc_id::VARCHAR AS name, marker FROM (VALUES (1, 'the'), (1, 'no such passage'), (2, '')) m(doc_id, marker) LEFT JOIN documents d ON m.doc_id = d.doc_id WHERE d.doc_id IS NULL OR NOT contains(text, marker)"),
     "scan_ips": (lambda s, d: checks.public_ips(_docs(s, d)), None),
     "scan_secrets": (lambda s, d: checks.secret_assignments(_docs(s, d)).select("doc_id", "line", F.md5("value").alias("h")), None),
     "duplicate_headings": (lambda s, d: stats.duplicates(_docs(s, d).select(F.md5("text").alias("h")), "h"), "SELECT md5(text) AS h, count(*) AS n FROM documents GROUP BY 1 HAVING n > 1"),

@@ -103,4 +103,4 @@ def host(c: Column) -> Column:
 
 def slug(c: Column) -> Column:
     """X-29: heading anchors."""
-    return F.regexp_replace(F.regexp_replace(F.lower(strip(c)), "[^\\w\\p{IsHiragana}\\p{IsKatakana}\\p{IsHan}\\- ]", ""), r" +", "-")
+    return F.regexp_replace(strip(F.regexp_replace(F.lower(c), r"(?U)[^\w\-\x{3040}-\x{30ff}\x{3400}-\x{9fff} ]+", "")), r"(?U)\s+", "-")
