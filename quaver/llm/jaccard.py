@@ -261,7 +261,6 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, runs: int
     """(key, th, n, class_key, n_links, copies) of each document; see the module for the columns of the query."""
     keyed = _keyed(docs)
     walked = keyed.mapInArrow(_walk(runs, fan, n), "key long, th long, n long, size long, two array<long>, three array<long>, parent array<long>")
-    walked = written(walked)
     texts = written(walked.groupBy("th", "n").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("two").alias("two"), F.first("three").alias("three"), F.first("parent").alias("parent")))
     # texts, not keys, tell sets apart: rows of one id may differ in text
     sets = texts.select(F.xxhash64("th", "n", "key").alias("set"), "size", "two", "three", "parent")
@@ -297,7 +296,8 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, runs: int
     roots = components(edges)
     classed = texts.select("th", "n", "key", "copies").join(ids.select("th", "n", "links"), ["th", "n"], "left").join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
     classed = written(classed.select("th", "n", "copies", F.coalesce("root", "key").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    return walked.select("key", "th", "n").join(classed, ["th", "n"])
+    # hashing the texts once more is cheaper than a table of all their paths
+    return keyed.select("key", "th", "n").join(classed, ["th", "n"])
 
 
 def classes(docs: DataFrame, **how) -> DataFrame:
