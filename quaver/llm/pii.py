@@ -5,13 +5,16 @@ corpus tells how strongly other terms reveal the protected entities found:
 with n(t) the occurrences of term t in the corpus, n(t, e) those within
 ``REACH`` words of entity e, n(e) the words around e and n all words,
 
-    disclosure(t, e) = n(t, e) / n(t),   pmi(t, e) = log2(n(t, e) n / (n(t) n(e)))
+    disclosure(t, e) = n(t, e) / (n(t) + SMOOTH),   pmi(t, e) = log2(n(t, e) n / (n(t) n(e)))
 
-A term seen at least ``SUPPORT`` times near e with disclosure of at least
-``DISCLOSURE`` and pmi of at least ``BITS`` reveals it, and is marked wherever
-it occurs: :func:`sanitised` generalises base spans to their kind and removes
-revealing terms.  Near-entity counts take each distinct text once, so copies
-do not make terms look revealing.
+A term with disclosure of at least ``DISCLOSURE`` and pmi of at least ``BITS``
+reveals e, and is marked wherever it occurs: :func:`sanitised` generalises base
+spans to their kind and removes revealing terms.  Any word may be a term,
+whatever its length or characters; one that occurs solely beside an entity of a
+single text reveals it.  Both n(t, e) and n(t) count every row, so copies weigh
+the same in both.  A term is counted in the whole corpus only where its count
+in the texts in which it stands near some entity leaves it a chance: n(t) is no
+less than that.
 
 Counts and terms are compared by 64-bit hashes.  Term tables go to the scans in
 blocks of at most ``BLOCK`` hashes: more terms mean more passes over the text,
@@ -38,9 +41,9 @@ from . import _vec as V
 from ._common import table, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-REACH, SUPPORT, DISCLOSURE, BITS = 5, 2, 0.75, 8.0
-#: Shortest term, in bytes, and hashes in one broadcast block.
-SHORTEST, BLOCK = 4, 2_000_000
+REACH, SMOOTH, DISCLOSURE, BITS = 5, 0.25, 0.75, 8.0
+#: Hashes in one broadcast block.
+BLOCK = 2_000_000
 
 _LOCAL_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -103,12 +106,12 @@ def _term_hashes(words: list[str]) -> np.ndarray:
     return V.Hasher(buf).spans(off[:-1], off[1:]).astype(np.int64)
 
 
-def _is_term(word: str) -> bool:
-    return len(word.encode()) >= SHORTEST and not any(c in "0123456789" for c in word)
+def _hash(x: str) -> int:
+    return int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """(text hash, entity, term) hashes for each term within REACH words of each base span."""
+    """(entity, term, n) hashes and occurrences of the words within REACH words of an entity, and under a null entity those of the same words in the whole text."""
 
     def run(batches):
         for b in batches:
@@ -117,27 +120,33 @@ def contexts(docs: DataFrame) -> DataFrame:
                 spans = base_spans(text) if text else []
                 if not spans:
                     continue
-                # signed 64 bits of a digest: rows of one text count once
-                whole = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
                 taken = sorted({(s, e) for _, s, e in spans})
                 words = [m for m in _WORDS.finditer(text)]
+                if not words:
+                    continue
                 starts = np.array([m.start() for m in words])
                 ends = np.array([m.end() for m in words])
                 free = np.ones(len(words), bool)
                 for s, e in taken:
                     free[np.searchsorted(ends, s, "right") : np.searchsorted(starts, e, "left")] = False
+                hashes = _term_hashes([m[0] for m in words])
+                # words near several mentions of an entity count once for it
+                near: dict[str, set[int]] = {}
                 for kind, s, e in spans:
-                    entity = int.from_bytes(hashlib.blake2b(f"{KINDS[kind]}:{text[s:e].lower()}".encode(), digest_size=8).digest(), "little", signed=True)
                     left, right = int(np.searchsorted(ends, s, "right")), int(np.searchsorted(starts, e, "left"))
-                    near = [*range(max(0, left - REACH), left), *range(right, min(len(words), right + REACH))]
-                    terms = [words[k][0] for k in near if free[k] and _is_term(words[k][0])]
-                    if terms:
-                        out[0] += [whole] * len(terms)
-                        out[1] += [entity] * len(terms)
-                        out[2] += _term_hashes(terms).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["whole", "entity", "term"])
+                    own = [k for k in (*range(max(0, left - REACH), left), *range(right, min(len(words), right + REACH))) if free[k]]
+                    near.setdefault(f"{KINDS[kind]}:{text[s:e].lower()}", set()).update(own)
+                some = np.array(sorted(set().union(*near.values())), np.int64)
+                counted = [(_hash(entity), hashes[sorted(own)]) for entity, own in near.items() if own]
+                counted.append((None, hashes[np.isin(hashes, hashes[some])]))
+                for entity, terms in counted:
+                    term, n = np.unique(terms, return_counts=True)
+                    out[0] += [entity] * len(term)
+                    out[1] += term.tolist()
+                    out[2] += n.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["entity", "term", "n"])
 
-    return docs.select("text").mapInArrow(run, "whole long, entity long, term long")
+    return docs.select("text").mapInArrow(run, "entity long, term long, n long")
 
 
 def _blocks(terms: DataFrame) -> Iterator[np.ndarray]:
@@ -187,13 +196,14 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def revealing(docs: DataFrame) -> DataFrame:
     """(term, entity, near, n, disclosure, pmi) of the terms over the thresholds."""
-    near = written(contexts(docs).groupBy("whole", "entity", "term").agg(F.count(F.lit(1)).alias("c")).groupBy("entity", "term").agg(F.sum("c").alias("near"), F.count(F.lit(1)).alias("texts")))
-    around = near.groupBy("entity").agg(F.sum("near").alias("around"))
-    pairs = near.filter(F.col("texts") >= SUPPORT)
+    near = written(contexts(docs).groupBy("entity", "term").agg(F.sum("n").alias("near")))
+    around = near.filter("entity is not null").groupBy("entity").agg(F.sum("near").alias("around"))
+    least = near.filter("entity is null").select("term", F.col("near").alias("least"))
+    pairs = written(near.filter("entity is not null").join(least, "term").filter(F.col("near") / (F.col("least") + SMOOTH) >= DISCLOSURE).drop("least"))
     counts = written(term_counts(docs, pairs))
     words = counts.filter("term is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     pairs = pairs.join(around, "entity").join(counts.filter("term is not null"), "term")
-    pairs = pairs.withColumn("disclosure", F.col("near") / F.col("n")).withColumn("pmi", F.log2(F.col("near") * F.lit(float(words)) / (F.col("n") * F.col("around"))))
+    pairs = pairs.withColumn("disclosure", F.col("near") / (F.col("n") + SMOOTH)).withColumn("pmi", F.log2(F.col("near") * F.lit(float(words)) / (F.col("n") * F.col("around"))))
     return pairs.filter((F.col("disclosure") >= DISCLOSURE) & (F.col("pmi") >= BITS)).select("term", "entity", "near", "n", "disclosure", "pmi")
 
 

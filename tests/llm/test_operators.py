@@ -174,6 +174,16 @@ def test_pii_terms(spark):
     assert all("zed@" not in out[k] and "Zorblax" not in out[k] and "[EMAIL]" in out[k] for k in range(6))
 
 
+def test_pii_terms_of_single_texts(spark):
+    texts = ["ask Lee or jsmith7 at zed@corp.test now", "write to +49 30 1234567 of Qux Qux", prose(40_000, 99) + " ask or at now write to of " * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert out[0] == "ask [TERM] or [TERM] at [EMAIL] now"
+    assert out[1] == "write to [PHONE] of [TERM] [TERM]" and "TERM" not in out[2]
+    # equal rows weigh the same on both sides
+    assert {r.doc_id: r.text for r in pii.sanitised(docs.unionAll(docs.filter("doc_id = 0"))).collect()} == out
+
+
 def test_language_model(spark, documents):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", t.translate(low)), 0]
