@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _vec as V
-from ._common import table
+from ._common import table, written
 
 WINDOW = 13
 BLOCK_BYTES = 8_000_000
@@ -122,9 +122,7 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tup
         yield ids, texts
 
 
-def _hits(spark: SparkSession, ids: list, texts: list, window: int):
-    shared = spark.sparkContext.broadcast((ids, texts))
-
+def _hits(shared, window: int):
     def run(batches):
         tests = Tests(*shared.value, window)
         for b in batches:
@@ -162,20 +160,39 @@ def merged(start: np.ndarray, end: np.ndarray) -> list[list[int]]:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per document: the columns ``keep``, n_words, spans (hit word intervals) and items (ids whose windows occur).
 
-    With several benchmark blocks the passes are merged by ``keep``, which must then tell rows apart.
+    With several benchmark blocks the documents are stored with row numbers, by which the passes are merged.
     """
-    spark = docs.sparkSession
+    shared = _shared(docs.sparkSession, benchmark, block_bytes)
+    if len(shared) == 1:
+        return _pass(docs, shared[0], window, keep)
+    found = _merged(_numbered(docs.select(*keep, "text")), shared, window, keep)
+    return found.drop("_row")
+
+
+def _shared(spark: SparkSession, benchmark: DataFrame, block_bytes: int) -> list:
+    """The benchmark's blocks as broadcasts, at least one."""
+    return [spark.sparkContext.broadcast(x) for x in blocks(benchmark, block_bytes)] or [spark.sparkContext.broadcast(([], []))]
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Stored rows with a number each, the same in every pass."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _pass(docs: DataFrame, shared, window: int, keep: tuple[str, ...]) -> DataFrame:
     fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     schema = f"{fields}, n_words long, spans array<array<long>>, items array<string>"
-    passes = [docs.select(*keep, "text").mapInArrow(_hits(spark, ids, texts, window), schema) for ids, texts in blocks(benchmark, block_bytes)]
-    if not passes:
-        passes = [docs.select(*keep, "text").mapInArrow(_hits(spark, [], [], window), schema)]
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    every = every.groupBy(*keep).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return docs.select(*keep, "text").mapInArrow(_hits(shared, window), schema)
+
+
+def _merged(rows: DataFrame, shared: list, window: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """_row, ``keep``, n_words, spans and items over all blocks."""
+    every = None
+    for x in shared:
+        p = _pass(rows, x, window, ("_row", *keep))
+        every = p if every is None else every.unionByName(p)
+    kept = [F.first(c).alias(c) for c in keep]
+    every = every.groupBy("_row").agg(*kept, F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     join = F.expr(
         "aggregate(array_sort(spans), cast(array() as array<array<long>>), (acc, x) -> "
         "if(size(acc) > 0 and element_at(acc, -1)[1] >= x[0], "
@@ -233,28 +250,28 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with their own columns, without contaminated documents."""
-    spark = docs.sparkSession
-    out = docs
-    for ids, texts in blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast((ids, texts))
-        names = out.columns
+    shared = _shared(docs.sparkSession, benchmark, block_bytes)
+    if len(shared) > 1:  # hits of all blocks are judged together
+        rows = _numbered(docs)
+        bad = judged(_merged(rows, shared, window)).filter("contaminated").select("_row")
+        return rows.join(bad, "_row", "left_anti").select(*docs.columns)
+    tests_of = shared[0]
 
-        def run(batches, shared=shared):
-            tests = Tests(*shared.value, window)
-            for b in batches:
-                keep = np.ones(b.num_rows, bool)
-                for i, j, h, first in words_of(b.column("text")):
-                    doc, _, place, _, n = tests.search(h, first)
-                    order = np.argsort(doc, kind="stable")
-                    bound = np.searchsorted(doc[order], np.arange(j - i + 1))
-                    for k in np.flatnonzero(np.diff(bound)):
-                        own = order[bound[k] : bound[k + 1]]
-                        hit = sum(e - s for s, e in merged(place[own], place[own] + n[own]))
-                        keep[i + k] = not (20 * hit >= first[k + 1] - first[k])
-                yield b.filter(pa.array(keep))
-
-        out = out.select(*names).mapInArrow(run, out.schema)
-    return out
+    def run(batches):
+        tests = Tests(*tests_of.value, window)
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            for i, j, h, first in words_of(b.column("text")):
+                doc, _, place, _, n = tests.search(h, first)
+                order = np.argsort(doc, kind="stable")
+                bound = np.searchsorted(doc[order], np.arange(j - i + 1))
+                for k in np.flatnonzero(np.diff(bound)):
+                    own = order[bound[k] : bound[k + 1]]
+                    hit = sum(e - s for s, e in merged(place[own], place[own] + n[own]))
+                    keep[i + k] = not (20 * hit >= first[k + 1] - first[k])
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,16 @@ def test_decontamination_of_short_items_and_blocks(spark):
         assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench, block_bytes=block).collect()) == [2, 3]
 
 
+def test_decontamination_judges_all_blocks_together(spark):
+    a, b = prose(13, 70), prose(13, 71)
+    docs = spark.createDataFrame([(1, f"{a} {prose(200, 72)} {prose(200, 73)} {b}"), (None, f"{a} {prose(400, 74)}"), (None, f"{a} x"), (None, "clean"), (1, f"{a} {prose(200, 72)} {prose(200, 73)} {b}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")
+    for block in (1, 10**6):
+        rows = decontaminate.judged(decontaminate.contamination(docs, bench, block_bytes=block)).collect()
+        assert sorted((r.doc_id or 0, r.n_hit, r.contaminated) for r in rows) == [(0, 0, False), (0, 13, False), (0, 13, True), (1, 26, True), (1, 26, True)]
+        assert sorted(r.text for r in decontaminate.decontaminate(docs, bench, block_bytes=block).collect()) == sorted([f"{a} {prose(400, 74)}", "clean"])
+
+
 def brute_links(texts):
     sets = [set(x.tolist()) for x in jaccard.shingles(pa.array(texts))]
     near = lambda i, j: texts[i] == texts[j] or (sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
