@@ -117,8 +117,14 @@ def _spread(n: int):
 
     def run(batches):
         """A text leaves once for each bucket, so that what leaves is cut by its own bytes."""
-        rows, held = [[] for _ in kinds], 0
+        rows, held, seen = [[] for _ in kinds], 0, set()
         for b in batches:
+            # rows of one id and text are one set
+            fresh = []
+            for key in b.column("key").to_pylist():
+                fresh.append(key not in seen)
+                seen.add(key)
+            b = b.filter(pa.array(fresh, pa.bool_()))
             keys, copies, buckets, groups = (b.column(c).to_pylist() for c in ("key", "copies", "buckets", "groups"))
             for r, s in enumerate(shingles(b.column("text"), n)):
                 raw = (s & np.uint64(0xFFFFFFFF)).astype("<u4")
@@ -189,7 +195,7 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
 
 def _brute(threshold: float):
     def run(batches):
-        """Rows arrive sorted by bucket and task."""
+        """Rows arrive sorted by bucket, task and set."""
         held, last = [], None
         out = [[], [], []]
         for b in batches:
@@ -197,7 +203,9 @@ def _brute(threshold: float):
                 if r[:2] != last:
                     solve(held, threshold, out)
                     held, last = [], r[:2]
-                held.append(r)
+                # equal rows may come from several tasks; sorted by set, they follow one another and are not held
+                if not held or held[-1][3] != r[3]:
+                    held.append(r)
             if len(out[0]) > 10_000:
                 yield batch(out)
                 out = [[], [], []]
@@ -283,7 +291,7 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, runs: int
     members = two.unionByName(three).drop("size").join(kept, "bucket")
     per_set = members.groupBy("set").agg(F.collect_set(F.struct("bucket", "g")).alias("bs"))
     wanted = written(texts.select("th", "n", "key", "copies", F.xxhash64("th", "n", "key").alias("set")).join(per_set, "set").select("th", "n", "key", "copies", F.col("bs.bucket").alias("buckets"), F.col("bs.g").alias("groups"), "set"))
-    # one row for each wanted text, whatever the number of equal rows
+    # equal rows of a wanted text become one set in _spread and _brute
     full = keyed.join(wanted, ["key", "th", "n"]).select(F.col("set").alias("key"), "copies", "buckets", "groups", "text")
     tasks = full.mapInArrow(_spread(n), "bucket long, task long, part long, key long, copies long, buckets binary, tokens binary")
     tasks = tasks.repartition(4 * parts(docs.sparkSession), "bucket", "task").sortWithinPartitions("bucket", "task", "key")

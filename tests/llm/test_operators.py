@@ -100,6 +100,14 @@ def test_jaccard_edges(spark, odd):
     assert jaccard.classes(odd.limit(0)).count() == 0
 
 
+def test_jaccard_repeats_of_the_smallest_id(spark):
+    base = prose(120, 30)
+    rows = [(5, base), (5, base), (9, base + " end"), (None, "x" + base), (None, "x" + base)]
+    for n in (2, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        assert sorted((r.doc_id or 0, r.n_links, r.copies) for r in jaccard.classes(docs).collect()) == [(0, 4, 2), (0, 4, 2), (5, 4, 2), (5, 4, 2), (9, 4, 1)]
+
+
 def brute_removed(texts, n=400):
     seen = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
     out = []
