@@ -40,6 +40,8 @@ CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
 #: Distinct pre-tokens that a worker remembers before it starts anew.
 REMEMBERED = 1_000_000
+#: Distinct pre-tokens encoded at once in a slice with too many of them to remember.
+CHUNK = 100_000
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Endings that the pattern takes together with their apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -159,7 +161,7 @@ class Encoder:
         h = V.Hasher(buf).spans(place, np.r_[place[1:], len(buf)]) if len(place) else np.zeros(0, np.uint64)
         distinct, sample, back = np.unique(h, return_index=True, return_inverse=True)
         if len(distinct) > REMEMBERED // 2:
-            raise MemoryError("a slice has more distinct pre-tokens than the worker may remember")
+            return self._unremembered(buf, off, place, doc, sample, back)
         if not len(self.known):
             new = np.arange(len(distinct))
         else:
@@ -179,6 +181,21 @@ class Encoder:
         ids = self.ids[np.repeat(self.first[entry] - total[:-1], count) + np.arange(total[-1])]
         return ids, total[np.searchsorted(doc, np.arange(len(off)))]
 
+    def _unremembered(self, buf: np.ndarray, off: np.ndarray, place: np.ndarray, doc: np.ndarray, sample: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slice's result without the memory of pre-tokens: its distinct ones are encoded in chunks."""
+        end, raw = np.r_[place[1:], len(buf)], buf.tobytes()
+        sizes, chunks = [], []
+        for k in range(0, len(sample), CHUNK):
+            own = sample[k : k + CHUNK]
+            found = self._model([raw[a:z] for a, z in zip(place[own].tolist(), end[own].tolist())])
+            sizes.append(np.fromiter(map(len, found), np.int64))
+            chunks.append(np.fromiter((i for x in found for i in x), np.uint32))
+        size, known = np.concatenate(sizes), np.concatenate(chunks)
+        first = np.cumsum(size) - size
+        count = size[back]
+        total = np.r_[0, np.cumsum(count)]
+        return known[np.repeat(first[back] - total[:-1], count) + np.arange(total[-1])], total[np.searchsorted(doc, np.arange(len(off)))]
+
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         """ids of each text; texts that hold a special token's string go through the tokenizer whole."""
         for i, j, buf, off in V.slices(column):

@@ -261,6 +261,14 @@ def test_tokens():
     assert [x.tolist() for x in pack.encoder(pack.default_path()).texts(pa.array(texts))] == [x.ids for x in whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+def test_tokens_of_a_slice_with_too_many_to_remember(monkeypatch):
+    texts = [prose(400, 80), "", None, prose(300, 81)]
+    wanted = [x.tolist() for x in pack.Encoder(pack.default_path()).texts(pa.array(texts))]
+    monkeypatch.setattr(pack, "REMEMBERED", 100)
+    monkeypatch.setattr(pack, "CHUNK", 64)
+    assert [x.tolist() for x in pack.Encoder(pack.default_path()).texts(pa.array(texts))] == wanted
+
+
 def check_packing(rows, capacity):
     by = defaultdict(list)
     for r in rows:
