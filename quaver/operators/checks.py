@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IPV4 = r"\b\d{1,3}(?:\.\d{1,3}){3}\b"
-ASSIGNMENT = r"(?i)\b(?:api[_-]?key|token|secret|password)\b\s*[:=]\s*[\"']([^\"']{8,})[\"']"
-PLACEHOLDERS = r"(?i)example|dummy|placeholder|changeme|your"
+#: Java's U is what a Python pattern does by itself: word ends, spaces and letter case of all of Unicode.
+ASSIGNMENT = r"(?iU)\b(?:api[_-]?key|token|secret|password|passwd|private[_-]?key|cloudflare[_-]?api[_-]?token|github[_-]?token)\b\s*[:=]\s*['\"]?([A-Za-z0-9_./+=:-]{12,})"
+PLACEHOLDERS = "replace-with-|example"
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaver.functions import text as X
+from quaver.operators import checks
 from quaver.operators import scans as S
 
 
@@ -35,3 +36,12 @@ def test_small_rules(spark):
     assert S.works(songs, ("stop",)).count() == 1 and S.works(songs, ()).count() == 2
     assert S.default_labels({"a": 3, "b": 2, "c": 1}) == ("a", "b")
     assert spark.createDataFrame([("Été  2/3_x-あ！",)], "t string").select(X.slug(F.col("t"))).first()[0] == "été-23_x-あ"
+
+
+def test_secret_assignments(spark):
+    text = "\n".join([
+        "password=9855ae4fa49702326c", "github_token: ghp_abcdefgh1234", "PASSWD = 'Your-dummy.Example1'", 'cloudflare_api_token="abcdefghijkl', "private-key : a/b+c=d:e_f-g.h", "token=short", "my_token=abcdefghijkl",
+        "token=replace-with-abcdefgh", "secret=example-abcdefgh", "api_key='abcdefghijkl' token='mnopqrstuvwx'",
+    ])
+    got = checks.secret_assignments(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()
+    assert sorted(tuple(r)[1:] for r in got) == [(1, "9855ae4fa49702326c"), (2, "ghp_abcdefgh1234"), (3, "Your-dummy.Example1"), (4, "abcdefghijkl"), (5, "a/b+c=d:e_f-g.h"), (10, "abcdefghijkl")]
