@@ -14,8 +14,10 @@ the next document when one ends, and the state is carried through the whole of
 it.  Counts of up to ``HEAD`` frequent tokens are broadcast (a fixed bound);
 occurrences of rarer tokens meet their counts in a shuffle join.
 
-Weights are trained on a sample of whole training documents of about
-``TRAIN_TOKENS`` tokens; counts, vocabulary, classes and biases cover them all.
+Weights start from a sample of whole training documents of about
+``TRAIN_TOKENS`` tokens.  From there every task trains its own copy on all of
+its training documents, and the copies are averaged by their tokens: weights,
+counts, vocabulary, classes and biases all come from every training document.
 
 Defined cases: a null or empty text is its end token alone; repeated rows are
 counted and scored each; a null id counts as the empty text for the fold;
@@ -40,6 +42,8 @@ END = np.uint64(0x5EED0E2D)
 #: Most tokens whose counts are broadcast; words of the network; size of a class; width of the network.
 HEAD, VOCABULARY, PER_CLASS, WIDTH = 1_000_000, 2048, 32, 16
 TRAIN_TOKENS, TRAIN_DOCS, EPOCHS, LANES, STEPS, RATE = 300_000, 2_000, 3, 32, 24, 0.01
+#: The pass over all training documents: lanes, learning rate, tokens trained at a time, and parts in which weights are averaged.
+PASS_LANES, PASS_RATE, PASS_TOKENS, WEIGHT_PARTS = 256, 0.003, 500_000, 16
 HELD_OUT = 1
 
 
@@ -151,11 +155,12 @@ class Network:
                 out[own] += a[np.arange(len(own)), word[own]] - top[:, 0] - np.log(np.exp(a - top).sum(1))
         return out
 
-    def train(self, lanes: np.ndarray, fresh: np.ndarray, start: int, epochs: int = EPOCHS, steps: int = STEPS, rate: float = RATE) -> None:
-        """lanes: symbols (lane, time); fresh: where a document begins; truncated backpropagation, Adam."""
-        m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        s = {k: np.zeros_like(v) for k, v in self.w.items()}
-        k, t = self.width, 0
+    def train(self, lanes: np.ndarray, fresh: np.ndarray, start: int, epochs: int = EPOCHS, steps: int = STEPS, rate: float = RATE, adam: dict | None = None) -> None:
+        """lanes: symbols (lane, time); fresh: where a document begins; truncated backpropagation, Adam, whose state may be carried on."""
+        adam = {} if adam is None else adam
+        m = adam.setdefault("m", {k: np.zeros_like(v) for k, v in self.w.items()})
+        s = adam.setdefault("s", {k: np.zeros_like(v) for k, v in self.w.items()})
+        k, t = self.width, adam.get("t", 0)
         before = np.concatenate([np.full((len(lanes), 1), start, lanes.dtype), lanes[:, :-1]], 1)
         before[fresh] = start
         for _ in range(epochs):
@@ -163,31 +168,37 @@ class Network:
             for a in range(0, lanes.shape[1], steps):
                 x, y, new = before[:, a : a + steps], lanes[:, a : a + steps], fresh[:, a : a + steps]
                 w, kept, states = self.w, [], []
+                symbols, back = np.unique(x.T.ravel(), return_inverse=True)
+                gates = w["emb"][symbols] @ w["wx"] + w["b"]
+                b = len(lanes)
                 for i in range(x.shape[1]):
                     h = np.where(new[:, i : i + 1], 0, h).astype(np.float32)
-                    e = w["emb"][x[:, i]]
-                    nxt, z, r, n, hn = self.step(e @ w["wx"] + w["b"], h)
-                    kept.append((h, e, z, r, n, hn))
+                    nxt, z, r, n, hn = self.step(gates[back[i * b : (i + 1) * b]], h)
+                    kept.append((h, z, r, n, hn))
                     states.append(nxt)
                     h = nxt
                 g = {key: np.zeros_like(v) for key, v in w.items()}
                 flat, target = np.concatenate(states), y.T.ravel()
                 dflat = self._output_gradient(flat, target, g)
                 dh = np.zeros_like(h)
-                b = len(lanes)
+                dgh, dgx = np.empty((len(target), 3 * k), np.float32), np.empty((len(target), 3 * k), np.float32)
                 for i in reversed(range(x.shape[1])):
-                    h0, e, z, r, n, hn = kept[i]
-                    d = dh + dflat[i * b : (i + 1) * b]
+                    h0, z, r, n, hn = kept[i]
+                    own = slice(i * b, (i + 1) * b)
+                    d = dh + dflat[own]
                     dn = d * (1 - z) * (1 - n * n)
-                    dz = d * (h0 - n) * z * (1 - z)
-                    dr = dn * hn * r * (1 - r)
-                    dgh = np.concatenate([dz, dr, dn * r], 1)
-                    dgx = np.concatenate([dz, dr, dn], 1)
-                    g["u"] += h0.T @ dgh
-                    g["wx"] += e.T @ dgx
-                    g["b"] += dgx.sum(0)
-                    np.add.at(g["emb"], x[:, i], dgx @ w["wx"].T)
-                    dh = np.where(new[:, i : i + 1], 0, d * z + dgh @ w["u"].T)
+                    dgx[own, :k] = d * (h0 - n) * z * (1 - z)
+                    dgx[own, k : 2 * k] = dn * hn * r * (1 - r)
+                    dgx[own, 2 * k :] = dn
+                    dgh[own, : 2 * k] = dgx[own, : 2 * k]
+                    dgh[own, 2 * k :] = dn * r
+                    dh = np.where(new[:, i : i + 1], 0, d * z + dgh[own] @ w["u"].T)
+                g["u"] += np.concatenate([x[0] for x in kept]).T @ dgh
+                order = np.argsort(back, kind="stable")
+                by_symbol = np.add.reduceat(dgx[order], np.searchsorted(back[order], np.arange(len(symbols))), axis=0)
+                g["wx"] += w["emb"][symbols].T @ by_symbol
+                g["b"] += by_symbol.sum(0)
+                g["emb"][symbols] += by_symbol @ w["wx"].T
                 t += 1
                 fade = rate / (1 + 0.002 * t)
                 for key in w:
@@ -195,6 +206,7 @@ class Network:
                     m[key] += 0.1 * (q - m[key])
                     s[key] += 0.01 * (q * q - s[key])
                     w[key] -= (fade * (m[key] / (1 - 0.9**t)) / (np.sqrt(s[key] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+        adam["t"] = t
 
     def _output_gradient(self, h: np.ndarray, y: np.ndarray, g: dict) -> np.ndarray:
         w, cls, word = self.w, y // self.per, y % self.per
@@ -315,6 +327,73 @@ def trained(docs: DataFrame, words: Vocabulary, sample_tokens: int = TRAIN_TOKEN
     return net
 
 
+def averaged(docs: DataFrame, words: Vocabulary, net: Network) -> tuple[Network, int]:
+    """``net`` after a pass over all of ``docs``, each task on its own rows; and the tokens trained on."""
+    spark = docs.sparkSession
+    # only the network's own words are needed here, not the counts of the head
+    own = np.flatnonzero(words.symbol)
+    shared = spark.sparkContext.broadcast((words.h[own], words.symbol[own], words.p, words.at_end, net.w))
+
+    def run(batches):
+        known, symbol, p, at_end, start = shared.value
+        net = Network(p)
+        net.w = {k: v.copy() for k, v in start.items()}
+        adam: dict = {}
+        held, fresh, n, seen = [], [], 0, 0
+
+        def learn(last: bool) -> None:
+            nonlocal held, fresh, n, seen
+            stream, begin = np.concatenate(held), np.concatenate(fresh)
+            lanes = min(PASS_LANES, n)
+            while len(stream) and (last or len(stream) >= PASS_LANES * STEPS):
+                width = len(stream) // lanes
+                own = lanes * width
+                net.train(stream[:own].reshape(lanes, width), begin[:own].reshape(lanes, width) | (np.arange(width) == 0), at_end, 1, rate=PASS_RATE, adam=adam)
+                seen += own
+                stream, begin = stream[own:], begin[own:]
+                lanes = max(1, min(lanes, len(stream)))
+                if not last:
+                    break
+            held, fresh, n = [stream], [begin], len(stream)
+
+        for b in batches:
+            for _, _, h, first in tokens(b.column("text")):
+                begin = np.zeros(len(h), bool)
+                begin[first[:-1]] = True
+                k = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+                held.append(np.where(known[k] == h, symbol[k], 0).astype(np.int32) if len(known) else np.zeros(len(h), np.int32))
+                fresh.append(begin)
+                n += len(h)
+                if n >= PASS_TOKENS:
+                    learn(False)
+        if n:
+            learn(True)
+        if seen:
+            cut = [(name, part, x.astype("<f8") * seen) for name, w in net.w.items() for part, x in enumerate(np.array_split(w.ravel(), WEIGHT_PARTS))]
+            yield batch([x[0] for x in cut], [x[1] for x in cut], [seen] * len(cut), [x[2] for x in cut])
+
+    def batch(names, at, weights, values):
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(at, pa.int32()), pa.array(weights, pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())], names=["name", "part", "tokens", "w"])
+
+    def add(batches):
+        total: dict = {}
+        for b in batches:
+            for name, part, n, raw in zip(*(c.to_pylist() for c in b.columns)):
+                m, w = total.get((name, part), (0, 0.0))
+                total[name, part] = m + n, w + np.frombuffer(raw, "<f8")
+        if total:
+            yield batch([k[0] for k in total], [k[1] for k in total], [x[0] for x in total.values()], [x[1] for x in total.values()])
+
+    schema = "name string, part int, tokens long, w binary"
+    rows = docs.select("text").mapInArrow(run, schema).repartition(WEIGHT_PARTS, "name", "part").mapInArrow(add, schema).collect()  # the network's weights, a fixed size
+    out, seen = Network(words.p), max((r.tokens for r in rows), default=0)
+    out.w = {k: v.copy() for k, v in net.w.items()}
+    for name in {r.name for r in rows}:
+        own = sorted((r for r in rows if r.name == name), key=lambda r: r.part)
+        out.w[name] = np.concatenate([np.frombuffer(r.w, "<f8") / r.tokens for r in own]).astype(np.float32).reshape(net.w[name].shape)
+    return out, seen
+
+
 def scored(docs: DataFrame, counts: DataFrame, words: Vocabulary, net: Network, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, n_tokens, n_known, base_score and score of each text."""
     shared = docs.sparkSession.sparkContext.broadcast((words, net))
@@ -373,7 +452,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     train = docs.filter(fold_of() != HELD_OUT)
     counts = written(counted(train))
     words = vocabulary(counts)
-    out = scored(docs, counts, words, trained(train, words))
+    out = scored(docs, counts, words, averaged(train, words, trained(train, words))[0])
     return out.select("doc_id", (fold_of() == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(words.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

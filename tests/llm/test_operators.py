@@ -216,6 +216,18 @@ def test_language_model(spark, documents):
     assert gain > 0
 
 
+def test_network_learns_from_every_document(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "PASS_TOKENS", 900)
+    docs = spark.createDataFrame([(k, prose(300, k % 7) + f" only{k}") for k in range(40)] + [(90, None), (91, "")], "doc_id long, text string").repartition(4)
+    counts = language_model.written(language_model.counted(docs))
+    words = language_model.vocabulary(counts)
+    start = language_model.trained(docs, words, sample_tokens=500, sample_docs=3)
+    net, seen = language_model.averaged(docs, words, start)
+    assert seen == words.total == 40 * 302 + 2
+    score = lambda x: sum(r.score for r in language_model.scored(docs, counts, words, x).collect())
+    assert score(net) > score(start)
+
+
 def test_network_is_a_distribution():
     p = np.array([0.4, 0.3, 0.2, 0.1])
     net = language_model.Network(p)
