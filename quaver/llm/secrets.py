@@ -11,7 +11,8 @@ evaluated inside the arrays: no row leaves its document and nothing is shuffled.
 Labelled findings are a DataFrame (before, value, after, path, label).  No
 table of them is supplied, so :func:`generated_findings` derives ``FINDINGS``
 rows from a seed: keys and tokens of common shapes in assignments against
-hashes, identifiers, file names, hosts, dates and placeholders.
+hashes, identifiers, file names, hosts, dates and placeholders; and, without any
+digit, random letters and passphrases against prose, names and references.
 
 Defined cases: a null or empty text has no findings and is left as it is; a
 null path counts as empty; repeated rows give their findings each; repeated
@@ -122,14 +123,34 @@ def generated_findings(spark: SparkSession, n: int = FINDINGS, seed: int = SEED)
     letters = lambda salt, k: F.substring(F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat("r", F.lit(salt)), 512))), "[+/=]", ""), 1, k)
     known = F.concat(pick(("AKIA", "ASIA", "ghp_", "gho_", "glpat-", "sk_live_", "xoxb-", "AIza", "npm_"), 40), F.when(F.pmod(F.xxhash64("id"), F.lit(2)) == 0, F.upper(letters("s", 16))).otherwise(letters("t", 34)))
     hashes = F.element_at(F.array(hexes("o", 32), hexes("p", 40), hexes("q", 64)), (F.pmod(F.xxhash64("r", F.lit("size")), F.lit(3)) + 1).cast("int"))
-    case = F.pmod(F.xxhash64("r", F.lit("case")), F.lit(20))
+    # values without a digit: random letters and passphrases in quotes; prose, names, paths and references
+    only = lambda salt, k: F.substring(F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat("r", F.lit(salt)), 512))), "[0-9+/=]", ""), 1, k)
+    other = lambda salt: F.lower(only(salt, 6))
+    bare = F.element_at(
+        F.array(only("u", 20), only("v", 32), only("w", 40), F.concat_ws("-", word(50), other("x"), word(51)), F.concat_ws("-", other("y"), other("z"), word(52), other("aa"))),
+        (F.pmod(F.xxhash64("r", F.lit("bare")), F.lit(5)) + 1).cast("int"),
+    )
+    prose = F.element_at(
+        F.array(
+            word(53), F.concat(word(54), word(55)), F.concat(word(56), word(57), word(58)), F.concat_ws("_", word(59), word(60), word(61)), F.concat(word(62), F.initcap(word(63)), F.initcap(word(64))),
+            F.concat_ws(".", word(65), word(66), word(67)), F.concat_ws("/", word(68), word(69), word(70)), F.concat_ws("-", word(71), word(72), word(73)), F.concat(word(74), F.lit(","), word(75)), F.concat(F.lit("${"), F.upper(word(76)), F.lit("_KEY}")),
+            F.concat(F.lit("get_"), word(77), F.lit("("), word(78), F.lit(")")), F.concat(F.lit("your-"), word(79), F.lit("-"), word(80)), F.regexp_replace(F.lit("------------------------"), "-", pick(("-", "_", ".", "/"), 81)),
+            F.concat(F.substring(word(88), 2, 5), F.substring(word(89), 1, 4)), F.concat(F.substring(word(90), 2, 3), F.substring(word(91), 1, 4), F.substring(word(92), 3, 4)),
+            *(F.concat(F.upper(F.concat(F.substring(word(k), 2, 5), F.substring(word(k + 1), 2, 5), word(k + 2), F.substring(word(k + 3), 1, 4))), F.lit(end)) for k, end in ((100, ""), (104, "."), (108, ""), (112, ""))),
+            F.concat(F.initcap(F.concat(F.substring(word(120), 2, 5), word(121), F.substring(word(122), 2, 5))), F.lit("."), F.initcap(word(123))), F.concat(F.initcap(F.concat(F.substring(word(124), 2, 5), word(125))), F.lit("-"), F.initcap(word(126))),
+        ),
+        (F.pmod(F.xxhash64("r", F.lit("prose")), F.lit(21)) + 1).cast("int"),
+    )
+    case = F.pmod(F.xxhash64("r", F.lit("case")), F.lit(26))
     secret_before = F.concat(word(31), F.lit(" "), pick(("token", "secret", "api_key", "apiKey", "access_key", "password", "auth_token", "TOKEN", "SECRET_KEY", "bearer", "credential", "private_key"), 32), pick((' = "', '="', ": '", '": "', " = ", "="), 33))
     hash_before = F.concat(word(34), F.lit(" "), pick(("commit", "sha256", "md5", "checksum", "digest", "etag", "revision", "uuid", "hash of the file"), 35), pick((' = "', ": ", " ", '="'), 36))
+    quoted_before = F.concat(word(82), F.lit(" "), pick(("token", "secret", "api_key", "password", "access_key", "credential"), 83), pick((' = "', '="', ': "'), 84))
+    loose_before = F.concat(word(85), F.lit(" "), pick(("token", "secret", "password", "api key"), 86), pick((": ", " = ", "="), 87))
     plain_before = F.concat(word(37), F.lit(" "), word(38), pick((" ", ' = "', ": ", "\n", '("'), 39))
     made = rows.select(
-        F.when(case < 7, secret_before).when(case < 9, F.when(F.pmod(F.xxhash64("r"), F.lit(3)) == 0, secret_before).otherwise(plain_before)).when(case < 13, hash_before).when(case < 14, secret_before).otherwise(plain_before).alias("before"),
-        F.when(case < 7, real).when(case < 9, known).when(case < 13, hashes).otherwise(harmless).alias("value"),
-        (case < 9).cast("double").alias("label"),
+        F.when(case < 7, secret_before).when(case < 9, F.when(F.pmod(F.xxhash64("r"), F.lit(3)) == 0, secret_before).otherwise(plain_before)).when(case < 13, hash_before).when(case < 14, secret_before).when(case < 20, plain_before).when(case < 22, quoted_before).when(case < 24, loose_before).otherwise(plain_before).alias("before"),
+        F.when(case < 7, real).when(case < 9, known).when(case < 13, hashes).when(case < 20, harmless).when(case < 22, bare).otherwise(prose).alias("value"),
+        ((case < 9) | case.isin(20, 21)).cast("double").alias("label"),
         F.when(case % 4 == 0, F.lit("tests/data")).otherwise(F.lit("src")).alias("path"),
     )
     return made.withColumn("after", F.when(F.col("before").rlike("[\"']$"), F.lit('" ')).otherwise(F.lit(" ")))
@@ -190,19 +211,18 @@ def scanned(docs: DataFrame, model: str, path: str | None = "source") -> DataFra
         f"transform({led}, (x, i) -> named_struct('lead', x.lead, 'value', substr(x.m, length(x.lead) + 1), 'before', right(concat(_between[i], x.lead), {NEAR}), 'after', left(_between[i + 1], {NEAR}), "
         "'start', cast(length(x.lead) + aggregate(slice(_between, 1, i + 1), 0L, (a, t) -> a + length(t)) + aggregate(slice(_matches, 1, i), 0L, (a, t) -> a + length(t)) as bigint)))"
     )
-    worth = "c.value rlike '[0-9]' and (c.value rlike '[A-Za-z]' or c.before rlike '[:=] ?[\"\\']?$')"
-    seen = f"transform({placed}, c -> named_struct('c', c, 'f', if({worth}, named_struct({features}), null)))"
+    seen = f"transform({placed}, c -> named_struct('c', c, 'f', named_struct({features})))"
     out = _once(out, "_seen", f"if(size(_matches) = 0, null, {seen})")
-    score = f"transform(_seen, s -> named_struct('lead', s.c.lead, 'value', s.c.value, 'start', s.c.start, 'score', element_at(transform(array(s.f), f -> if(f is null, 0.0D, {model})), 1)))"
+    score = f"transform(_seen, s -> named_struct('lead', s.c.lead, 'value', s.c.value, 'start', s.c.start, 'score', element_at(transform(array(s.f), f -> {model}), 1)))"
     out = _once(out, "_found", score)
     return out.drop("_matches", "_seen")
 
 
 def findings(docs: DataFrame, model: str, path: str | None = "source") -> DataFrame:
-    """One row per candidate worth scoring: doc_id, start and length (code points), the digest of its value, score, is_secret."""
+    """One row per candidate, rejected ones too: doc_id, start and length (code points), the digest of its value, score, is_secret."""
     wanted = ["doc_id", "text"] + [path] * bool(path and path in docs.columns)
     rows = scanned(docs.select(*wanted), model, path).select("doc_id", F.explode("_found").alias("x"))
-    return rows.filter(F.col("x.score") > 0).select(
+    return rows.select(
         "doc_id", F.col("x.start").alias("start"), F.length("x.value").cast("long").alias("length"), F.sha2("x.value", 256).alias("value_sha256"), F.col("x.score").alias("score"), (F.col("x.score") >= THRESHOLD).alias("is_secret")
     )
 

@@ -264,6 +264,15 @@ def test_secrets(spark):
         assert hashlib.sha256(texts[r.doc_id][r.start : r.start + r.length].encode()).hexdigest() == r.value_sha256
 
 
+def test_secrets_without_digits(spark):
+    texts = ['password = "correct-horse-battery" x', 'token: "AbCdEfGhIjKlMnOpQrSt" x', "eine Donaudampfschifffahrtsgesellschaft fuhr", "the secret: everything changes", "see src/main/resources/messages here"]
+    docs = spark.createDataFrame([(k, t, "src", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long")
+    model = secrets.forest(secrets.generated_findings(spark))
+    found = {r.doc_id: r.is_secret for r in secrets.findings(docs, model).collect()}
+    assert found == {0: True, 1: True, 2: False, 3: False, 4: False}
+    assert [r.text for r in secrets.redacted(docs, model).orderBy("doc_id").collect()] == ['password = "[SECRET]" x', 'token: "[SECRET]" x', *texts[2:]]
+
+
 def test_tokens():
     from tokenizers import Tokenizer
 
