@@ -17,13 +17,14 @@ in the texts in which it stands near some entity leaves it a chance: n(t) is no
 less than that.
 
 Counts and terms are compared by 64-bit hashes.  Term tables go to the scans in
-blocks of at most ``BLOCK`` hashes: more terms mean more passes over the text,
-never a larger broadcast.
-
-Defined cases: a null or empty text has no spans; repeated rows are marked
-alike; a kind's spans never overlap one another but kinds may; with several
-blocks the keys must tell rows apart; extra columns are kept by
-:func:`sanitised` and ignored by the others.
+blocks of at most ``BLOCK`` hashes, one after another: more terms mean more
+passes over the text, never a larger broadcast.
+
+Defined cases: a null or empty text has no spans; a very long text is scanned
+whole, in one task; repeated rows are marked alike, each for itself; a null id
+is kept; an empty table has no terms and gives an empty result; a kind's spans
+never overlap one another but kinds may; extra columns, whatever their names,
+are kept by :func:`sanitised` and ignored by the others.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import _vec as V
 from ._common import table, written
@@ -167,7 +169,7 @@ def _among(h: np.ndarray, block: np.ndarray) -> np.ndarray:
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """n(t) of the wanted terms (term, n), and n of all words under a null term."""
+    """n(t) of the wanted terms (term, n), and n of all words under a null term; stored."""
     spark = docs.sparkSession
 
     def counter(shared):
@@ -188,10 +190,12 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     every = None
     for k, block in enumerate(_blocks(terms)):
-        one = docs.select("text").mapInArrow(counter(spark.sparkContext.broadcast(block)), "term long, n long")
-        one = one if not k else one.filter("term is not null")
+        shared = spark.sparkContext.broadcast(block)
+        one = docs.select("text").mapInArrow(counter(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        one = written(one.filter("term is not null") if k else one)
+        shared.unpersist()
         every = one if every is None else every.unionByName(one)
-    return every.groupBy("term").agg(F.sum("n").alias("n"))
+    return every
 
 
 def revealing(docs: DataFrame) -> DataFrame:
@@ -200,88 +204,105 @@ def revealing(docs: DataFrame) -> DataFrame:
     around = near.filter("entity is not null").groupBy("entity").agg(F.sum("near").alias("around"))
     least = near.filter("entity is null").select("term", F.col("near").alias("least"))
     pairs = written(near.filter("entity is not null").join(least, "term").filter(F.col("near") / (F.col("least") + SMOOTH) >= DISCLOSURE).drop("least"))
-    counts = written(term_counts(docs, pairs))
+    counts = term_counts(docs, pairs)
     words = counts.filter("term is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     pairs = pairs.join(around, "entity").join(counts.filter("term is not null"), "term")
     pairs = pairs.withColumn("disclosure", F.col("near") / (F.col("n") + SMOOTH)).withColumn("pmi", F.log2(F.col("near") * F.lit(float(words)) / (F.col("n") * F.col("around"))))
     return pairs.filter((F.col("disclosure") >= DISCLOSURE) & (F.col("pmi") >= BITS)).select("term", "entity", "near", "n", "disclosure", "pmi")
 
 
-def _term_spans(texts: pa.Array, block: np.ndarray) -> list[list[tuple[int, int]]]:
+def _term_spans(texts: pa.Array, block: np.ndarray) -> list[list[list[int]]]:
     """Code-point spans of the block's terms in each text."""
     out = []
     for i, j, buf, off in V.slices(texts):
         low = V.LOWER[buf]
         s, e, doc = V.runs(low, off, V.WORD)
         hit = np.flatnonzero(_among(V.Hasher(low).spans(s, e).astype(np.int64), block)) if len(s) and len(block) else np.zeros(0, np.int64)
-        rows: list[list[tuple[int, int]]] = [[] for _ in range(j - i)]
+        rows: list[list[list[int]]] = [[] for _ in range(j - i)]
         if len(hit):
             points = np.r_[0, np.cumsum((buf & 0xC0) != 0x80)]
             for k in hit.tolist():
                 o = points[off[doc[k]]]
-                rows[doc[k]].append((int(points[s[k]] - o), int(points[e[k]] - o)))
+                rows[doc[k]].append([int(points[s[k]] - o), int(points[e[k]] - o)])
         out += rows
     return out
 
 
-def marked(docs: DataFrame, terms: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, base (array of kind number, start, end) and terms (array of start, end) of each text."""
+def marked(docs: DataFrame, terms: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
+    """``keep``, base (array of kind number, start, end) and terms (array of start, end, in order) of each text, and the text if wanted.
+
+    Every row goes through one pass for each block of terms and takes its spans along; between passes the rows are stored.
+    """
     spark = docs.sparkSession
-    kinds = [(c, docs.schema[c].dataType.simpleString()) for c in keep]
     pair = pa.list_(pa.list_(pa.int64()))
+    kinds = ArrayType(ArrayType(LongType()))
 
-    def marker(shared):
+    def marker(shared, first: bool, names: list[str]):
         def run(batches):
             for b in batches:
-                text = b.column("text")
-                base = [[list(x) for x in base_spans(t)] if t else [] for t in text.to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(base, pair), pa.array([[list(x) for x in r] for r in _term_spans(text, shared.value)], pair)], names=[*keep, "base", "terms"])
+                text, terms = b.column("text"), _term_spans(b.column("text"), shared.value)
+                if first:
+                    base = pa.array([[list(x) for x in base_spans(t)] if t else [] for t in text.to_pylist()], pair)
+                else:
+                    base = b.column("base")
+                    terms = [sorted(x + y) for x, y in zip(b.column("terms").to_pylist(), terms)]
+                yield pa.RecordBatch.from_arrays([b.column(c) if c not in ("base", "terms") else base if c == "base" else pa.array(terms, pair) for c in names], names=names)
 
         return run
 
-    passes = [docs.select(*keep, "text").mapInArrow(marker(spark.sparkContext.broadcast(block)), ", ".join(f"`{c}` {t}" for c, t in kinds) + ", base array<array<long>>, terms array<array<long>>") for block in _blocks(terms)]
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    return every.groupBy(*keep).agg(F.first("base").alias("base"), F.array_sort(F.flatten(F.collect_list("terms"))).alias("terms"))
+    rows, blocks = docs.select(*keep, *["text"] * ("text" not in keep)), _blocks(terms)
+    block, more = next(blocks), next(blocks, None)
+    first = True
+    while True:
+        last = more is None
+        fields = [rows.schema[c] for c in (*keep, *["text"] * ("text" not in keep and (with_text or not last)))]
+        out = StructType([*fields, StructField("base", kinds), StructField("terms", kinds)])
+        shared = spark.sparkContext.broadcast(block)
+        rows = rows.mapInArrow(marker(shared, first, out.names), out)
+        if last:
+            return rows
+        rows = written(rows)
+        shared.unpersist()
+        first, block, more = False, more, next(blocks, None)
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with base spans generalised to ``[KIND]`` and revealing terms to ``[TERM]``."""
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(revealing(docs))]
-    names = docs.columns
+    # whole rows are carried as one column, so that no name of theirs clashes
+    rows = marked(docs.select(F.struct("*").alias("row"), "text"), written(revealing(docs)), ("row",), with_text=True)
+    kind = docs.schema["text"].dataType
 
     def run(batches):
         for b in batches:
-            text = b.column("text")
-            terms = [_term_spans(text, x.value) for x in shared]
             out = []
-            for r, t in enumerate(text.to_pylist()):
+            for t, base, terms in zip(b.column("text").to_pylist(), b.column("base").to_pylist(), b.column("terms").to_pylist()):
                 if not t:
                     out.append(t)
                     continue
-                spans = sorted([(s, e, KINDS[k]) for k, s, e in base_spans(t)] + [(s, e, "term") for x in terms for s, e in x[r]], key=lambda x: (x[0], -x[1]))
+                spans = sorted([(s, e, KINDS[k]) for k, s, e in base] + [(s, e, "term") for s, e in terms], key=lambda x: (x[0], -x[1]))
                 parts, at = [], 0
                 for s, e, kind in spans:
                     if s >= at:
                         parts += [t[at:s], f"[{kind.upper()}]"]
                     at = max(at, e)
                 out.append("".join([*parts, t[at:]]))
-            yield pa.RecordBatch.from_arrays([pa.array(out, text.type) if c == "text" else b.column(c) for c in names], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.string())], names=["row", "text"])
+
+    out = rows.mapInArrow(run, StructType([rows.schema["row"], StructField("text", kind)]))
+    return out.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
+
 
-    return docs.mapInArrow(run, docs.schema)
+def _number(kind: int):
+    """How many base spans are of this kind; a function of its own, as filter() gives a second parameter the place in the array."""
+    return F.size(F.filter("base", lambda x: x[0] == F.lit(kind))).cast("long")
 
 
 def digests(found: DataFrame) -> DataFrame:
     """n_email .. n_phone, base_sha256 and spans of :func:`marked` rows."""
     name = lambda x: F.concat(F.element_at(F.array(*[F.lit(k) for k in KINDS]), (x[0] + 1).cast("int")), F.lit(":"), x[1].cast("string"), F.lit(":"), x[2].cast("string"))
     base = F.array_join(F.transform("base", name), ",")
-    terms = F.transform(F.array_sort("terms"), lambda x: F.concat(F.lit("term:"), x[0].cast("string"), F.lit(":"), x[1].cast("string")))
-    out = found
-    for k, n in enumerate(KINDS[:4]):
-        out = out.withColumn(f"n_{n}", F.size(F.filter("base", lambda x, k=k: x[0] == k)).cast("long"))
+    terms = F.transform("terms", lambda x: F.concat(F.lit("term:"), x[0].cast("string"), F.lit(":"), x[1].cast("string")))
+    out = found.withColumns({f"n_{n}": _number(k) for k, n in enumerate(KINDS[:4])})
     return out.withColumn("base_sha256", F.sha2(base, 256)).withColumn("spans", F.array_join(F.concat(F.transform("base", name), terms), ","))
 
 
