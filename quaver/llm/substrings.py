@@ -17,8 +17,10 @@
 Defined cases: a null or empty text has nothing to remove; texts shorter than
 LENGTH are left whole; repeated rows are documents like any other, so each of
 them loses whatever repeats; a null id is kept; bytes may be cut inside a code
-point, as texts are bytes here; extra columns are ignored.  Equal texts, grams
-and windows are found by 64-bit hashes.
+point, as texts are bytes here; a very long text is read whole, as a slice
+of its own; an empty table gives an empty result; ids are whole numbers; extra
+columns, whatever their names, are ignored.  Equal texts, grams and windows are
+found by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ from ._common import parts, table, written
 from .decontaminate import merged
 
 LENGTH, GRAM = 400, 256
+#: Suffixes that one merging task gets, as a mean.
+ROUTE_SUFFIXES = 50_000
 _LOW = np.uint64((1 << 24) - 1)
 _CHUNK = 1 << 23
 _NONE = -(1 << 63)
@@ -68,9 +72,12 @@ def _grams(length: int, gram: int):
             for _, _, buf, off in V.slices(b.column("text")):
                 h, p, _, _ = anchors(buf, off, length, gram)
                 bound = np.searchsorted(p, off)
-                lists.append(pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(h)))
+                for d in range(len(off) - 1):
+                    # a gram that repeats within a text is listed twice, however often it does
+                    one, count = np.unique(h[bound[d] : bound[d + 1]], return_counts=True)
+                    lists.append(np.r_[one, one[count > 1]])
             if lists:
-                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("th"), b.column("n"), pa.concat_arrays(lists)], names=["key", "th", "n", "hs"])
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("th"), b.column("n"), pa.array(lists, pa.list_(pa.int64()))], names=["key", "th", "n", "hs"])
 
     return run
 
@@ -178,6 +185,17 @@ def decode_run(raw: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes], list[by
     return items, done, suffixes, lefts
 
 
+def joined(done: list[tuple]) -> list[tuple]:
+    """Resolved intervals with the overlapping ones of a text made one."""
+    out: list[tuple] = []
+    for x in sorted(done):
+        if out and out[-1][:3] == x[:3] and x[3] <= out[-1][4]:
+            out[-1] = (*out[-1][:4], max(out[-1][4], x[4]))
+        else:
+            out.append(x)
+    return out
+
+
 def _runs(length: int, gram: int, routes: int):
     def run(batches):
         for b in batches:
@@ -210,7 +228,7 @@ def _runs(length: int, gram: int, routes: int):
                         done += [(key, th, n, s, s + len(suffix) + len(left)) for suffix, left, weight, key, th, n, s in items[k:e] if weight == 1]
                     k = e
                 out[0].append(route)
-                out[1].append(encode_run(kept, done))
+                out[1].append(encode_run(kept, joined(done)))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["route", "run"])
 
     return run
@@ -271,10 +289,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tuple
     per_doc = written(keyed.select("key", "th", "n", "text").mapInArrow(_grams(length, gram), "key long, th long, n long, hs array<long>"))
     texts = written(per_doc.groupBy("th", "n").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("hs").alias("hs")))
     grams = texts.select("key", "th", "n", "copies", F.explode("hs").alias("h"))
-    again = grams.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
+    # stored, so that both sides of the join are plain shuffles, which are split where a gram is hot
+    again = written(grams.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"))
     wanted = written(grams.join(again, "h").groupBy("key", "th", "n", "copies").agg(F.collect_set("h").alias("hs")))
+    n_suffixes = wanted.agg(F.coalesce(F.sum(F.size("hs")), F.lit(0))).first()[0]
+    routes = max(4 * n, -(-n_suffixes // ROUTE_SUFFIXES))
     by_key = keyed.repartition(n, "key", "th", "n")
-    runs = by_key.select("key", "th", "n", "text").join(wanted, ["key", "th", "n"]).mapInArrow(_runs(length, gram, 4 * n), "route long, run binary")
+    runs = by_key.select("key", "th", "n", "text").join(wanted, ["key", "th", "n"]).mapInArrow(_runs(length, gram, routes), "route long, run binary")
     passages = runs.groupBy("route").applyInArrow(_merge(length, gram), "key long, th long, n long, s long, e long")
     twice = texts.filter((F.col("copies") > 1) & (F.col("n") >= length)).select("th", "n")
     whole = per_doc.select("key", "th", "n").join(twice, ["th", "n"], "left_semi").select("key", "th", "n", F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))
@@ -308,4 +329,5 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep:
 
 
 def op3_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), (F.col("n_removed") > 0).alias("changed"))
