@@ -15,15 +15,18 @@ Words are compared by 64-bit hashes of their bytes.
 
 Defined cases: a null or empty text has no words, matches nothing and is clean;
 an item without words is never found; an item of fewer words than a window is
-one window of all its words; repeated rows of documents are judged one by one;
-items with equal ids count once if any of their texts occurs; extra columns are
+one window of all its words; a very long text is searched whole, as a shard of
+its own; repeated rows of documents are judged one by one, whatever their ids;
+items with equal ids count once if any of their texts occurs, and those without
+an id hit words but are not listed; an empty benchmark hits nothing and an
+empty table gives an empty result; extra columns, whatever their names, are
 kept by :func:`decontaminate` and ignored by the others.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _vec as V
-from ._common import table, written
+from ._common import free, table, written
 
 WINDOW = 13
 BLOCK_BYTES = 8_000_000
@@ -61,27 +64,30 @@ class Tests:
                     item.append(k)
                     at.append(p)
                     rows.append(w[p : p + n])
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: by length: items, places, beginnings of suffixes, words, and the windows as ranks of words
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
         for n in sorted({len(r) for r in rows}):
             k = [x for x, r in enumerate(rows) if len(r) == n]
-            self.by_length[n] = np.stack([rows[x] for x in k]), np.array([item[x] for x in k]), np.array([at[x] for x in k])
+            tests = np.stack([rows[x] for x in k])
+            known = np.unique(V.combine(tests.ravel(), min(SEED, n))[np.arange(len(tests)) * n])
+            alphabet = np.unique(tests)
+            wanted = _rows(np.searchsorted(alphabet, tests).astype(np.int64))
+            self.by_length[n] = np.array([item[x] for x in k]), np.array([at[x] for x in k]), known, alphabet, wanted
 
     def search(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
         """(document, item, place in the document, place in the item, words) of each occurrence of a window."""
         out = [np.zeros((5, 0), np.int64)]
-        for n, (tests, item, at) in self.by_length.items():
+        for n, (item, at, known, alphabet, wanted) in self.by_length.items():
             ok = np.flatnonzero(V.cuts(len(h), first, n))
             if not len(ok):
                 continue
             # suffixes that begin as some test suffix does
             seed = min(SEED, n)
             starts = V.combine(h, seed)[ok]
-            known = np.unique(V.combine(tests.ravel(), seed)[np.arange(len(tests)) * n])
             ok = ok[known[np.minimum(np.searchsorted(known, starts), len(known) - 1)] == starts]
             if not len(ok):
                 continue
             # ranks keep the order of words and make each suffix a row of small numbers
-            alphabet = np.unique(tests)
             suffix = h[ok[:, None] + np.arange(n)]
             rank = np.searchsorted(alphabet, suffix).astype(np.int64)
             strange = alphabet[np.minimum(rank, len(alphabet) - 1)] != suffix
@@ -92,10 +98,9 @@ class Tests:
                 continue
             order = np.lexsort(rank.T[::-1])
             array, places = _rows(rank[order]), ok[order]
-            wanted = _rows(np.searchsorted(alphabet, tests).astype(np.int64))
             lo, hi = np.searchsorted(array, wanted, "left"), np.searchsorted(array, wanted, "right")
             count = hi - lo
-            which = np.repeat(np.arange(len(tests)), count)
+            which = np.repeat(np.arange(len(wanted)), count)
             place = places[np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())]
             doc = np.searchsorted(first, place, "right") - 1
             out.append(np.stack([doc, item[which], place, at[which], np.full(len(place), n)]))
@@ -162,21 +167,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     With several benchmark blocks the documents are stored with row numbers, by which the passes are merged.
     """
-    shared = _shared(docs.sparkSession, benchmark, block_bytes)
-    if len(shared) == 1:
-        return _pass(docs, shared[0], window, keep)
-    found = _merged(_numbered(docs.select(*keep, "text")), shared, window, keep)
-    return found.drop("_row")
+    first, rest = _first(benchmark, block_bytes)
+    if rest is None:
+        return _pass(docs, docs.sparkSession.sparkContext.broadcast(first), window, keep)
+    rows, row = _numbered(docs.select(*keep, "text"))
+    return _merged(rows, row, itertools.chain([first], rest), window, keep).drop(row)
 
 
-def _shared(spark: SparkSession, benchmark: DataFrame, block_bytes: int) -> list:
-    """The benchmark's blocks as broadcasts, at least one."""
-    return [spark.sparkContext.broadcast(x) for x in blocks(benchmark, block_bytes)] or [spark.sparkContext.broadcast(([], []))]
+def _first(benchmark: DataFrame, block_bytes: int) -> tuple[tuple[list, list], Iterator[tuple[list, list]] | None]:
+    """The first block of the benchmark, which may be empty, and the others if there are any."""
+    some = blocks(benchmark, block_bytes)
+    first, second = next(some, ([], [])), next(some, None)
+    return first, None if second is None else itertools.chain([second], some)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Stored rows with a number each, the same in every pass."""
-    return written(docs.withColumn("_row", F.monotonically_increasing_id()))
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Stored rows with a number each, the same in every pass, and the name of that column."""
+    row = free("_row", docs.columns)
+    return written(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
 def _pass(docs: DataFrame, shared, window: int, keep: tuple[str, ...]) -> DataFrame:
@@ -185,14 +193,16 @@ def _pass(docs: DataFrame, shared, window: int, keep: tuple[str, ...]) -> DataFr
     return docs.select(*keep, "text").mapInArrow(_hits(shared, window), schema)
 
 
-def _merged(rows: DataFrame, shared: list, window: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """_row, ``keep``, n_words, spans and items over all blocks."""
+def _merged(rows: DataFrame, row: str, some: Iterable[tuple[list, list]], window: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The row number, ``keep``, n_words, spans and items over all blocks; one block is broadcast at a time."""
     every = None
-    for x in shared:
-        p = _pass(rows, x, window, ("_row", *keep))
+    for block in some:
+        shared = rows.sparkSession.sparkContext.broadcast(block)
+        p = written(_pass(rows, shared, window, (row, *keep)))
+        shared.unpersist()
         every = p if every is None else every.unionByName(p)
     kept = [F.first(c).alias(c) for c in keep]
-    every = every.groupBy("_row").agg(*kept, F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    every = every.groupBy(row).agg(*kept, F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     join = F.expr(
         "aggregate(array_sort(spans), cast(array() as array<array<long>>), (acc, x) -> "
         "if(size(acc) > 0 and element_at(acc, -1)[1] >= x[0], "
@@ -250,12 +260,12 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with their own columns, without contaminated documents."""
-    shared = _shared(docs.sparkSession, benchmark, block_bytes)
-    if len(shared) > 1:  # hits of all blocks are judged together
-        rows = _numbered(docs)
-        bad = judged(_merged(rows, shared, window)).filter("contaminated").select("_row")
-        return rows.join(bad, "_row", "left_anti").select(*docs.columns)
-    tests_of = shared[0]
+    first, rest = _first(benchmark, block_bytes)
+    if rest is not None:  # hits of all blocks are judged together
+        rows, row = _numbered(docs)
+        bad = judged(_merged(rows, row, itertools.chain([first], rest), window)).filter("contaminated").select(row)
+        return rows.join(bad, row, "left_anti").select(*docs.columns)
+    tests_of = docs.sparkSession.sparkContext.broadcast(first)
 
     def run(batches):
         tests = Tests(*tests_of.value, window)
