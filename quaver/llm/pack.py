@@ -14,8 +14,10 @@ that the rank falls in; ranks are numbered per (length, salt), so that a length
 holding a third of all pieces is numbered by many tasks.
 
 Defined cases: a null or empty text is one piece of one token (the separator);
-repeated rows are packed each; ties between equal lengths go by doc_id, piece
-and salt; an empty table gives an empty result; extra columns are ignored.
+a very long text is tokenised whole in one task and cut into full pieces;
+repeated rows are packed each, in any order among themselves; ties between
+equal lengths go by salt, doc_id and piece; a null id is kept; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -328,16 +330,21 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in zip(("length", "rank", "sequence", "offset", "share"), zip(*rows) if rows else ((),) * 5)}
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece"), salts: int | None = None) -> DataFrame:
-    """``items`` (with a ``length`` from 1 to capacity) plus sequence_id and offset. ``items`` must be a stored table, as it is read twice."""
+def salts_of(n: int) -> int:
+    """Salts of a length that ``n`` pieces have: up to 64 for a thousand pieces each, more for a quarter million each."""
+    return max(1, min(64, -(-n // 1000)), -(-n // 250_000))
+
+
+def pack(items: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+    """``items`` (with a ``length`` from 1 to capacity) plus sequence_id and offset. ``items`` must be a stored table, as it is read more than once."""
     spark = items.sparkSession
-    salts = salts or 64
-    salted = items.withColumn("_salt", F.abs(F.xxhash64(*order)) % salts)
+    total = {r[0]: r[1] for r in items.groupBy("length").count().collect()}  # at most `capacity` rows
+    dealt = spark.createDataFrame([(k, salts_of(v)) for k, v in total.items()], "length long, _salts long")
+    salted = items.join(F.broadcast(dealt), "length").withColumn("_salt", F.pmod(F.xxhash64(*order), F.col("_salts"))).select(*items.columns, "_salt")
     counts = written(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")))
-    total = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_n")).toLocalIterator()}  # at most `capacity` rows
     plan_ = spark.sparkContext.broadcast(slots(plan(total, capacity)))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # at most capacity x salts rows
+    base = counts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # at most 64 x capacity rows and one for each 250,000 pieces
     own = Window.partitionBy("length", "_salt").orderBy(*order)
     ranked = salted.withColumn("_own", F.row_number().over(own) - 1).join(F.broadcast(base), ["length", "_salt"]).withColumn("_rank", F.col("_own") + F.col("_base")).drop("_own", "_base", "_salt")
     names = [c for c in ranked.columns if c != "_rank"]
@@ -362,14 +369,6 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     return pack(written(pieces(docs, capacity=capacity, path=path)), capacity)
 
 
-def sequences(packed_items: DataFrame) -> DataFrame:
-    """Sequences with their number of pieces and tokens."""
-    return packed_items.groupBy("sequence_id").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("length").alias("n_tokens"))
-
-
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packed(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
-
-
-Packer = Callable[[DataFrame], DataFrame]
