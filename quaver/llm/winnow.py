@@ -14,7 +14,9 @@ Defined cases: a null or empty text has an empty fingerprint; a text shorter
 than ``K`` bytes has the hash of all its bytes; one with fewer than ``W`` grams
 is one window; two empty fingerprints are alike (1.0); documents with equal ids
 are ordered by a hash of their text, those without an id come last; a single
-document is its own next; an empty table gives an empty result.
+document is its own next; an empty table gives an empty result; ids are whole
+numbers; a very long text is read in overlapping chunks; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -144,7 +146,8 @@ def with_next(docs: DataFrame, run, schema: str, buckets: int | None = None) ->
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     dealt = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text").mapInArrow(deal, f"bucket long, guest boolean, doc_id {kind}, tie long, z binary")
-    dealt = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "tie", "z")
+    # a bucket is a partition: no two of them meet in one task by their hashes
+    dealt = dealt.repartitionById(max(1, len(tops)), F.col("bucket").cast("int")).sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "tie", "z")
 
     def paired(batches):
         open_ = zstandard.ZstdDecompressor()
@@ -196,11 +199,3 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
-
-
-SQL_DIGESTS = """
-SELECT doc_id, n::BIGINT AS n_chars, sha256(e) AS edited_sha256 FROM (
-  SELECT doc_id, n, substr(t, 1, n - n // 3) || substr(coalesce(lead(t) OVER w, first_value(t) OVER w), 1, n // 3) AS e
-  FROM (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents)
-  WINDOW w AS (ORDER BY doc_id DESC))
-"""
