@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,24 +26,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables that :func:`written` has made and that are still there.
+made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a folder of our own in one JVM and the warehouse on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="quaver-")
+        one_machine = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        folder = tempfile.mkdtemp(prefix="quaver-") if one_machine else spark.conf.get("spark.sql.warehouse.dir")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def _at(spark: SparkSession, path: str):
+    """A path of Spark's file systems, and its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table of the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` as a table of the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The table goes when the application ends, or before by :func:`dropped`.
+    """
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/quaver/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made.append(path)
+    place, files = _at(spark, path)
+    files.deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in paths:
+        place, files = _at(spark, path)
+        files.delete(place, True)
+        made.remove(path)
+
+
+def free(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores behind it as it takes to be no column."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold_of(doc_id: str | Column = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5; a null id counts as the empty text (fold 0)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -19,10 +19,12 @@ Weights start from a sample of whole training documents of about
 its training documents, and the copies are averaged by their tokens: weights,
 counts, vocabulary, classes and biases all come from every training document.
 
-Defined cases: a null or empty text is its end token alone; repeated rows are
-counted and scored each; a null id counts as the empty text for the fold;
-without training documents every token has the unseen probability; extra
-columns are ignored.  Tokens are compared by 64-bit hashes.
+Defined cases: a null or empty text is its end token alone; a very long text is
+scored whole, with one state carried through it; repeated rows are counted and
+scored each; a null id counts as the empty text for the fold; without training
+documents every token has the unseen probability; an empty table gives an empty
+result; extra columns, whatever their names, are ignored.  Tokens are compared
+by 64-bit hashes.
 """
 
 from __future__ import annotations

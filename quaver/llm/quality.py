@@ -8,10 +8,12 @@ diagonal; each class keeps its Cholesky factor, and a score is the posterior
 from the difference of Mahalanobis log-densities.
 
 Defined cases: null and empty texts have all-zero counts and get a score like
-any other; labels that are null or of documents not present are ignored;
+any other; a very long text is read whole, as a slice of its own; a null id is
+held out (its text is empty, and crc32 of that is 0); an empty table gives an
+empty result; labels that are null or of documents not present are ignored;
 repeated labels and repeated rows each count; with a single class (or none) in
-the training labels the score is its share (0.5 without labels); extra columns
-are ignored.
+the training labels the score is its share (0.5 without labels); extra columns,
+whatever their names, are ignored (kept by :func:`kept`).
 """
 
 from __future__ import annotations

@@ -15,9 +15,11 @@ hashes, identifiers, file names, hosts, dates and placeholders; and, without any
 digit, random letters and passphrases against prose, names and references.
 
 Defined cases: a null or empty text has no findings and is left as it is; a
-null path counts as empty; repeated rows give their findings each; repeated
-values in one text are separate findings; extra columns are kept by
-:func:`redacted` and ignored by :func:`findings`.
+null path counts as empty; a very long text is scanned whole within its row;
+repeated rows give their findings each; repeated values in one text are
+separate findings; an empty table gives an empty result; extra columns,
+whatever their names, are kept by :func:`redacted` and ignored by
+:func:`findings`.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import free, table
 
 FINDINGS, TREES, DEPTH, SEED = 4000, 15, 6, 17
 THRESHOLD = 0.5
@@ -196,32 +198,35 @@ def _quoted(pattern: str) -> str:
 
 def _once(df: DataFrame, name: str, sql: str) -> DataFrame:
     """Adds a column behind a generator, so that later uses never evaluate its expression again."""
-    return df.select("*", F.explode(F.array(F.struct(F.expr(sql).alias("v")))).alias("_g")).select(*df.columns, F.col("_g.v").alias(name))
+    made = free("_made", df.columns)
+    return df.select("*", F.explode(F.array(F.struct(F.expr(sql).alias("v")))).alias(made)).select(*df.columns, F.col(f"{made}.v").alias(name))
 
 
-def scanned(docs: DataFrame, model: str, path: str | None = "source") -> DataFrame:
-    """``docs`` with ``_between`` (text around matches) and ``_found``: array of (lead, value, start, score) structs."""
+def scanned(docs: DataFrame, model: str, path: str | None = "source") -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns, and their names: the text between matches, and an array of (lead, value, start, score) structs."""
+    matches, between, seen, found = (free(c, docs.columns) for c in ("_matches", "_between", "_seen", "_found"))
     source = f"coalesce(cast(`{path}` as string), '')" if path and path in docs.columns else "''"
     pattern = _quoted(CANDIDATE)
-    out = _once(docs, "_matches", f"regexp_extract_all(coalesce(text, ''), {pattern}, 0)")
-    out = _once(out, "_between", f"if(size(_matches) = 0, array(coalesce(text, '')), split(coalesce(text, ''), {pattern}, -1))")
+    out = _once(docs, matches, f"regexp_extract_all(coalesce(text, ''), {pattern}, 0)")
+    out = _once(out, between, f"if(size({matches}) = 0, array(coalesce(text, '')), split(coalesce(text, ''), {pattern}, -1))")
     features = ", ".join(f"'{k}', {s}" for k, s in _feature_sql("c.value", "c.before", "c.after", source).items())
-    led = f"transform(_matches, m -> named_struct('m', m, 'lead', regexp_extract(m, {_quoted(LEAD)}, 0)))"
+    led = f"transform({matches}, m -> named_struct('m', m, 'lead', regexp_extract(m, {_quoted(LEAD)}, 0)))"
     placed = (
-        f"transform({led}, (x, i) -> named_struct('lead', x.lead, 'value', substr(x.m, length(x.lead) + 1), 'before', right(concat(_between[i], x.lead), {NEAR}), 'after', left(_between[i + 1], {NEAR}), "
-        "'start', cast(length(x.lead) + aggregate(slice(_between, 1, i + 1), 0L, (a, t) -> a + length(t)) + aggregate(slice(_matches, 1, i), 0L, (a, t) -> a + length(t)) as bigint)))"
+        f"transform({led}, (x, i) -> named_struct('lead', x.lead, 'value', substr(x.m, length(x.lead) + 1), 'before', right(concat({between}[i], x.lead), {NEAR}), 'after', left({between}[i + 1], {NEAR}), "
+        f"'start', cast(length(x.lead) + aggregate(slice({between}, 1, i + 1), 0L, (a, t) -> a + length(t)) + aggregate(slice({matches}, 1, i), 0L, (a, t) -> a + length(t)) as bigint)))"
     )
-    seen = f"transform({placed}, c -> named_struct('c', c, 'f', named_struct({features})))"
-    out = _once(out, "_seen", f"if(size(_matches) = 0, null, {seen})")
-    score = f"transform(_seen, s -> named_struct('lead', s.c.lead, 'value', s.c.value, 'start', s.c.start, 'score', element_at(transform(array(s.f), f -> {model}), 1)))"
-    out = _once(out, "_found", score)
-    return out.drop("_matches", "_seen")
+    described = f"transform({placed}, c -> named_struct('c', c, 'f', named_struct({features})))"
+    out = _once(out, seen, f"if(size({matches}) = 0, null, {described})")
+    score = f"transform({seen}, s -> named_struct('lead', s.c.lead, 'value', s.c.value, 'start', s.c.start, 'score', element_at(transform(array(s.f), f -> {model}), 1)))"
+    out = _once(out, found, score)
+    return out.drop(matches, seen), between, found
 
 
 def findings(docs: DataFrame, model: str, path: str | None = "source") -> DataFrame:
     """One row per candidate, rejected ones too: doc_id, start and length (code points), the digest of its value, score, is_secret."""
     wanted = ["doc_id", "text"] + [path] * bool(path and path in docs.columns)
-    rows = scanned(docs.select(*wanted), model, path).select("doc_id", F.explode("_found").alias("x"))
+    rows, _, found = scanned(docs.select(*wanted), model, path)
+    rows = rows.select("doc_id", F.explode(found).alias("x"))
     return rows.select(
         "doc_id", F.col("x.start").alias("start"), F.length("x.value").cast("long").alias("length"), F.sha2("x.value", 256).alias("value_sha256"), F.col("x.score").alias("score"), (F.col("x.score") >= THRESHOLD).alias("is_secret")
     )
@@ -229,11 +234,11 @@ def findings(docs: DataFrame, model: str, path: str | None = "source") -> DataFr
 
 def redacted(docs: DataFrame, model: str, path: str | None = "source") -> DataFrame:
     """``docs`` with every secret replaced by a mask; ``n_chars``, where present, follows the text."""
-    found = scanned(docs, model, path)
-    masked = F.expr(f"array_join(flatten(array(array(_between[0]), transform(_found, (x, i) -> concat(x.lead, if(x.score >= {THRESHOLD}, '{MASK}', x.value), _between[i + 1])))), '')")
-    out = found.withColumn("text", F.when(F.exists("_found", lambda x: x["score"] >= THRESHOLD), masked).otherwise(F.col("text")))
+    rows, between, found = scanned(docs, model, path)
+    masked = F.expr(f"array_join(flatten(array(array({between}[0]), transform({found}, (x, i) -> concat(x.lead, if(x.score >= {THRESHOLD}, '{MASK}', x.value), {between}[i + 1])))), '')")
+    changed = F.exists(found, lambda x: x["score"] >= THRESHOLD)
+    out = rows.withColumn("text", F.when(changed, masked).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        changed = F.exists("_found", lambda x: x["score"] >= THRESHOLD)
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

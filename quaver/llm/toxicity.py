@@ -8,9 +8,12 @@ averaging the weights of shards was measured to lose recall.  The L1 term
 leaves some hundred non-zero weights, broadcast as one small table whose size
 is bounded by ``2 ** BITS``.
 
-Defined cases: null and empty texts have no features and get the bias; labels
-that are null or of absent documents are ignored; repeated rows are scored
-alike; without training labels every score is 0.5; extra columns are ignored.
+Defined cases: null and empty texts have no features and get the bias; a very
+long text is read whole, as a slice of its own; labels that are null or of
+absent documents are ignored; repeated rows are scored alike; a null id is held
+out (its text is empty, and crc32 of that is 0); without training labels every
+score is 0.5; an empty table gives an empty result; extra columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
