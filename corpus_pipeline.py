@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quaver.llm import decontaminate, jaccard, pack, quality, secrets
-from quaver.llm._common import table, written
+from quaver.llm._common import dropped, made, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
+        before = made[:]
         docs = written(stage(spark, docs, sf_dir))
+        # what the stage read and what it made on the way is not read again
+        dropped(spark, [path for path in made[:-1] if path not in before or path == last])
+        last = made[-1]
     return docs
