@@ -420,7 +420,7 @@ def scored(docs: DataFrame, counts: DataFrame, words: Vocabulary, net: Network,
                 cols[1].append(np.bincount(doc, ok, minlength=j - i).astype(np.int64))
                 cols[2].append(np.bincount(doc, lp, minlength=j - i))
                 out = symbol == 0
-                cols[3].append(np.bincount(doc[out], lp[out] - log_other, minlength=j - i))
+                cols[3].append(np.bincount(doc[out], lp[out] - log_other, minlength=j - i).astype(float))  # numpy counts nothing in integers
                 left = np.flatnonzero(~ok)
                 bound = np.searchsorted(doc[left], np.arange(j - i + 1))
                 rare.append(pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(h[left].astype(np.int64))))
