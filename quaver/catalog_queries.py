@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import checks, corpus, enrich, pages, scans, search, stats
+from .operators import checks, corpus, enrich, pages, scans, search, stats, store
 from .sources import catalog as C
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,8 +81,6 @@ _DERIVED: dict[str, tuple[Query, str | None]] = {
     "page_links": (lambda s, d: corpus.links(_pages(s, d)).select("page_id", F.col("position").cast("long").alias("position"), "href"), "SELECT page_id, (i - 1)::BIGINT AS position, l[i] AS href FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*?href=[\"'']([^\"'']*)[\"'']', 1) AS l FROM pages))"),
     "page_link_count": (lambda s, d: stats.buckets(corpus.links(_pages(s, d)), "page_id"), "SELECT page_id, sum(len(regexp_extract_all(html, '(?i)<a\\s[^>]*?href=[\"'']([^\"'']*)[\"'']', 1)))::BIGINT AS n FROM pages GROUP BY 1 HAVING n > 0"),
     "page_records": (lambda s, d: pages.details(_pages(s, d)), None),
-    "page_listed": (lambda s, d: pages.listed(_pages(s, d)), None),
-    "page_credits": (lambda s, d: pages.details(_pages(s, d)).select("url", F.explode(pages.credit_rows(pages.parsed(F.col("payload_json")))).alias("r")).select("url", "r.*"), None),
     "last_page": (lambda s, d: _pages(s, d).select("page_id", corpus.last_page(F.col("html")).alias("n")), "SELECT page_id, coalesce(list_max(list_transform(regexp_extract_all(html, '[?&]p=(\\d+)', 1), lambda x: x::INT)), 1) AS n FROM pages"),
     "url_parts": (lambda s, d: _pages(s, d).select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("PATH")).alias("path")), "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages"),
     "url_decode": (lambda s, d: _pages(s, d).select("page_id", X.url_decoded(F.url_encode(F.col("url"))).alias("url")), "SELECT page_id, url FROM pages"),
@@ -90,18 +88,207 @@ _DERIVED: dict[str, tuple[Query, str | None]] = {
     "json_counters": (lambda s, d: checks.json_counters(C.read(s, d, "events"), "props"), "SELECT count(*) AS n, count(*) FILTER (WHERE NOT json_valid(props)) AS invalid, count(*) FILTER (WHERE json_type(props) = 'OBJECT') AS objects FROM events"),
     "row_checks": (lambda s, d: enrich.issues(C.details(s, d), 2026).select("url", F.concat_ws(",", "checks").alias("checks")), f"{C.SQL} SELECT url, 'missing_credits,missing_introduction,missing_primary_videos' || CASE WHEN published_year IS NULL THEN ',missing_published_year' WHEN published_year < 2000 OR published_year > 2027 THEN ',suspicious_published_year' ELSE '' END AS checks FROM details"),
     "issue_counts": (lambda s, d: enrich.issue_counts(enrich.issues(C.details(s, d), 2026)), f"{C.SQL} SELECT c.name AS \"check\", count(url) AS n FROM (VALUES {', '.join(f'({k!r})' for k in enrich.CHECKS)}) c(name) LEFT JOIN details ON c.name IN ('missing_credits', 'missing_introduction', 'missing_primary_videos') OR c.name = 'missing_published_year' AND published_year IS NULL OR c.name = 'suspicious_published_year' AND (published_year < 2000 OR published_year > 2027) GROUP BY 1"),
-    "video_ids": (lambda s, d: enrich.video_ids(pages.details(_pages(s, d))), None),
-    "orphan_orders": (lambda s, d: checks.orphans(C.read(s, d, "customer").select("c_custkey"), C.read(s, d, "orders"), "c_custkey", "o_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
     "orphan_details": (lambda s, d: checks.orphans(C.details(s, d).select("url"), C.people(s, d), "url", "song_url"), f"{C.SQL} SELECT url FROM details WHERE url NOT IN (SELECT song_url FROM people)"),
     "scan_emails": (lambda s, d: checks.emails(_docs(s, d)), f"SELECT doc_id, line, value FROM (SELECT doc_id, i::BIGINT AS line, unnest(regexp_extract_all(l[i], '{checks.EMAIL}')) AS value FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))) WHERE NOT ends_with(lower(value), '@example.com')"),
-    "scan_domains": (lambda s, d: scans.domains(_docs(s, d), allowed=("example.org",)), "SELECT doc_id, line, value FROM (SELECT doc_id, i::BIGINT AS line, unnest(regexp_extract_all(l[i], 'https?://([^/,\\s''\"`]+)', 1)) AS value FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))) WHERE contains(value, '.') AND NOT contains(value, '$') AND NOT regexp_matches(lower(value), '^(?:example\\.org|(?:.*\\.)?example\\.com|www\\.example\\.com|localhost|127\\.0\\.0\\.1|0\\.0\\.0\\.0|example\\.test)(?::[^:]*)?$')"),
     "markers": (lambda s, d: scans.lacking(_docs(s, d).withColumn("name", F.col("doc_id").cast("string")), {"1": ("the", "no such passage"), "2": ("",)}), "SELECT m.doc_id::VARCHAR AS name, marker FROM (VALUES (1, 'the'), (1, 'no such passage'), (2, '')) m(doc_id, marker) LEFT JOIN documents d ON m.doc_id = d.doc_id WHERE d.doc_id IS NULL OR NOT contains(text, marker)"),
-    "scan_ips": (lambda s, d: checks.public_ips(_docs(s, d)), None),
-    "scan_secrets": (lambda s, d: checks.secret_assignments(_docs(s, d)).select("doc_id", "line", F.md5("value").alias("h")), None),
     "duplicate_headings": (lambda s, d: stats.duplicates(_docs(s, d).select(F.md5("text").alias("h")), "h"), "SELECT md5(text) AS h, count(*) AS n FROM documents GROUP BY 1 HAVING n > 1"),
     "profile_latency": (lambda s, d: stats.latency(C.read(s, d, "events"), "event_type", "value"), "SELECT event_type, round(min(value), 2) AS min_ms, round(median(value), 2) AS median_ms, round(max(value), 2) AS max_ms FROM events GROUP BY 1"),
 }
 
+_WIKI = "WITH p AS (SELECT p_partkey AS k, p_name, p_brand, 'https://catalog.example.test/pages/' || p_partkey || '.html' AS url, lpad(p_partkey::VARCHAR, 11, 'A') AS own, lpad(p_partkey::VARCHAR, 11, 'B') AS other FROM part)"
+SITE = pages.Site(title_ending="Songs Wiki", tag_path="/w/tag/")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.details(C.wiki(spark, sf_dir), SITE)
+
+
+def _record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir).select("url", pages.parsed(F.col("payload_json")).alias("d"))
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _record(spark, sf_dir)
+    every = [F.transform(pages.flat_videos(F.col(f"d.{section}")), _of(section)) for section in enrich.SECTIONS]
+    return d.select("url", F.explode(F.concat(*every)).alias("r")).select("url", "r.section", "r.service", "r.entry.id", pages.thumbnail(F.col("r.entry")).alias("thumbnail"), pages.thumbnail(F.col("r.entry"), 1).alias("next_thumbnail"))
+
+
+def _of(section: str):
+    return lambda x: F.struct(F.lit(section).alias("section"), x["service"].alias("service"), x["entry"].alias("entry"))
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two services might tell of the videos: a third whole, a third broken, a third nothing."""
+    ids = enrich.video_ids(_records(spark, sf_dir)).withColumn("k", F.regexp_extract("id", "([0-9]+)$", 1).cast("long"))
+    niconico = F.concat(F.lit("<r><thumb><title> N "), "k", F.lit("</title><thumbnail_url>https://n.test/"), "k", F.lit("</thumbnail_url></thumb></r>"))
+    youtube = F.concat(F.lit('{"title": " T '), "k", F.lit('", "thumbnail_url": "https://t.test/'), "k", F.lit('"}'))
+    body = F.when(F.col("k") % 3 == 0, F.when(F.col("service") == "niconico", niconico).otherwise(youtube)).when(F.col("k") % 3 == 1, F.lit("<{"))
+    return ids.withColumn("body", body).select("service", "id", enrich.answer("service", "id", "body").alias("r")).select("service", "id", "r.*")
+
+
+def _applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = _answers(spark, sf_dir).filter("title is not null")
+    return enrich.apply_metadata(_records(spark, sf_dir), told).select("url", "updated", F.get_json_object("payload_json", "$.videos.youtube[0].title").alias("title"), F.get_json_object("payload_json", "$.related_videos.niconico[0].thumbnail_url").alias("thumbnail"))
+
+
+_IDS = f"{_WIKI}, ids AS (SELECT 'youtube' AS service, own AS id, k FROM p UNION ALL SELECT 'youtube', other, k FROM p UNION ALL SELECT 'niconico', 'sm' || k, k FROM p)"
+_TITLE = "CASE k % 3 WHEN 0 THEN (CASE service WHEN 'niconico' THEN 'N ' ELSE 'T ' END) || k WHEN 1 THEN CASE service WHEN 'niconico' THEN 'ニコニコ動画' ELSE 'YouTube' END END"
+_THUMBNAIL = "CASE k % 3 WHEN 0 THEN (CASE service WHEN 'niconico' THEN 'https://n.test/' ELSE 'https://t.test/' END) || k WHEN 1 THEN CASE service WHEN 'niconico' THEN 'https://nicovideo.cdn.nimg.jp/thumbnails/' || k || '/' || k || '.L' ELSE 'https://img.youtube.com/vi/' || id || '/mqdefault.jpg' END END"
+
+
+def _variants(spark: SparkSession, sf_dir: str) -> dict[str, list[tuple[str, str]]]:
+    n = str(C.read(spark, sf_dir, "part").count())
+    return {
+        "whole": [("schema_version", "2"), ("detail_schema_version", "2"), ("song_count", n), ("detail_count", n)],
+        "lacking": [("schema_version", "2"), ("song_count", n)],
+        "wrong": [("schema_version", "1"), ("detail_schema_version", "2"), ("song_count", "x"), ("detail_count", "7")],
+    }
+
+
+_REQUIRED = ("detail_count", "detail_schema_version", "schema_version", "song_count")
+
+
+def _per_variant(spark: SparkSession, sf_dir: str, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    every = None
+    for name, pairs in _variants(spark, sf_dir).items():
+        one = of(spark.createDataFrame(pairs, "key string, value string")).withColumn("variant", F.lit(name))
+        every = one if every is None else every.unionByName(one)
+    return every
+
+
+def _ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = stats.scalars(C.catalog(spark, sf_dir)).select("songs", "details")
+    plain = _per_variant(spark, sf_dir, lambda m: checks.readiness(counts, m, _REQUIRED)).withColumn("strict", F.lit(False))
+    strict = _per_variant(spark, sf_dir, lambda m: checks.readiness(counts, m, _REQUIRED, {"schema_version": "2"}, True)).withColumn("strict", F.lit(True))
+    return plain.unionByName(strict)
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = enrich.core_counts(C.catalog(spark, sf_dir), "2")
+    out = _per_variant(spark, sf_dir, lambda m: enrich.store_report(counts, m, _REQUIRED, {"schema_version": "2", "detail_schema_version": "2"}))
+    return out.select("variant", F.concat_ws("; ", "errors").alias("errors"), F.concat_ws("; ", "warnings").alias("warnings"), "ok")
+
+
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tags(spark, sf_dir).select("tag", "tag_rank", F.col("position").alias("event_id")).withColumn("page", F.floor(F.col("event_id") / 1000))
+    rows = stats.numbered(rows, "tag_order", ["tag"], ["page"], "event_id")
+    return stats.numbered(rows, "sort_order", [], ["tag_rank", "page"], "event_id").select("event_id", "tag_order", "sort_order")
+
+
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = ['{"videos":[{"title":"a","thumbnail_url":"b"},{"title":""},1]}', '{"related_videos":[{"thumbnail_url":"x"}]}', "{bad", '{"videos":{"youtube":[]}}']
+    rows = C.read(spark, sf_dir, "events").select(F.element_at(F.array(*[F.lit(x) for x in kinds]), (F.col("event_id") % 4 + 1).cast("int")).alias("payload_json"))
+    return enrich.content_counts(rows)
+
+
+def _popular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame([(label, score, label.lower(), k) for k, (label, score) in enumerate(C.LABELS[:4])], "title string, score int, label string, order int")
+    return corpus.with_popularity(C.read(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("title")), known)
+
+
+def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = C.read(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.lit(-1).cast("long").alias("version"))
+    new = C.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.concat("o_orderpriority", F.lit(" "), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_orderkey").alias("version"))
+    return store.upsert(old, new, "c_custkey", "version")
+
+
+def _children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = C.read(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 3).alias("who"), (F.col("l_linenumber") * 10).alias("note"), "l_linenumber")
+    old = lines.filter("l_linenumber = 1").drop("l_linenumber")
+    return store.replace_children(old, lines.filter("l_orderkey % 10 = 0"), "l_orderkey", ("l_orderkey", "who"), "l_linenumber")
+
+
+def _dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {t: C.read(spark, sf_dir, t) for t in ("region", "nation")}
+    return store.dump(tables, {"by_region": ("nation", ("n_regionkey", "n_name")), "a_name": ("region", ("r_name",))})
+
+
+_DUMP = """
+SELECT 0 AS step, 'DROP TABLE IF EXISTS "nation";' AS statement UNION ALL SELECT 1, 'DROP TABLE IF EXISTS "region";'
+UNION ALL SELECT 2, 'CREATE TABLE "region" ("r_regionkey" INTEGER, "r_name" TEXT);' UNION ALL SELECT 3, 'CREATE TABLE "nation" ("n_nationkey" INTEGER, "n_name" TEXT, "n_regionkey" INTEGER);'
+UNION ALL SELECT 4, 'INSERT INTO "region" ("r_regionkey", "r_name") VALUES (' || r_regionkey || ', ''' || replace(r_name, '''', '''''') || ''');' FROM region
+UNION ALL SELECT 5, 'INSERT INTO "nation" ("n_nationkey", "n_name", "n_regionkey") VALUES (' || n_nationkey || ', ''' || replace(n_name, '''', '''''') || ''', ' || n_regionkey || ');' FROM nation
+UNION ALL SELECT 6, 'CREATE INDEX "a_name" ON "region" ("r_name");' UNION ALL SELECT 7, 'CREATE INDEX "by_region" ON "nation" ("n_regionkey", "n_name");'
+"""
+
+
+def _text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, k = F.col("p_name"), F.col("p_partkey").cast("string")
+    rows = C.read(spark, sf_dir, "part")
+    say = F.lit
+    return rows.select(
+        "p_partkey",
+        X.nfc(F.concat(say("か\u3099e\u0301 "), t)).alias("nfc"),
+        X.like_escaped(F.concat(t, say("%_\\"))).alias("escaped"),
+        X.unescaped_title(F.concat(say("  A &amp; &#x304B;&#x3099; "), t, say(" "))).alias("unescaped"),
+        X.credit_name(F.concat(say(" ＡＢ　"), F.upper(t), say("ß "))).alias("credit_name"),
+        X.url_decoded(F.concat(say("a%20b+c%E3%81%8B%2F"), k)).alias("decoded"),
+        X.sql_literal(F.concat(t, say("'s"))).alias("literal"),
+        X.parenthesis_balance(F.concat(say("（("), t, say(")"))).cast("long").alias("balance"),
+        X.without_parentheses(F.concat(say("（ "), t, say(")"))).alias("bare"),
+        X.host(F.concat(say("HTTPS://Www.Host"), k, say(".test:80/x?y"))).alias("host"),
+        X.slug(F.concat(say(" The "), t, say("! (かな)-"), k)).alias("slug"),
+        X.title_length(F.concat(t, say(" \u200b\u2060\u3000👨‍👩‍👧\r\n"))).cast("long").alias("clusters"),
+        X.whole_number(F.when(F.col("p_partkey") % 2 == 0, k).otherwise(t))[0].alias("number"),
+        X.whole_number(F.when(F.col("p_partkey") % 2 == 0, k).otherwise(t))[1].alias("no_number"),
+        X.utc_now(F.to_timestamp(F.lit("2024-05-06 07:08:09"))).alias("moment"),
+        F.array_join(enrich.missing(("b", "a", "c"), F.array(say("b"), F.substring(t, 1, 1))), ",").alias("missing"),
+    )
+
+
+_TEXT_RULES = """
+SELECT p_partkey, 'がé ' || p_name AS nfc, p_name || '\\%\\_\\\\' AS escaped, 'A & が ' || p_name AS unescaped, 'ab ' || lower(p_name) || 'ss' AS credit_name,
+  'a b+cか/' || p_partkey AS decoded, '''' || p_name || '''''s''' AS literal, 1::BIGINT AS balance, p_name AS bare, 'www.host' || p_partkey || '.test' AS host,
+  'the-' || replace(p_name, ' ', '-') || '-かな-' || p_partkey AS slug, (length(replace(p_name, ' ', '')) + 1)::BIGINT AS clusters,
+  CASE WHEN p_partkey % 2 = 0 THEN p_partkey END AS number, CASE WHEN p_partkey % 2 = 1 THEN 'not a whole number: ' || p_name END AS no_number, '2024-05-06T07:08:09+00:00' AS moment,
+  array_to_string(list_sort(list_filter(['b', 'a', 'c'], lambda x: x <> 'b' AND x <> p_name[1])), ',') AS missing
+FROM part
+"""
+
+
+def _crawling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pages(spark, sf_dir).select("page_id", F.concat(F.lit("https://w.test/t?q="), F.col("page_id").cast("string")).alias("u"), (F.col("page_id") % 3 + 1).cast("int").alias("last"))
+    asked = F.when(F.col("page_id") % 4 == 0, (F.col("page_id") % 50).cast("double"))
+    return rows.select("page_id", F.array_join(corpus.page_urls(F.col("u"), F.col("last")), " ").alias("urls"), corpus.retry_delay((F.col("page_id") % 6 + 1).cast("int"), asked).alias("wait"))
+
+
+_CRAWLING = "SELECT page_id, array_to_string(list_transform(range(1, page_id % 3 + 2), lambda p: 'https://w.test/t?q=' || page_id || CASE WHEN p > 1 THEN '&p=' || p ELSE '' END), ' ') AS urls, least(coalesce(CASE WHEN page_id % 4 = 0 THEN (page_id % 50)::DOUBLE END, 2.0 * pow(2.0, page_id % 6)), 30.0) AS wait FROM pages"
+_LINES = "(SELECT doc_id, l[i] AS t, i::BIGINT AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
+_PUBLIC = """list_max(o) <= 255 AND NOT (o[1] IN (0, 10, 127) OR o[1] >= 224 OR (o[1] = 100 AND o[2] BETWEEN 64 AND 127) OR (o[1] = 169 AND o[2] = 254) OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31) OR (o[1] = 192 AND o[2] = 168)
+  OR (o[1] = 192 AND o[2] = 0 AND o[3] IN (0, 2)) OR (o[1] = 198 AND o[2] IN (18, 19)) OR (o[1] = 198 AND o[2] = 51 AND o[3] = 100) OR (o[1] = 203 AND o[2] = 0 AND o[3] = 113))"""
+_SECRET = checks.ASSIGNMENT.replace("(?iU)", "(?i)").replace("'", "''")
+_FAILED = "'missing_credits,missing_introduction,missing_primary_videos' || CASE WHEN published_year IS NULL THEN ',missing_published_year' WHEN published_year < 2000 OR published_year > 2027 THEN ',suspicious_published_year' ELSE '' END"
+
+_DERIVED |= {
+    "wiki_records": (lambda s, d: _record(s, d).select("url", "d.page_title", "d.reading", "d.published_year", "d.source_url"), f"{_WIKI} SELECT url, p_name AS page_title, CASE WHEN k % 2 = 0 THEN 'よみ' || k ELSE '' END AS reading, (2004 + k % 20)::INT AS published_year, url AS source_url FROM p"),
+    "wiki_credits": (lambda s, d: _record(s, d).select("url", F.explode(pages.credit_rows(F.col("d"))).alias("r")).select("url", "r.field", F.array_join("r.names", "|").alias("names")), f"{_WIKI} SELECT url, r.field, r.names FROM (SELECT url, unnest([{{'field': 'reading', 'names': CASE WHEN k % 2 = 0 THEN 'よみ' || k ELSE '' END}}, {{'field': 'lyricist', 'names': p_brand || '|Lyric ' || k}}, {{'field': 'composer', 'names': p_name}}, {{'field': 'arranger', 'names': p_name}}, {{'field': 'vocalist', 'names': 'Voice ' || (k % 7) || ' feat. Guest ' || (k % 5) || '（調声：Tuner ' || (k % 3) || '）'}}]) AS r FROM p) WHERE r.names <> ''"),
+    "wiki_introduction": (lambda s, d: _record(s, d).select("url", F.array_join("d.introduction", "|").alias("told")), f"{_WIKI} SELECT url, CASE WHEN k % 2 = 0 THEN 'This is the sentence of part ' || k || '.' ELSE '第' || k || '作として公開された曲である。|終わりのない' || k || '行' END AS told FROM p"),
+    "wiki_videos": (_entries, f"{_WIKI} SELECT url, r.section, r.service, r.id, r.t || '/' || r.a AS thumbnail, r.t || '/' || r.b AS next_thumbnail FROM (SELECT url, unnest([{{'section': 'videos', 'service': 'YouTube', 'id': own, 't': 'https://img.youtube.com/vi/' || own, 'a': 'maxresdefault.jpg', 'b': 'hqdefault.jpg'}}, {{'section': 'related_videos', 'service': 'ニコニコ', 'id': 'sm' || k, 't': 'https://nicovideo.cdn.nimg.jp/thumbnails/' || k, 'a': k || '.L', 'b': k || '.M'}}, {{'section': 'related_videos', 'service': 'YouTube', 'id': other, 't': 'https://img.youtube.com/vi/' || other, 'a': 'maxresdefault.jpg', 'b': 'hqdefault.jpg'}}]) AS r FROM p)"),
+    "wiki_listed": (lambda s, d: pages.listed(C.wiki_tags(s, d)).withColumn("position", F.col("position").cast("long")), "SELECT p_brand AS url, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS position, p_name || ' & ' || p_partkey || ' / x' AS title, 'https://wiki.example.test/w/pages/' || p_partkey || '.html' AS song_url FROM part"),
+    "video_ids": (lambda s, d: enrich.video_ids(_records(s, d)), f"{_IDS} SELECT service, id FROM ids"),
+    "video_answers": (_answers, f"{_IDS} SELECT service, id, {_TITLE} AS title, {_THUMBNAIL} AS thumbnail_url FROM ids"),
+    "fetch_summary": (lambda s, d: enrich.fetch_summary(_answers(s, d).select("service", "id"), _answers(s, d).filter("title is not null")), f"{_IDS} SELECT service, count(*) AS total, count(*) FILTER (WHERE k % 3 = 0) AS success, count(*) FILTER (WHERE k % 3 = 2) AS failure, count(*) FILTER (WHERE k % 3 = 1) AS fallback FROM ids GROUP BY 1"),
+    "apply_metadata": (_applied, f"{_WIKI} SELECT url, CASE WHEN k % 3 < 2 THEN 3 ELSE 0 END::BIGINT AS updated, CASE k % 3 WHEN 0 THEN 'T ' || k WHEN 1 THEN 'YouTube' ELSE 'YouTube ' || own END AS title, CASE k % 3 WHEN 0 THEN 'https://n.test/' || k ELSE 'https://nicovideo.cdn.nimg.jp/thumbnails/' || k || '/' || k || '.L' END AS thumbnail FROM p"),
+    "readiness": (_ready, "SELECT variant, strict, variant = 'whole' OR (variant = 'wrong' AND NOT strict) AS ready FROM (VALUES ('whole'), ('lacking'), ('wrong')) v(variant), (VALUES (true), (false)) t(strict)"),
+    "store_report": (_report, "SELECT variant, CASE variant WHEN 'whole' THEN '' WHEN 'lacking' THEN 'metadata lacks detail_count; metadata lacks detail_schema_version; ' ELSE 'schema_version is 1, not 2; song_count is x but there are ' || n || '; detail_count is 7 but there are ' || n || '; ' END || old || ' details of another version' AS errors, '' AS warnings, false AS ok FROM (VALUES ('whole'), ('lacking'), ('wrong')) v(variant), (SELECT count(*) AS n, count(*) FILTER (WHERE p_partkey % 50 = 0) AS old FROM part)"),
+    "core_counts": (lambda s, d: enrich.core_counts(C.catalog(s, d), "2"), f"{C.SQL} SELECT (SELECT count(*) FROM songs) AS songs, (SELECT count(*) FROM details) AS details, (SELECT count(published_year) FROM details) AS with_year, (SELECT count(DISTINCT song_url) FROM people) AS with_composer, (SELECT count(*) FROM details WHERE schema_version <> '2') AS version_mismatch, 0::BIGINT AS invalid, 0::BIGINT AS videos, 0::BIGINT AS related_videos, 0::BIGINT AS with_thumbnail, 0::BIGINT AS with_title, (SELECT count(*) FROM details WHERE url NOT IN (SELECT song_url FROM songs)) AS orphan_details, (SELECT count(*) FROM people WHERE song_url NOT IN (SELECT song_url FROM songs)) AS orphan_people"),
+    "content_counts": (_contents, "SELECT count(*) FILTER (WHERE event_id % 4 = 2) AS invalid, 3 * count(*) FILTER (WHERE event_id % 4 = 0) AS videos, count(*) FILTER (WHERE event_id % 4 = 1) AS related_videos, count(*) FILTER (WHERE event_id % 4 < 2) AS with_thumbnail, count(*) FILTER (WHERE event_id % 4 = 0) AS with_title FROM events"),
+    "payloads": (lambda s, d: enrich.payloads(C.details(s, d)).select("url", F.try_variant_get("record", "$.page_title", "string").alias("page_title"), F.try_variant_get("record", "$.published_year", "int").alias("published_year")), f"{C.SQL} SELECT url, p_name AS page_title, published_year FROM details"),
+    "issue_report": (lambda s, d: enrich.issue_report(C.catalog(s, d), 2026, None).select("title", "song_url", F.concat_ws(",", "checks").alias("checks")), f"{C.SQL} SELECT title, song_url, {_FAILED} AS checks FROM songs JOIN details ON song_url = url"),
+    "popularity_lookup": (_popular, "SELECT p_partkey, p_type AS title, CASE p_type WHEN 'PROMO' THEN 1200 WHEN 'LARGE' THEN 1000 WHEN 'ECONOMY' THEN 950 WHEN 'STANDARD' THEN 800 ELSE 0 END AS popularity_score, CASE WHEN p_type IN ('PROMO', 'LARGE', 'ECONOMY', 'STANDARD') THEN lower(p_type) ELSE '' END AS popularity_label, CASE p_type WHEN 'LARGE' THEN 1 WHEN 'ECONOMY' THEN 2 WHEN 'STANDARD' THEN 3 ELSE 0 END AS popularity_order FROM part"),
+    "numbering": (_numbers, f"SELECT position AS event_id, row_number() OVER (PARTITION BY tag ORDER BY position) AS tag_order, row_number() OVER (ORDER BY tag_rank, position) AS sort_order FROM ({_TAGS})"),
+    "projection": (lambda s, d: search.tsv(C.songs(s, d), ("artist", "title_length", "popularity_label")), f"{C.SQL} SELECT title || chr(9) || artist || chr(9) || title_length || chr(9) || popularity_label AS line FROM songs"),
+    "upserted": (_upserted, "SELECT c_custkey, c_name AS name, -1::BIGINT AS version FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT o_custkey, arg_max(o_orderpriority || ' ' || o_orderkey, o_orderkey), max(o_orderkey) FROM orders GROUP BY 1"),
+    "children_replaced": (_children, "SELECT l_orderkey, l_suppkey % 3 AS who, l_linenumber * 10 AS note FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 10 <> 0 UNION ALL SELECT l_orderkey, l_suppkey % 3, min(l_linenumber) * 10 FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1, 2"),
+    "sql_dump": (_dump, _DUMP),
+    "text_rules": (_text_rules, _TEXT_RULES),
+    "crawling": (_crawling, _CRAWLING),
+    "orphan_orders": (lambda s, d: checks.orphans(C.read(s, d, "customer").select("c_custkey"), C.read(s, d, "orders").filter("o_orderpriority = '1-URGENT'"), "c_custkey", "o_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
+    "scan_domains": (lambda s, d: scans.domains(_pages(s, d).select(F.col("page_id").alias("doc_id"), F.concat(F.lit("x\nsee "), "url").alias("text")), allowed=("example.org",)), "SELECT page_id AS doc_id, 2::BIGINT AS line, value FROM (SELECT page_id, regexp_extract(url, 'https?://([^/,\\s''\"`]+)', 1) AS value FROM pages) WHERE contains(value, '.') AND NOT contains(value, '$') AND NOT regexp_matches(lower(value), '^(?:example\\.org|(?:.*\\.)?example\\.com|www\\.example\\.com|localhost|127\\.0\\.0\\.1|0\\.0\\.0\\.0|example\\.test)(?::[^:]*)?$')"),
+    "scan_ips": (lambda s, d: checks.public_ips(_docs(s, d)), f"SELECT doc_id, line, value FROM (SELECT doc_id, line, value, list_transform(string_split(value, '.'), lambda x: x::INT) AS o FROM (SELECT doc_id, line, unnest(regexp_extract_all(t, '{checks.IPV4}')) AS value FROM {_LINES})) WHERE {_PUBLIC}"),
+    "scan_secrets": (lambda s, d: checks.secret_assignments(_docs(s, d)).select("doc_id", "line", F.md5("value").alias("h")), f"SELECT doc_id, line, md5(value) AS h FROM (SELECT doc_id, line, regexp_extract(t, '{_SECRET}', 1) AS value FROM {_LINES} WHERE NOT regexp_matches(t, '{checks.PLACEHOLDERS}')) WHERE value <> ''"),
+}
+
 
 def queries() -> dict[str, Query]:
     found = {k: (lambda s, d, how=how: search.search(C.catalog(s, d), **how)) for k, (how, _) in _SEARCHES.items()}

@@ -19,7 +19,7 @@ BLANKS = "".join(map(chr, (0x200B, 0x200C, 0x2060, 0xFEFF, 0x2800)))
 @F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """X-1: Unicode NFC."""
-    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+    return s.map(lambda x: x if x.isascii() else unicodedata.normalize("NFC", x), na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
@@ -45,7 +45,10 @@ def grapheme_clusters(c: Column) -> Column:
 
 def title_length(c: Column) -> Column:
     """X-5: grapheme clusters that are neither white space nor blank characters alone; the text is taken as NFC."""
-    return F.size(F.filter(grapheme_clusters(c), lambda x: ~x.rlike(f"^[{SPACES}]+$") & ~x.rlike(f"^[{BLANKS}]+$")))
+    # each cluster gets an end mark, uncounted ones go, marks are counted: no array of clusters is made
+    marked = F.regexp_replace(F.translate(c, "\x01", "\x02"), r"(\X)", "$1\x01")
+    counted = F.regexp_replace(marked, f"(?:^|(?<=\x01))(?:[{SPACES}]+|[{BLANKS}]+)\x01", "")
+    return F.length(counted) - F.length(F.translate(counted, "\x01", ""))
 
 
 def title_parts(c: Column) -> dict[str, Column]:
@@ -104,3 +107,15 @@ def host(c: Column) -> Column:
 def slug(c: Column) -> Column:
     """X-29: heading anchors."""
     return F.regexp_replace(strip(F.regexp_replace(F.lower(c), r"(?U)[^\w\-\x{3040}-\x{30ff}\x{3400}-\x{9fff} ]+", "")), r"(?U)\s+", "-")
+
+
+def utc_now(now: Column | None = None) -> Column:
+    """X-23: a moment as ISO 8601 in UTC, to the second; the time of the query by default."""
+    moment = F.current_timestamp() if now is None else now
+    return F.date_format(F.convert_timezone(None, F.lit("UTC"), moment.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def whole_number(c: Column) -> tuple[Column, Column]:
+    """X-24: the number, and what is wrong if the text is none."""
+    n = c.try_cast("bigint")
+    return n, F.when(c.isNotNull() & n.isNull(), F.concat(F.lit("not a whole number: "), c))

@@ -46,7 +46,8 @@ def json_counters(rows: DataFrame, column: str) -> DataFrame:
 
 def line_hits(docs: DataFrame, pattern: str, group: int = 0) -> DataFrame:
     """(doc_id, line, value) of each match, by line from 1."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    # texts without a match are not taken apart
+    lines = docs.filter(F.col("text").rlike(pattern)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     found = lines.select("doc_id", (F.col("line") + 1).cast("long").alias("line"), F.explode(F.regexp_extract_all("t", F.lit(pattern), F.lit(group))).alias("value"))
     return found
 
@@ -71,5 +72,5 @@ def public_ips(docs: DataFrame) -> DataFrame:
 
 def secret_assignments(docs: DataFrame) -> DataFrame:
     """T-4: the first assignment of each line without a placeholder."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).filter(~F.col("t").rlike(PLACEHOLDERS))
+    lines = docs.filter(F.col("text").rlike(ASSIGNMENT)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).filter(~F.col("t").rlike(PLACEHOLDERS))
     return lines.select("doc_id", (F.col("line") + 1).cast("long").alias("line"), F.regexp_extract("t", ASSIGNMENT, 1).alias("value")).filter("value <> ''")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 #: Titles that are not works, dropped by title part (P-9).
-NOT_WORKS: tuple[str, ...] = ()
+NOT_WORKS: tuple[str, ...] = ("曲一覧",)
 
 
 def best_tag(hits: DataFrame) -> DataFrame:
@@ -57,8 +57,8 @@ def links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(hrefs).alias("position", "href"))
 
 
-def video_ids(c: Column) -> Column:
-    """X-14: distinct ids of embedded players, in order: two or three letters with digits, or eleven characters."""
-    first = F.regexp_extract_all(c, F.lit(r"nicovideo\.jp/(?:watch|thumb)/((?:sm|nm|so)\d+)"), F.lit(1))
-    second = F.regexp_extract_all(c, F.lit(r"youtube(?:-nocookie)?\.com/(?:embed/|watch\?v=)([A-Za-z0-9_-]{11})"), F.lit(1))
-    return F.struct(X.unique(first).alias("niconico"), X.unique(second).alias("youtube"))
+def with_popularity(songs: DataFrame, popularity: DataFrame, key: str = "title") -> DataFrame:
+    """J-7: songs with the score, label and order of their popularity; 0, empty and 0 where there is none. ``popularity`` has a row for each key."""
+    own = popularity.select(key, *[F.col(c).alias(f"popularity_{c}") for c in ("score", "label", "order")])
+    default = {"popularity_score": 0, "popularity_label": "", "popularity_order": 0}
+    return songs.join(own, key, "left").fillna(default)

@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.catalog import Catalog
 from .pages import DETAIL, SERVICES, niconico_thumbnails, youtube_thumbnails
+from .search import order
+from .stats import scalars
 
 SECTIONS = ("videos", "related_videos")
 #: Names of the row checks, in order, and words that no composer's name has.
@@ -134,6 +137,11 @@ def _known(service, found):
     return lambda e: found(service, e).isNotNull()
 
 
+def _stated(v: Column, text: Column) -> Column:
+    """A text that is not empty, or a number or truth value other than zero and false."""
+    return F.coalesce(F.when(_kind(v, "STRING"), text != "").otherwise(~text.isin("0", "false")), F.lit(False))
+
+
 def row_checks(payload: Column, stored_year: Column, this_year: int) -> Column:
     """Q-9: names of the checks that a record fails, in order."""
     v = F.try_parse_json(payload)
@@ -142,7 +150,7 @@ def row_checks(payload: Column, stored_year: Column, this_year: int) -> Column:
     has_credits = F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.credits", "variant")).rlike("^OBJECT<.+>$"), F.lit(False))
     odd_name = F.exists(composers, lambda x: reduce(lambda a, b: a | b, [F.contains(F.lower(x), F.lit(w)) for w in SUSPICIOUS]))
     services = F.try_variant_get(v, "$.videos", "map<string,variant>")
-    with_id = lambda e: _kind(e, "OBJECT") & ~F.coalesce(F.try_variant_get(e, "$.id", "string"), F.lit("")).isin("", "0", "false")
+    with_id = lambda e: _kind(e, "OBJECT") & _stated(F.try_variant_get(e, "$.id", "variant"), F.try_variant_get(e, "$.id", "string"))
     has_video = F.coalesce(F.exists(F.map_values(services), lambda x: F.exists(_list(x, "$"), with_id)), F.lit(False))
     odd = lambda y: (y < 2000) | (y > this_year + 1)
     failed = F.array_compact(F.array(
@@ -155,8 +163,21 @@ def row_checks(payload: Column, stored_year: Column, this_year: int) -> Column:
     return F.when(v.isNull(), F.array(F.lit("invalid_json"))).otherwise(failed)
 
 
+def payloads(details: DataFrame) -> DataFrame:
+    """S-4: (url, record) in order of the url; a null record where the payload is no JSON."""
+    return details.select("url", F.try_parse_json("payload_json").alias("record")).orderBy("url")
+
+
+def issue_report(c: Catalog, this_year: int, limit: int | None = 100) -> DataFrame:
+    """J-6: (title, song_url, checks) of songs whose record fails a check, by popularity."""
+    rows = c.songs.join(c.details.select("url", "payload_json", "published_year"), F.col("song_url") == F.col("url"))
+    failed = rows.withColumn("checks", row_checks(F.col("payload_json"), F.col("published_year"), this_year)).filter(F.size("checks") > 0)
+    ordered = failed.orderBy(*order("popularity")).select("title", "song_url", "checks")
+    return ordered if limit is None else ordered.limit(limit)
+
+
 def issues(details: DataFrame, this_year: int) -> DataFrame:
-    """J-6: records that fail a check."""
+    """Records that fail a check."""
     return details.select("url", row_checks(F.col("payload_json"), F.col("published_year"), this_year).alias("checks")).filter(F.size("checks") > 0)
 
 
@@ -178,10 +199,37 @@ def missing(required: tuple[str, ...], present: Column) -> Column:
     return F.array_sort(F.array_except(F.array(*[F.lit(x) for x in required]), present))
 
 
+def content_counts(details: DataFrame, payload: str = "payload_json") -> DataFrame:
+    """A-15: payloads that are no JSON, entries of the lists of videos and related videos, and those with a thumbnail or a title."""
+    v = F.try_parse_json(payload)
+    entries = lambda k: _list(v, f"$.{k}")
+    has = lambda k: lambda e: _kind(e, "OBJECT") & _stated(F.try_variant_get(e, f"$.{k}", "variant"), F.try_variant_get(e, f"$.{k}", "string"))
+    size = lambda *lists: F.coalesce(F.sum(reduce(lambda a, b: a + b, [F.size(x) for x in lists])), F.lit(0)).cast("long")
+    both = [entries(k) for k in SECTIONS]
+    return details.agg(
+        F.count_if(v.isNull()).alias("invalid"), size(both[0]).alias("videos"), size(both[1]).alias("related_videos"),
+        size(*[F.filter(x, has("thumbnail_url")) for x in both]).alias("with_thumbnail"), size(*[F.filter(x, has("title")) for x in both]).alias("with_title"),
+    )
+
+
+def core_counts(c: Catalog, version: str | None = None) -> DataFrame:
+    """Q-4 and the broken references: one row, made of frames of one row each."""
+    keys = c.songs.select(F.col("song_url").alias("url")).distinct()
+    orphans = lambda df, key: df.select(F.col(key).alias("url")).join(keys, "url", "left_anti").agg(F.count(F.lit(1)).alias("n"))
+    other = F.count_if(F.col("schema_version") != version) if version is not None else F.lit(0).cast("long")
+    out = scalars(c)
+    for one in (
+        c.details.agg(other.alias("version_mismatch")), content_counts(c.details),
+        orphans(c.details, "url").withColumnRenamed("n", "orphan_details"), orphans(c.people, "song_url").withColumnRenamed("n", "orphan_people"),
+    ):
+        out = out.crossJoin(F.broadcast(one))
+    return out
+
+
 def store_report(counts: DataFrame, metadata: DataFrame, required: tuple[str, ...], versions: dict[str, str]) -> DataFrame:
     """Q-4, Q-5, Q-8: one row of errors, warnings and ok.
 
-    counts: one row of songs, details, with_year, with_composer, orphan_details, orphan_people, invalid.
+    counts: the row of :func:`core_counts`.
     """
     m = F.coalesce(F.col("metadata"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
     at = lambda k: F.try_element_at(m, F.lit(k))
@@ -191,7 +239,14 @@ def store_report(counts: DataFrame, metadata: DataFrame, required: tuple[str, ..
     errors += [F.when(F.map_contains_key(m, k) & (at(k) != v), F.format_string(f"{k} is %s, not {v}", at(k))) for k, v in versions.items()]
     errors += [F.when(F.map_contains_key(m, k), say(n(k) != F.col(c), f"{k} is %s but there are %d", at(k), F.col(c))) for k, c in (("song_count", "songs"), ("detail_count", "details"))]
     errors += [F.when(F.col("songs") == 0, "there are no songs"), say(F.col("songs") != F.col("details"), "%d songs but %d details", F.col("songs"), F.col("details"))]
-    errors += [F.when(F.col(c) > 0, F.format_string(f"%d {text}", F.col(c))) for c, text in (("orphan_details", "details without a song"), ("orphan_people", "credits without a song"), ("invalid", "details are not JSON"))]
-    warnings = [F.when(F.col(c) == 0, text) for c, text in (("with_year", "no record has a year"), ("with_composer", "no record has a composer"))]
+    errors += [F.when(F.col(c) > 0, F.format_string(f"%d {text}", F.col(c))) for c, text in (("orphan_details", "details without a song"), ("orphan_people", "credits without a song"), ("invalid", "details are not JSON"), ("version_mismatch", "details of another version"))]
+    filled = F.col("songs") > 0
+    warnings = [F.when(filled & (F.col(c) == 0), text) for c, text in (("with_composer", "no record has a composer"), ("with_year", "no record has a year"))]
+    warnings.append(F.when(filled & (F.col("videos") > 0) & (F.col("with_thumbnail") == 0), "no video has a thumbnail"))
     one = metadata.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("metadata"))  # a handful of keys
     return counts.crossJoin(F.broadcast(one)).select(F.array_compact(F.array(*errors)).alias("errors"), F.array_compact(F.array(*warnings)).alias("warnings")).withColumn("ok", F.size("errors") == 0)
+
+
+def written_report(report: DataFrame, path: str) -> None:
+    """S-20: a report as JSON, a line for each row."""
+    report.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)

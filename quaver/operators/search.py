@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,10 +49,11 @@ def composers(people: DataFrame) -> DataFrame:
 
 def search(c: Catalog, sort: str = "popularity", limit: int | None = 50, offset: int = 0, **filters) -> DataFrame:
     rows = matching(c, **filters)
-    keys = order(sort)
-    if limit is not None:  # the page is cut before names are joined to it
+    keys, people = order(sort), c.people
+    if limit is not None:  # names are gathered for the songs of the page only, which are few by its limit
         rows = rows.orderBy(*keys).offset(max(0, offset)).limit(limit)
-    out = rows.join(composers(c.people), "song_url", "left")
+        people = people.join(F.broadcast(rows.select("song_url")) if limit <= 1000 else rows.select("song_url"), "song_url", "left_semi")
+    out = rows.join(composers(people), "song_url", "left")
     return out.orderBy(*keys).select("title", F.coalesce("composer_names", F.lit("")).alias("artist"), "artist_note", "title_length", "song_url", "popularity_label", "popularity_score", "published_year", "sort_order")
 
 
@@ -77,3 +79,30 @@ def worklist(c: Catalog, limit: int | None = None, title_length: int | None = No
 def tsv(rows: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
     """S-19, P-16: title and the chosen columns, tab-separated."""
     return rows.select(F.concat_ws("\t", "title", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("line"))
+
+
+def drill_down(dimension: str, bucket: object, labels: tuple[str, ...]) -> dict:
+    """P-17: the filters of a bucket of the statistics: all labels and nothing else, then the bucket."""
+    reset = {"length": None, "labels": labels, "composer": "", "year": None}
+    if dimension == "label":
+        return reset | {"labels": (bucket,)}
+    if dimension not in reset:
+        raise ValueError(f"no such dimension: {dimension}")
+    return reset | {dimension: bucket}
+
+
+def representative(c: Catalog, url: str, composer: str, label: str, year: int, length: int = 7) -> dict[str, Callable[[], DataFrame]]:
+    """T-8: the nine kinds of requests that a profile times."""
+    from .stats import by_label, buckets, scalars
+
+    return {
+        "health": lambda: c.songs.select("song_url").limit(1),
+        "metadata": lambda: scalars(c),
+        "stats": lambda: buckets(c.songs, "title_length").select("n").unionByName(buckets(c.details, "published_year").select("n")).unionByName(by_label(c.songs).select("n")),
+        "search_length": lambda: search(c, length=length),
+        "search_composer": lambda: search(c, composer=composer),
+        "search_year": lambda: search(c, sort="published_year_desc", year=year),
+        "search_tag": lambda: search(c, labels=(label,)),
+        "search_page_size_200": lambda: search(c, limit=200),
+        "song_detail": lambda: detail(c, url),
+    }

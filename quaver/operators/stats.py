@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from statistics import median
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.catalog import Catalog
+if TYPE_CHECKING:
+    from ..sources.catalog import Catalog
 
 
 def buckets(rows: DataFrame, key: str) -> DataFrame:
@@ -55,6 +61,27 @@ def statistics(c: Catalog) -> dict[str, DataFrame]:
     return {"scalars": scalars(c), "by_length": buckets(c.songs, "title_length"), "by_year": buckets(c.details, "published_year"), "by_label": by_label(c.songs), "top_composers": top_composers(c.people)}
 
 
-def ranked(rows: DataFrame, key: str, *order) -> DataFrame:
-    """W-1..W-3: position of each row within its key."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+def numbered(rows: DataFrame, name: str, group: list[str], bucket: list[str], *order: str) -> DataFrame:
+    """W-1, W-2: position of each row within its group (of all rows, if there is none) by ``bucket`` and ``order``, from 1.
+
+    Rows are numbered within their bucket, and buckets by a running sum of their counts, so that no task sees a whole group.
+    """
+    keys = [*group, *bucket]
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_own", own).join(starts, keys).withColumn(name, F.col("_start") + F.col("_own")).drop("_own", "_start")
+
+
+def profile(requests: dict[str, Callable[[], DataFrame]], repeat: int = 3) -> list[tuple[str, float, float, float]]:
+    """T-8: (name, minimum, median, maximum milliseconds) of each request, one after another."""
+    out = []
+    for name, make in requests.items():
+        took = []
+        for _ in range(repeat):
+            began = time.perf_counter()
+            make().write.format("noop").mode("overwrite").save()
+            took.append(1000 * (time.perf_counter() - began))
+        out.append((name, *(round(f(took), 2) for f in (min, median, max))))
+    return out

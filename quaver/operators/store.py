@@ -1,4 +1,4 @@
-"""Stored tables: staged rebuild, upsert by key, SQL dump (S-13..S-18, S-20)."""
+"""Stored tables: staged rebuild with a pointer to what is current, upsert by key, SQL dump (S-3, S-13 to S-18)."""
 
 from __future__ import annotations
 
@@ -10,26 +10,68 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sql_literal
 
+TEXT = "TEXT"
+#: SQL types of a dump by Spark's; anything else is text.
+TYPES = {"int": "INTEGER", "bigint": "INTEGER", "smallint": "INTEGER", "tinyint": "INTEGER", "boolean": "INTEGER", "double": "REAL", "float": "REAL"}
+
+
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """S-3."""
+    p, files = _files(spark, path)
+    return files.exists(p)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    p, files = _files(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(p)) if files.exists(p) else []
+
+
+def publish(spark: SparkSession, path: str, version: str) -> None:
+    """Make ``version`` the current one of ``path``: a marker with the next number, created only if no other writer has it."""
+    marks = names_in(spark, f"{path}/_current")
+    number = int(marks[-1].split("=")[0]) + 1 if marks else 0
+    p, files = _files(spark, f"{path}/_current/{number:012d}={version}")
+    files.create(p, False).close()
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder of the current version, or None."""
+    marks = names_in(spark, f"{path}/_current")
+    return f"{path}/{marks[-1].split('=', 1)[1]}" if marks else None
+
 
 def rebuild(tables: dict[str, DataFrame], path: str, validate: Callable[[dict[str, DataFrame]], None] | None = None) -> dict[str, str]:
-    """S-13: write all tables beside each other under a new version, validate what was written, then return the new paths.
+    """S-13: write all tables beside each other under a new version, validate what was written, then make it current; the new paths.
 
-    A failure leaves every earlier version as it was.
+    Readers that ask :func:`current` see all of the old tables or all of the new ones; a failure leaves the old ones current.
     """
-    version = f"{path.rstrip('/')}/v-{uuid.uuid4().hex}"
-    paths = {name: f"{version}/{name}" for name in tables}
-    spark = next(iter(tables.values())).sparkSession
-    for name, df in tables.items():
-        df.write.parquet(paths[name])
-    if validate:
-        validate({name: spark.read.parquet(p) for name, p in paths.items()})
+    path = path.rstrip("/")
+    spark, version = next(iter(tables.values())).sparkSession, f"v-{uuid.uuid4().hex}"
+    paths = {name: f"{path}/{version}/{name}" for name in tables}
+    try:
+        for name, df in tables.items():
+            df.write.parquet(paths[name])
+        if validate:
+            validate({name: spark.read.parquet(p) for name, p in paths.items()})
+    except Exception:
+        p, files = _files(spark, f"{path}/{version}")
+        files.delete(p, True)
+        raise
+    publish(spark, path, version)
     return paths
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, version: str) -> DataFrame:
-    """S-15: incoming rows replace existing ones of their key; of several incoming rows the latest version stays."""
+    """S-15: incoming rows replace existing ones of their key; of several incoming rows the latest version stays, of equal versions the one that is last as JSON."""
     rest = [c for c in incoming.columns if c != key]
-    latest = incoming.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("r")).select(key, "r.*")
+    row = F.struct(*rest)
+    latest = incoming.groupBy(key).agg(F.max_by(row, F.struct(F.col(version), F.to_json(row))).alias("r")).select(key, "r.*")
     return existing.join(latest.select(key), key, "left_anti").unionByName(latest)
 
 
@@ -40,15 +82,31 @@ def replace_children(existing: DataFrame, incoming: DataFrame, parent: str, key:
     return existing.join(incoming.select(parent).distinct(), parent, "left_anti").unionByName(first)
 
 
+def quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
 def inserts(df: DataFrame, name: str) -> DataFrame:
-    """S-18: an INSERT statement for each row; numbers bare, nulls as NULL, the rest quoted."""
-    values = [F.coalesce(F.col(c).cast("string") if t in ("int", "bigint", "double") else sql_literal(F.col(c).cast("string")), F.lit("NULL")) for c, t in df.dtypes]
-    quoted = '"' + name.replace('"', '""') + '"'
-    return df.select(F.concat(F.lit(f"INSERT INTO {quoted} VALUES("), F.concat_ws(",", *values), F.lit(");")).alias("statement"))
+    """An INSERT statement for each row; numbers bare, nulls as NULL, the rest quoted."""
+    values = [F.coalesce(F.col(c).cast("int").cast("string") if t == "boolean" else F.col(c).cast("string") if t in TYPES else sql_literal(F.col(c).cast("string")), F.lit("NULL")) for c, t in df.dtypes]
+    head = f"INSERT INTO {quoted(name)} ({', '.join(map(quoted, df.columns))}) VALUES ("
+    return df.select(F.concat(F.lit(head), F.concat_ws(", ", *values), F.lit(");")).alias("statement"))
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    """S-3."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def dump(tables: dict[str, DataFrame], indexes: dict[str, tuple[str, tuple[str, ...]]] | None = None, metadata: str | None = None, required: tuple[str, ...] = ()) -> DataFrame:
+    """S-18: (step, statement): tables go in reverse order, are created, filled, and indexed by name of the index; foreign keys are not part of it.
+
+    indexes: name to (table, columns). With ``metadata``, the name of a table of key and value, keys that it lacks raise before anything is made.
+    """
+    if metadata is not None:
+        have = {r[0] for r in tables[metadata].filter(F.col("key").isin(*required)).select("key").collect()}  # at most the required keys
+        if lacking := sorted(set(required) - have):
+            raise ValueError(f"metadata lacks {', '.join(lacking)}")
+    spark = next(iter(tables.values())).sparkSession
+    lines = [f"DROP TABLE IF EXISTS {quoted(t)};" for t in reversed(tables)]
+    lines += [f"CREATE TABLE {quoted(t)} ({', '.join(f'{quoted(c)} {TYPES.get(k, TEXT)}' for c, k in df.dtypes)});" for t, df in tables.items()]
+    made = [f"CREATE INDEX {quoted(i)} ON {quoted(t)} ({', '.join(map(quoted, columns))});" for i, (t, columns) in sorted((indexes or {}).items())]
+    out = spark.createDataFrame([(k, x) for k, x in enumerate(lines)] + [(len(lines) + len(tables) + k, x) for k, x in enumerate(made)], "step int, statement string")
+    for k, (t, df) in enumerate(tables.items()):
+        out = out.unionByName(inserts(df, t).select(F.lit(len(lines) + k).alias("step"), "statement"))
+    return out

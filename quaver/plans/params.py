@@ -54,3 +54,46 @@ def parse(query: dict[str, list[str]], known_labels: set[str] | None = None) ->
 def paging(total: int, page: int, size: int) -> dict[str, int]:
     """O-22."""
     return {"total_pages": max(1, math.ceil(total / size)), "start": (page - 1) * size + 1 if total else 0, "end": min(page * size, total)}
+
+
+def number(raw: str, kind: type = int, least: float = 0, more: bool = False) -> float:
+    """P-11: a number of ``kind`` that is at least ``least``, or with ``more`` above it; for command lines."""
+    what = f"{'a whole number' if kind is int else 'a number'} {'above' if more else 'of at least'} {least:g}"
+    try:
+        value = kind(raw)
+    except ValueError:
+        raise ValueError(f"must be {what}") from None
+    if not (value > least if more else value >= least):
+        raise ValueError(f"must be {what}")
+    return value
+
+
+#: Names of the orders as shown, and the label that is left out by default.
+SORT_NAMES = {"popularity": "人気度順", "title_length_asc": "文字数昇順", "title_length_desc": "文字数降順", "published_year_asc": "公開年昇順", "published_year_desc": "公開年降順"}
+TOP_LABEL = "殿堂入り"
+
+
+def label_summary(chosen: tuple[str, ...], known: tuple[str, ...], top: str = TOP_LABEL) -> str:
+    """X-34: the chosen labels in short."""
+    if not chosen:
+        return "根拠タグ: 指定なし"
+    if known and len(chosen) == len(known):
+        return "全タグ"
+    without_top = top in known and top not in chosen
+    if without_top and len(chosen) + 1 == len(known):
+        return f"{top}除外"
+    named = len(chosen) <= 2 and not without_top
+    return "根拠タグ: " + (" / ".join(chosen) if named else f"{len(chosen)}件")
+
+
+def criteria(p: SearchParams, known: tuple[str, ...], default: tuple[str, ...], from_statistics: bool = False) -> list[str]:
+    """X-34: what a search was for, as short texts."""
+    said = [
+        (from_statistics, "統計から適用"),
+        (p.length is not None, f"{p.length}文字"),
+        (p.composer, f"作曲者: {p.composer}"),
+        (p.year is not None, f"公開年: {p.year}"),
+        (set(p.labels) != set(default), label_summary(p.labels, known)),
+        (True, SORT_NAMES[p.sort]),
+    ]
+    return [text for true, text in said if true]

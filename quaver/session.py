@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -15,3 +18,13 @@ SETTINGS = {
 def session(master: str | None = None, **settings: str) -> SparkSession:
     b = SparkSession.builder.appName("quaver").config(map=SETTINGS | settings)
     return (b.master(master) if master else b).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a folder of our own in one JVM and the warehouse on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        one_machine = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        folder = tempfile.mkdtemp(prefix="quaver-") if one_machine else spark.conf.get("spark.sql.warehouse.dir")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")

@@ -18,7 +18,7 @@ GOOD = {"credits": {"composer": ["a"]}, "introduction": ["text"], "videos": {"yo
         ({"credits": {}}, 2010, ["missing_credits"]), ({"credits": [1]}, 2010, ["missing_credits"]),
         ({"credits": {"composer": [" ", 3]}}, 2010, ["missing_composer"]), ({"credits": {"composer": "a"}}, 2010, ["missing_composer"]),
         ({"credits": {"composer": ["a", "My HomePage"]}}, 2010, ["suspicious_composer"]),
-        ({"introduction": "text"}, 2010, ["missing_introduction"]), ({"videos": {"youtube": [{"id": ""}, 3]}}, 2010, ["missing_primary_videos"]),
+        ({"introduction": "text"}, 2010, ["missing_introduction"]), ({"videos": {"youtube": [{"id": ""}, {"id": 0}, 3]}}, 2010, ["missing_primary_videos"]), ({"videos": {"youtube": [{"id": "0"}]}}, 2010, []), ({"videos": {"youtube": [{"id": 7}]}}, 2010, []),
         ({"videos": [1]}, 2010, ["missing_primary_videos"]), ({"published_year": None}, None, ["missing_published_year"]), ({"published_year": "2010"}, None, ["missing_published_year"]),
         ({"published_year": 1999}, 2010, ["suspicious_published_year", "published_year_mismatch"]), ({"published_year": None}, 2099, ["suspicious_published_year"]), ({}, 2011, ["published_year_mismatch"]),
     ],
@@ -53,10 +53,22 @@ def test_metadata(spark):
 
 
 def test_store_report(spark):
-    counts = spark.createDataFrame([(2, 1, 0, 1, 1, 0, 0)], "songs long, details long, with_year long, with_composer long, orphan_details long, orphan_people long, invalid long")
+    names = "songs details with_year with_composer orphan_details orphan_people invalid version_mismatch videos with_thumbnail"
+    counts = spark.createDataFrame([(2, 1, 0, 1, 1, 0, 0, 3, 2, 0)], ", ".join(f"{x} long" for x in names.split()))
     metadata = spark.createDataFrame([("song_count", "3"), ("schema", "1"), ("detail_count", "x")], "key string, value string")
     r = E.store_report(counts, metadata, ("song_count", "built_at"), {"schema": "2"}).first()
-    assert not r.ok and r.warnings == ["no record has a year"]
-    assert r.errors == ["metadata lacks built_at", "schema is 1, not 2", "song_count is 3 but there are 2", "detail_count is x but there are 1", "2 songs but 1 details", "1 details without a song"]
-    good = spark.createDataFrame([(1, 1, 1, 1, 0, 0, 0)], counts.schema)
+    assert not r.ok and r.warnings == ["no record has a year", "no video has a thumbnail"]
+    assert r.errors == ["metadata lacks built_at", "schema is 1, not 2", "song_count is 3 but there are 2", "detail_count is x but there are 1", "2 songs but 1 details", "1 details without a song", "3 details of another version"]
+    good = spark.createDataFrame([(1, 1, 1, 1, 0, 0, 0, 0, 0, 0)], counts.schema)
     assert E.store_report(good, metadata.filter("false"), (), {}).first().ok
+
+
+def test_written_report(spark, tmp_path):
+    E.written_report(spark.createDataFrame([("曲", None)], "a string, b int"), str(tmp_path / "r"))
+    assert spark.read.text(str(tmp_path / "r")).first()[0] == '{"a":"曲","b":null}'
+
+
+def test_thumbnails_after_failures(spark):
+    row = spark.createDataFrame([((["a", "b"], "s"), ([], "s"))], "x struct<thumbnail_urls: array<string>, thumbnail_url: string>, y struct<thumbnail_urls: array<string>, thumbnail_url: string>")
+    r = row.select(P.thumbnail(F.col("x")), P.thumbnail(F.col("x"), 1), P.thumbnail(F.col("x"), 2), P.thumbnail(F.col("y")), P.thumbnail(F.col("y"), 1)).first()
+    assert tuple(r) == ("a", "b", None, "s", None)
