@@ -113,6 +113,26 @@ class Vocabulary:
         return np.where(ok, self.symbol[k], 0)[back].astype(np.int32), np.where(ok, self.c[k], 0)[back], ok[back]
 
 
+def _log_share(a: np.ndarray, k: np.ndarray, bounded: bool) -> np.ndarray:
+    """Log of the share that place k of each row has in the row's exponentials; ``a`` is used up."""
+    if not bounded:
+        a -= a.max(1, keepdims=True)
+    out = a[np.arange(len(k)), k]
+    np.exp(a, out=a)
+    total = a @ np.ones(a.shape[1], a.dtype)
+    out -= np.log(total, out=total)
+    return out
+
+
+def _errors(a: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Softmax of each row minus one at place k; ``a`` is used up."""
+    a -= a.max(1, keepdims=True)
+    np.exp(a, out=a)
+    a /= (a @ np.ones(a.shape[1], a.dtype))[:, None]
+    a[np.arange(len(k)), k] -= 1
+    return a
+
+
 class Network:
     """GRU with a class-factored softmax; classes are runs of PER_CLASS words of like frequency."""
 
@@ -136,26 +156,47 @@ class Network:
     def step(self, gx: np.ndarray, h: np.ndarray):
         k = self.width
         gh = h @ self.w["u"]
-        zr = 0.5 + 0.5 * np.tanh(0.5 * (gx[:, : 2 * k] + gh[:, : 2 * k]))
+        zr = gx[:, : 2 * k] + gh[:, : 2 * k]
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
         z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(gx[:, 2 * k :] + r * gh[:, 2 * k :])
-        return n + z * (h - n), z, r, n, gh[:, 2 * k :]
+        n = r * gh[:, 2 * k :]
+        n += gx[:, 2 * k :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n, gh[:, 2 * k :]
+
+    def bounded(self) -> bool:
+        """No state can make an exponential of a class or word overflow, so that none has to be scaled by the largest one."""
+        top = lambda w, b: float((np.abs(w).sum(-2) + b).max())
+        return max(top(self.w["wc"], self.w["bc"]), top(self.w["ww"], self.w["bw"])) < 60
+
+    def _by_class(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Classes, the order that sorts by them, and where each class starts in that order."""
+        cls = (y // self.per).astype(np.int16)
+        order = np.argsort(cls, kind="stable")
+        return cls, order, np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
 
-    def log_p(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def log_p(self, h: np.ndarray, y: np.ndarray, bounded: bool = False) -> np.ndarray:
         """Natural log probability of each symbol after its state."""
-        cls, word = y // self.per, y % self.per
-        a = h @ self.w["wc"] + self.w["bc"]
-        top = a.max(1, keepdims=True)
-        out = a[np.arange(len(y)), cls] - top[:, 0] - np.log(np.exp(a - top).sum(1))
-        order = np.argsort(cls, kind="stable")
-        bound = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        cls, order, bound = self._by_class(y)
+        h, cls, word = h[order], cls[order], (y % self.per)[order]
+        own = np.empty(len(y), np.float32)
+        a = h @ self.w["wc"]
+        a += self.w["bc"]
+        out = _log_share(a, cls, bounded)
         for c in range(self.classes):
-            own = order[bound[c] : bound[c + 1]]
-            if len(own):
-                a = h[own] @ self.w["ww"][c] + self.w["bw"][c]
-                top = a.max(1, keepdims=True)
-                out[own] += a[np.arange(len(own)), word[own]] - top[:, 0] - np.log(np.exp(a - top).sum(1))
-        return out
+            i, j = bound[c], bound[c + 1]
+            if i < j:
+                a = h[i:j] @ self.w["ww"][c]
+                a += self.w["bw"][c]
+                out[i:j] += _log_share(a, word[i:j], bounded)
+        own[order] = out
+        return own
 
     def train(self, lanes: np.ndarray, fresh: np.ndarray, start: int, epochs: int = EPOCHS, steps: int = STEPS, rate: float = RATE, adam: dict | None = None) -> None:
         """lanes: symbols (lane, time); fresh: where a document begins; truncated backpropagation, Adam, whose state may be carried on."""
@@ -204,31 +245,42 @@ class Network:
                 t += 1
                 fade = rate / (1 + 0.002 * t)
                 for key in w:
-                    q = np.clip(g[key] / len(target), -1, 1)
-                    m[key] += 0.1 * (q - m[key])
-                    s[key] += 0.01 * (q * q - s[key])
-                    w[key] -= (fade * (m[key] / (1 - 0.9**t)) / (np.sqrt(s[key] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+                    q = g[key]
+                    q *= 1 / len(target)
+                    np.clip(q, -1, 1, out=q)
+                    m[key] *= 0.9
+                    m[key] += 0.1 * q
+                    s[key] *= 0.99
+                    q *= q
+                    q *= 0.01
+                    s[key] += q
+                    np.multiply(s[key], 1 / (1 - 0.99**t), out=q)
+                    np.sqrt(q, out=q)
+                    q += 1e-6
+                    np.divide(m[key], q, out=q)
+                    q *= fade / (1 - 0.9**t)
+                    w[key] -= q
         adam["t"] = t
 
     def _output_gradient(self, h: np.ndarray, y: np.ndarray, g: dict) -> np.ndarray:
-        w, cls, word = self.w, y // self.per, y % self.per
-        a = h @ w["wc"] + w["bc"]
-        p = np.exp(a - a.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(y)), cls] -= 1
+        w = self.w
+        cls, order, bound = self._by_class(y)
+        h, cls, word = h[order], cls[order], (y % self.per)[order]
+        p = _errors(h @ w["wc"] + w["bc"], cls)
         g["wc"] += h.T @ p
         g["bc"] += p.sum(0)
         d = p @ w["wc"].T
-        for c in np.unique(cls):
-            own = np.flatnonzero(cls == c)
-            a = h[own] @ w["ww"][c] + w["bw"][c]
-            p = np.exp(a - a.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(own)), word[own]] -= 1
-            g["ww"][c] += h[own].T @ p
-            g["bw"][c] += p.sum(0)
-            d[own] += p @ w["ww"][c].T
-        return d
+        for c in range(self.classes):
+            i, j = bound[c], bound[c + 1]
+            if i < j:
+                own = h[i:j]
+                p = _errors(own @ w["ww"][c] + w["bw"][c], word[i:j])
+                g["ww"][c] += own.T @ p
+                g["bw"][c] += p.sum(0)
+                d[i:j] += p @ w["ww"][c].T
+        out = np.empty_like(d)
+        out[order] = d
+        return out
 
     def score(self, symbols: np.ndarray, first: np.ndarray, start: int, lanes: int = 512, steps: int = 32) -> np.ndarray:
         """Natural log-likelihood of each document; document d has symbols[first[d]:first[d + 1]], at least one."""
@@ -256,7 +308,7 @@ class Network:
         load = np.array([sum(int(length[d]) for d in m) for m in member])
         at = np.r_[0, np.cumsum(load)[:-1]]
         table_ = self.w["emb"] @ self.w["wx"] + self.w["b"]
-        h = np.zeros((len(load), self.width), np.float32)
+        h, bounded = np.zeros((len(load), self.width), np.float32), self.bounded()
         states, places, waiting = [], [], 0
         for t in range(int(load[0])):
             live = int(np.searchsorted(-load, -t, "left"))  # lanes are sorted by falling load
@@ -272,7 +324,7 @@ class Network:
             waiting += live
             if waiting >= 65_536 or t + 1 == load[0]:
                 k = np.concatenate(places)
-                out += np.bincount(owner[k], self.log_p(np.concatenate(states), y[k]), minlength=n)
+                out += np.bincount(owner[k], self.log_p(np.concatenate(states), y[k], bounded), minlength=n)
                 states, places, waiting = [], [], 0
         return out
 
