@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 
 #: Rows and bytes in one Arrow batch at most: whole documents are wide, and batches are held on both sides of the pipe.
 BATCH_ROWS, BATCH_BYTES = 2000, 4_000_000
@@ -30,16 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 made: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a folder of our own in one JVM and the warehouse on a cluster."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        one_machine = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
-        folder = tempfile.mkdtemp(prefix="quaver-") if one_machine else spark.conf.get("spark.sql.warehouse.dir")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def _at(spark: SparkSession, path: str):
     """A path of Spark's file systems, and its file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -53,7 +42,7 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     small_batches(spark)
-    path = f"{shared_dir(spark).rstrip('/')}/quaver/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/quaver/{uuid.uuid4().hex}"
     df.write.parquet(path)
     made.append(path)
     place, files = _at(spark, path)
