@@ -124,11 +124,12 @@ def _log_share(a: np.ndarray, k: np.ndarray, bounded: bool) -> np.ndarray:
     return out
 
 
-def _errors(a: np.ndarray, k: np.ndarray) -> np.ndarray:
+def _errors(a: np.ndarray, k: np.ndarray, bounded: bool) -> np.ndarray:
     """Softmax of each row minus one at place k; ``a`` is used up."""
-    a -= a.max(1, keepdims=True)
+    if not bounded:
+        a -= a.max(1, keepdims=True)
     np.exp(a, out=a)
-    a /= (a @ np.ones(a.shape[1], a.dtype))[:, None]
+    a *= (1 / (a @ np.ones(a.shape[1], a.dtype)))[:, None]
     a[np.arange(len(k)), k] -= 1
     return a
 
@@ -209,44 +210,46 @@ class Network:
         for _ in range(epochs):
             h = np.zeros((len(lanes), k), np.float32)
             for a in range(0, lanes.shape[1], steps):
-                x, y, new = before[:, a : a + steps], lanes[:, a : a + steps], fresh[:, a : a + steps]
-                w, kept, states = self.w, [], []
-                symbols, back = np.unique(x.T.ravel(), return_inverse=True)
-                gates = w["emb"][symbols] @ w["wx"] + w["b"]
-                b = len(lanes)
-                for i in range(x.shape[1]):
-                    h = np.where(new[:, i : i + 1], 0, h).astype(np.float32)
-                    nxt, z, r, n, hn = self.step(gates[back[i * b : (i + 1) * b]], h)
-                    kept.append((h, z, r, n, hn))
-                    states.append(nxt)
-                    h = nxt
+                x, y, new = before[:, a : a + steps].T.ravel(), lanes[:, a : a + steps].T.ravel(), fresh[:, a : a + steps].T
+                w, kept, b, resets = self.w, [], len(lanes), new.any(1).tolist()
+                gates = (w["emb"] @ w["wx"] + w["b"])[x]
+                for i, reset in enumerate(resets):
+                    if reset:
+                        h[new[i]] = 0
+                    nxt, z, r, n, hn = self.step(gates[i * b : (i + 1) * b], h)
+                    kept.append((h, z, r, n, hn, nxt))
+                    h = nxt.copy() if i + 1 < len(resets) and resets[i + 1] or i + 1 == len(resets) else nxt
+                h0, z, r, n, hn, states = (np.concatenate(c) for c in zip(*kept))
                 g = {key: np.zeros_like(v) for key, v in w.items()}
-                flat, target = np.concatenate(states), y.T.ravel()
-                dflat = self._output_gradient(flat, target, g)
+                dflat = self._output_gradient(states, y, g)
+                # a gate's error is the state's error times what is known before going back in time
+                to_n = (1 - z) * (1 - n * n)
+                factor = np.stack([(h0 - n) * z * (1 - z), to_n * hn * r * (1 - r), to_n * r], 1)
+                dgh, back = np.empty_like(factor), np.ascontiguousarray(w["u"].T)
                 dh = np.zeros_like(h)
-                dgh, dgx = np.empty((len(target), 3 * k), np.float32), np.empty((len(target), 3 * k), np.float32)
-                for i in reversed(range(x.shape[1])):
-                    h0, z, r, n, hn = kept[i]
+                for i in reversed(range(len(resets))):
                     own = slice(i * b, (i + 1) * b)
-                    d = dh + dflat[own]
-                    dn = d * (1 - z) * (1 - n * n)
-                    dgx[own, :k] = d * (h0 - n) * z * (1 - z)
-                    dgx[own, k : 2 * k] = dn * hn * r * (1 - r)
-                    dgx[own, 2 * k :] = dn
-                    dgh[own, : 2 * k] = dgx[own, : 2 * k]
-                    dgh[own, 2 * k :] = dn * r
-                    dh = np.where(new[:, i : i + 1], 0, d * z + dgh[own] @ w["u"].T)
-                g["u"] += np.concatenate([x[0] for x in kept]).T @ dgh
-                order = np.argsort(back, kind="stable")
-                by_symbol = np.add.reduceat(dgx[order], np.searchsorted(back[order], np.arange(len(symbols))), axis=0)
-                g["wx"] += w["emb"][symbols].T @ by_symbol
-                g["b"] += by_symbol.sum(0)
-                g["emb"][symbols] += by_symbol @ w["wx"].T
+                    d = dflat[own]
+                    d += dh
+                    np.multiply(d[:, None], factor[own], out=dgh[own])
+                    dh = d * z[own]
+                    dh += dgh[own].reshape(b, 3 * k) @ back
+                    if resets[i]:
+                        dh[new[i]] = 0
+                dgx, dgh = dgh.copy(), dgh.reshape(-1, 3 * k)
+                np.multiply(dflat, to_n, out=dgx[:, 2])
+                g["u"] += h0.T @ dgh
+                dgx = dgx.reshape(-1, 3 * k)
+                g["wx"] += w["emb"][x].T @ dgx
+                g["b"] += np.ones(len(x), np.float32) @ dgx
+                order = np.argsort(x.astype(np.min_scalar_type(len(w["emb"]))), kind="stable")
+                begin = np.flatnonzero(np.diff(x[order], prepend=-1))
+                g["emb"][x[order[begin]]] += np.add.reduceat((dgx @ w["wx"].T)[order], begin, axis=0)
                 t += 1
                 fade = rate / (1 + 0.002 * t)
                 for key in w:
                     q = g[key]
-                    q *= 1 / len(target)
+                    q *= 1 / len(y)
                     np.clip(q, -1, 1, out=q)
                     m[key] *= 0.9
                     m[key] += 0.1 * q
@@ -266,17 +269,23 @@ class Network:
         w = self.w
         cls, order, bound = self._by_class(y)
         h, cls, word = h[order], cls[order], (y % self.per)[order]
-        p = _errors(h @ w["wc"] + w["bc"], cls)
+        bounded = self.bounded()
+        a = h @ w["wc"]
+        a += w["bc"]
+        p = _errors(a, cls, bounded)
         g["wc"] += h.T @ p
-        g["bc"] += p.sum(0)
+        ones = np.ones(len(y), np.float32)
+        g["bc"] += ones @ p
         d = p @ w["wc"].T
         for c in range(self.classes):
             i, j = bound[c], bound[c + 1]
             if i < j:
                 own = h[i:j]
-                p = _errors(own @ w["ww"][c] + w["bw"][c], word[i:j])
+                a = own @ w["ww"][c]
+                a += w["bw"][c]
+                p = _errors(a, word[i:j], bounded)
                 g["ww"][c] += own.T @ p
-                g["bw"][c] += p.sum(0)
+                g["bw"][c] += ones[i:j] @ p
                 d[i:j] += p @ w["ww"][c].T
         out = np.empty_like(d)
         out[order] = d
