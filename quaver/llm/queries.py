@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, jaccard, language_model, pack, pii, quality, secrets, substrings, toxicity, winnow
+from . import decontaminate, jaccard, language_model, pack, periods, pii, quality, secrets, substrings, toxicity, winnow
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pack": pack.op8_pack,
         "op9_pii": pii.op9_pii,
         "op10_lm_score": language_model.op10_lm_score,
+        "op11_periods": periods.op11_periods,
         "pipeline": corpus_pipeline.run,
     }
 
