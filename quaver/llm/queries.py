@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, forest, jaccard, language_model, pack, periods, pii, quality, secrets, substrings, toxicity, winnow
+from . import collocations, decontaminate, forest, jaccard, language_model, pack, periods, pii, quality, secrets, substrings, toxicity, winnow
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,9 +25,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_lm_score": language_model.op10_lm_score,
         "op11_periods": periods.op11_periods,
         "op12_near_dedup": forest.op12_near_dedup,
+        "op13_collocations": collocations.op13_collocations,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": decontaminate.SQL, "op12_near_dedup": forest.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op5_decontaminate": decontaminate.SQL, "op12_near_dedup": forest.SQL, "op13_collocations": collocations.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
