@@ -375,10 +375,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, b
     edges = _first_links(rows, sets, member, threshold, n, pivots)
     roots = components(edges)
     rest = _rest_links(rows, sets, member.filter("g > 1"), roots, threshold, n, block)
-    if rest is not None:
-        roots = components(edges.unionByName(rest))
     named = sketched.select("doc_id", F.col("n").alias("n_shingles"), "set").join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
-    named = written(named.select("doc_id", "n_shingles", F.coalesce("root", "set").alias("part")))
+    named = named.select("doc_id", "n_shingles", F.coalesce("root", "set").alias("part"))
+    if rest is not None:  # these edges are between components, of which there are few
+        joined = written(components(rest).select(F.col("node").alias("part"), "root"))
+        named = named.join(joined, "part", "left").select("doc_id", "n_shingles", F.coalesce("root", "part").alias("part"))
+    named = written(named)
     least = written(named.filter("n_shingles > 0").groupBy("part").agg(F.min("doc_id").alias("least")))
     alone = named.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = named.filter("n_shingles > 0").join(least, "part").select("doc_id", "n_shingles", F.col("least").alias("component_id")).unionByName(alone)
