@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import checks, corpus, enrich, pages, scans, search, stats, store
+from .operators.versioned import Commit, Store
+from .session import shared_folder
 from .sources import catalog as C
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,9 +129,22 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.withColumn("body", body).select("service", "id", enrich.answer("service", "id", "body").alias("r")).select("service", "id", "r.*")
 
 
+def _refreshed(spark: SparkSession, sf_dir: str) -> tuple[Store, Commit]:
+    """Stored records, whose videos take what the services tell."""
+    stored = _own_store(spark)
+    stored.rebuild({"details": (_records(spark, sf_dir), ("url",))})
+    return stored, enrich.refreshed(stored, "details", _answers(spark, sf_dir).filter("title is not null"))
+
+
 def _applied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = _answers(spark, sf_dir).filter("title is not null")
-    return enrich.apply_metadata(_records(spark, sf_dir), told).select("url", "updated", F.get_json_object("payload_json", "$.videos.youtube[0].title").alias("title"), F.get_json_object("payload_json", "$.related_videos.niconico[0].thumbnail_url").alias("thumbnail"))
+    rows = _refreshed(spark, sf_dir)[0].snapshot().table("details")
+    at = lambda path: F.get_json_object("payload_json", path)
+    return rows.select("url", at("$.videos.youtube[0].title").alias("title"), at("$.videos.youtube[0].thumbnail_url").alias("first"), at("$.related_videos.niconico[0].thumbnail_url").alias("thumbnail"))
+
+
+def _refresh_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored, done = _refreshed(spark, sf_dir)
+    return stored.snapshot().table("details").agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(done.counts["rows"]).cast("long").alias("records"), F.lit(done.counts["updated"]).cast("long").alias("entries"))
 
 
 _IDS = f"{_WIKI}, ids AS (SELECT 'youtube' AS service, own AS id, k FROM p UNION ALL SELECT 'youtube', other, k FROM p UNION ALL SELECT 'niconico', 'sm' || k, k FROM p)"
@@ -186,16 +202,39 @@ def _popular(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.with_popularity(C.read(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("title")), known)
 
 
-def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _own_store(spark: SparkSession) -> Store:
+    """A store of its own for a query, which goes when the application ends."""
+    made = Store(spark, f"{shared_folder(spark)}/quaver/store-{uuid.uuid4().hex}")
+    place, files = store._files(spark, made.path)
+    files.deleteOnExit(place)
+    return made
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> tuple[Store, Commit]:
+    """Customers, over which their orders are upserted."""
     old = C.read(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.lit(-1).cast("long").alias("version"))
     new = C.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.concat("o_orderpriority", F.lit(" "), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_orderkey").alias("version"))
-    return store.upsert(old, new, "c_custkey", "version")
+    stored = _own_store(spark)
+    stored.rebuild({"customers": (old, ("c_custkey",))})
+    return stored, stored.upsert("customers", new, "version")
+
+
+def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _customers(spark, sf_dir)[0].snapshot().table("customers")
+
+
+def _upsert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored, done = _customers(spark, sf_dir)
+    return stored.snapshot().table("customers").agg(F.count(F.lit(1)).alias("n")).select("n", *(F.lit(v).cast("long").alias(k) for k, v in done.counts.items()))
 
 
 def _children(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = C.read(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 3).alias("who"), (F.col("l_linenumber") * 10).alias("note"), "l_linenumber")
     old = lines.filter("l_linenumber = 1").drop("l_linenumber")
-    return store.replace_children(old, lines.filter("l_orderkey % 10 = 0"), "l_orderkey", ("l_orderkey", "who"), "l_linenumber")
+    stored = _own_store(spark)
+    stored.rebuild({"notes": (old, ("l_orderkey",))})
+    stored.replace_children("notes", lines.filter("l_orderkey % 10 = 0"), ("l_orderkey", "who"), "l_linenumber")
+    return stored.snapshot().table("notes")
 
 
 def _dump(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +307,9 @@ _DERIVED |= {
     "video_ids": (lambda s, d: enrich.video_ids(_records(s, d)), f"{_IDS} SELECT service, id FROM ids"),
     "video_answers": (_answers, f"{_IDS} SELECT service, id, {_TITLE} AS title, {_THUMBNAIL} AS thumbnail_url FROM ids"),
     "fetch_summary": (lambda s, d: enrich.fetch_summary(_answers(s, d).select("service", "id"), _answers(s, d).filter("title is not null")), f"{_IDS} SELECT service, count(*) AS total, count(*) FILTER (WHERE k % 3 = 0) AS success, count(*) FILTER (WHERE k % 3 = 2) AS failure, count(*) FILTER (WHERE k % 3 = 1) AS fallback FROM ids GROUP BY 1"),
-    "apply_metadata": (_applied, f"{_WIKI} SELECT url, CASE WHEN k % 3 < 2 THEN 3 ELSE 0 END::BIGINT AS updated, CASE k % 3 WHEN 0 THEN 'T ' || k WHEN 1 THEN 'YouTube' ELSE 'YouTube ' || own END AS title, CASE k % 3 WHEN 0 THEN 'https://n.test/' || k ELSE 'https://nicovideo.cdn.nimg.jp/thumbnails/' || k || '/' || k || '.L' END AS thumbnail FROM p"),
+    "apply_metadata": (_applied, f"{_WIKI} SELECT url, CASE k % 3 WHEN 0 THEN 'T ' || k WHEN 1 THEN 'YouTube' ELSE 'YouTube ' || own END AS title, CASE k % 3 WHEN 0 THEN 'https://t.test/' || k ELSE 'https://img.youtube.com/vi/' || own || '/maxresdefault.jpg' END AS \"first\", CASE k % 3 WHEN 0 THEN 'https://n.test/' || k ELSE 'https://nicovideo.cdn.nimg.jp/thumbnails/' || k || '/' || k || '.L' END AS thumbnail FROM p"),
+    "refresh_counts": (_refresh_counts, f"{_WIKI} SELECT count(*) AS n, count(*) FILTER (WHERE k % 3 < 2) AS records, 3 * count(*) FILTER (WHERE k % 3 < 2) AS entries FROM p"),
+    "upsert_counts": (_upsert_counts, "SELECT (SELECT count(*) FROM customer) AS n, 0::BIGINT AS inserted, count(DISTINCT o_custkey) AS replaced FROM orders"),
     "readiness": (_ready, "SELECT variant, strict, variant = 'whole' OR (variant = 'wrong' AND NOT strict) AS ready FROM (VALUES ('whole'), ('lacking'), ('wrong')) v(variant), (VALUES (true), (false)) t(strict)"),
     "store_report": (_report, "SELECT variant, CASE variant WHEN 'whole' THEN '' WHEN 'lacking' THEN 'metadata lacks detail_count; metadata lacks detail_schema_version; ' ELSE 'schema_version is 1, not 2; song_count is x but there are ' || n || '; detail_count is 7 but there are ' || n || '; ' END || old || ' details of another version' AS errors, '' AS warnings, false AS ok FROM (VALUES ('whole'), ('lacking'), ('wrong')) v(variant), (SELECT count(*) AS n, count(*) FILTER (WHERE p_partkey % 50 = 0) AS old FROM part)"),
     "core_counts": (lambda s, d: enrich.core_counts(C.catalog(s, d), "2"), f"{C.SQL} SELECT (SELECT count(*) FROM songs) AS songs, (SELECT count(*) FROM details) AS details, (SELECT count(published_year) FROM details) AS with_year, (SELECT count(DISTINCT song_url) FROM people) AS with_composer, (SELECT count(*) FROM details WHERE schema_version <> '2') AS version_mismatch, 0::BIGINT AS invalid, 0::BIGINT AS videos, 0::BIGINT AS related_videos, 0::BIGINT AS with_thumbnail, 0::BIGINT AS with_title, (SELECT count(*) FROM details WHERE url NOT IN (SELECT song_url FROM songs)) AS orphan_details, (SELECT count(*) FROM people WHERE song_url NOT IN (SELECT song_url FROM songs)) AS orphan_people"),

@@ -15,6 +15,7 @@ from ..sources.catalog import Catalog
 from .pages import DETAIL, SERVICES, niconico_thumbnails, youtube_thumbnails
 from .search import order
 from .stats import scalars
+from .versioned import Commit, Store
 
 SECTIONS = ("videos", "related_videos")
 #: Names of the row checks, in order, and words that no composer's name has.
@@ -133,6 +134,12 @@ def apply_metadata(details: DataFrame, metadata: DataFrame) -> DataFrame:
     return rows.withColumn("payload_json", text).withColumn("updated", updated.cast("long")).drop("found", "d")
 
 
+def refreshed(store: Store, name: str, metadata: DataFrame) -> Commit:
+    """S-17: the stored records that ``metadata`` tells of take it; counts records and, as ``updated``, entries."""
+    applied = apply_metadata(store.snapshot().table(name).select("url", "payload_json"), metadata)
+    return store.update(name, applied.filter("updated > 0").select("url", "payload_json", "updated"), "updated")
+
+
 def _known(service, found):
     return lambda e: found(service, e).isNotNull()
 

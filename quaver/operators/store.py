@@ -1,10 +1,7 @@
-"""Stored tables: staged rebuild with a pointer to what is current, upsert by key, SQL dump (S-3, S-13 to S-18)."""
+"""Rows of stored tables: upsert by key, children replaced, SQL dump (S-3, S-15, S-16, S-18); :mod:`versioned` stores them."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,47 +29,16 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().getName() for x in files.listStatus(p)) if files.exists(p) else []
 
 
-def publish(spark: SparkSession, path: str, version: str) -> None:
-    """Make ``version`` the current one of ``path``: a marker with the next number, created only if no other writer has it."""
-    marks = names_in(spark, f"{path}/_current")
-    number = int(marks[-1].split("=")[0]) + 1 if marks else 0
-    p, files = _files(spark, f"{path}/_current/{number:012d}={version}")
-    files.create(p, False).close()
-
-
-def current(spark: SparkSession, path: str) -> str | None:
-    """The folder of the current version, or None."""
-    marks = names_in(spark, f"{path}/_current")
-    return f"{path}/{marks[-1].split('=', 1)[1]}" if marks else None
-
-
-def rebuild(tables: dict[str, DataFrame], path: str, validate: Callable[[dict[str, DataFrame]], None] | None = None) -> dict[str, str]:
-    """S-13: write all tables beside each other under a new version, validate what was written, then make it current; the new paths.
-
-    Readers that ask :func:`current` see all of the old tables or all of the new ones; a failure leaves the old ones current.
-    """
-    path = path.rstrip("/")
-    spark, version = next(iter(tables.values())).sparkSession, f"v-{uuid.uuid4().hex}"
-    paths = {name: f"{path}/{version}/{name}" for name in tables}
-    try:
-        for name, df in tables.items():
-            df.write.parquet(paths[name])
-        if validate:
-            validate({name: spark.read.parquet(p) for name, p in paths.items()})
-    except Exception:
-        p, files = _files(spark, f"{path}/{version}")
-        files.delete(p, True)
-        raise
-    publish(spark, path, version)
-    return paths
+def latest(incoming: DataFrame, by: tuple[str, ...], version: str) -> DataFrame:
+    """Of several rows of a key the latest version, of equal versions the one that is last as JSON."""
+    row = F.struct(*[c for c in incoming.columns if c not in by])
+    return incoming.groupBy(*by).agg(F.max_by(row, F.struct(F.col(version), F.to_json(row))).alias("r")).select(*by, "r.*")
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, version: str) -> DataFrame:
     """S-15: incoming rows replace existing ones of their key; of several incoming rows the latest version stays, of equal versions the one that is last as JSON."""
-    rest = [c for c in incoming.columns if c != key]
-    row = F.struct(*rest)
-    latest = incoming.groupBy(key).agg(F.max_by(row, F.struct(F.col(version), F.to_json(row))).alias("r")).select(key, "r.*")
-    return existing.join(latest.select(key), key, "left_anti").unionByName(latest)
+    new = latest(incoming, (key,), version)
+    return existing.join(new.select(key), key, "left_anti").unionByName(new)
 
 
 def replace_children(existing: DataFrame, incoming: DataFrame, parent: str, key: tuple[str, ...], ordinal: str) -> DataFrame:

@@ -97,25 +97,6 @@ def test_addresses_and_pages(spark):
     assert r.x == ["https://h/x?p=1&q=2", "https://h/x?q=2&p=2", "https://h/x?q=2&p=3"]
 
 
-def test_stream_upserts(spark, tmp_path):
-    from quaver.streaming.upserts import stream_upserts
-
-    spark.createDataFrame([("a", 1), ("b", 1), ("b", 2)], "k string, v int").write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema("k string, v int").parquet(str(tmp_path / "in"))
-    stream_upserts(source, str(tmp_path / "out"), "k", "v", str(tmp_path / "ck")).awaitTermination(60)
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out/0")).collect()) == [("a", 1), ("b", 2)]
-
-
-def test_streamed_versions(spark, tmp_path):
-    from quaver.streaming import upserts
-
-    path = str(tmp_path / "out")
-    for k in (2, 5, 10):
-        spark.createDataFrame([("a", k)], "k string, v int").write.parquet(f"{path}/{k}")
-    (tmp_path / "out" / "7").mkdir()  # never finished
-    assert upserts.versions(spark, path) == [2, 5, 10]
-
-
 def test_title_length_property(spark):
     """The columns against the rule itself, on texts made to be awkward."""
     import random

@@ -127,20 +127,3 @@ def test_video_metadata(spark, tmp_path):
     ids = spark.createDataFrame([("youtube", "abcdefghi_k"), ("youtube", "zzzzzzzzzzz"), ("niconico", "sm9"), ("niconico", "sm9")], "service string, id string")
     got = sorted(tuple(r) for r in W.video_metadata(ids, str(tmp_path / "m"), FAST, opener).collect())
     assert got == [("niconico", "sm9", "N", "https://nicovideo.cdn.nimg.jp/thumbnails/9/9.L"), ("youtube", "abcdefghi_k", "T", "https://img.youtube.com/vi/abcdefghi_k/mqdefault.jpg")]
-
-
-def test_current_version(spark, tmp_path):
-    path = str(tmp_path / "tables")
-    assert store.current(spark, path) is None
-    store.rebuild({"t": spark.range(3).toDF("x")}, path)
-    first = store.current(spark, path)
-    assert spark.read.parquet(f"{first}/t").count() == 3
-
-    def refuse(tables):
-        raise ValueError("no")
-
-    with pytest.raises(ValueError, match="no"):
-        store.rebuild({"t": spark.range(9).toDF("x")}, path, refuse)
-    assert store.current(spark, path) == first and len(store.names_in(spark, path)) == 2
-    store.rebuild({"t": spark.range(5).toDF("x")}, path)
-    assert spark.read.parquet(f"{store.current(spark, path)}/t").count() == 5
