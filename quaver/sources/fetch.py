@@ -6,27 +6,33 @@ request and can be replaced.  Urls are made distinct first, so nothing is asked
 
 from __future__ import annotations
 
+import http.client
 import re
+import threading
 import time
-import urllib.error
-import urllib.request
 from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from email.utils import parsedate_to_datetime
-from urllib.parse import urlsplit
+from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import corpus, enrich, pages, scans, stats, store
+from ..operators.versioned import Commit, Store
 
 #: States after which a request is made again.
 RETRIED = (429, 502, 503, 504)
+MOVED = (301, 302, 303, 307, 308)
+#: Redirects of one request.
+HOPS = 10
 SCHEMA = "url string, status int, body string, error string, attempts int"
 Answer = tuple[int, Mapping[str, str], bytes]
+Opener = Callable[[str, "Policy"], Answer]
 
 
 @dataclass(frozen=True)
@@ -41,13 +47,56 @@ class Policy:
     agent: str = "quaver/1.0"
 
 
-def request(url: str, policy: Policy) -> Answer:
-    """S-7: one request; redirects are followed."""
-    try:
-        with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": policy.agent}), timeout=policy.timeout) as answer:
-            return answer.status, answer.headers, answer.read()
-    except urllib.error.HTTPError as e:
-        return e.code, e.headers, b""
+class Connections:
+    """S-7: requests of one task over connections that are kept open, one to each host; redirects are followed."""
+
+    def __init__(self):
+        self.kept: dict[tuple[str, str], http.client.HTTPConnection] = {}
+        self.opened = 0
+
+    def __enter__(self) -> Connections:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for c in self.kept.values():
+            c.close()
+        self.kept.clear()
+
+    def __call__(self, url: str, policy: Policy) -> Answer:
+        for _ in range(HOPS):
+            status, headers, body = self._asked(url, policy)
+            if status not in MOVED or not headers.get("Location"):
+                return status, headers, body
+            url = urljoin(url, headers["Location"])
+        raise ValueError(f"more than {HOPS} redirects")
+
+    def _asked(self, url: str, policy: Policy) -> Answer:
+        parts = urlsplit(url)
+        kinds = {"http": http.client.HTTPConnection, "https": http.client.HTTPSConnection}
+        if parts.scheme not in kinds or not parts.netloc:
+            raise ValueError(f"no web address: {url}")
+        path = quote(urlunsplit(("", "", parts.path or "/", parts.query, "")), safe="/%:=&?~#+!$,;'@()*[]")
+        at = parts.scheme, parts.netloc
+        for again in (False, True):
+            known = self.kept.get(at)
+            if known is None:
+                known = self.kept[at] = kinds[parts.scheme](parts.netloc.rpartition("@")[2], timeout=policy.timeout)
+                self.opened += 1
+                again = True
+            try:
+                known.request("GET", path, headers={"User-Agent": policy.agent})
+                answer = known.getresponse()
+                body = answer.read()
+            except (http.client.HTTPException, OSError) as e:
+                self.kept.pop(at).close()
+                # a server may close a connection that rested; one that never worked is not tried again
+                if again or isinstance(e, TimeoutError):
+                    raise
+                continue
+            if answer.will_close:
+                self.kept.pop(at).close()
+            return answer.status, answer.headers, body
+        raise AssertionError
 
 
 def text_of(headers: Mapping[str, str], body: bytes) -> str:
@@ -74,8 +123,8 @@ def asked_wait(value: str | None, now: datetime) -> float | None:
 class Client:
     """The requests of one task."""
 
-    def __init__(self, policy: Policy, opener: Callable[[str, Policy], Answer] = request, sleep=time.sleep, clock=time.monotonic):
-        self.policy, self.opener, self.sleep, self.clock = policy, opener, sleep, clock
+    def __init__(self, policy: Policy, opener: Opener | None = None, sleep=time.sleep, clock=time.monotonic):
+        self.policy, self.opener, self.sleep, self.clock = policy, opener or Connections(), sleep, clock
         self.free_from: dict[str, float] = {}
 
     def _paced(self, url: str) -> Answer:
@@ -90,7 +139,7 @@ class Client:
         for attempt in range(1, self.policy.retries + 2):
             try:
                 status, headers, body = self._paced(url)
-            except (OSError, ValueError) as e:  # no answer, or no url
+            except (OSError, ValueError, http.client.HTTPException) as e:  # no answer, or no url
                 return url, None, None, f"{type(e).__name__}: {e}", attempt
             if status < 400:
                 return url, status, text_of(headers, body), None, attempt
@@ -101,14 +150,77 @@ class Client:
         raise AssertionError
 
 
-def fetched(urls: DataFrame, policy: Policy = Policy(), opener: Callable[[str, Policy], Answer] = request) -> DataFrame:
+class Progress:
+    """N-3, S-21: what a fetch has done so far, to be read while it runs.
+
+    ``done``, ``failed`` and ``retries`` are accumulators that move as tasks end.  ``total``, ``success`` and ``failure``
+    are observed metrics of the finished passes: tasks that failed and ran again count once.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._live = {k: spark.sparkContext.accumulator(0) for k in ("done", "failed", "retries")}
+        self.began = time.monotonic()
+        self.asked = 0
+        self.passes: list[dict[str, int]] = []
+
+    def add(self, row: tuple) -> None:
+        """In a task: one answered url."""
+        self._live["done"].add(1)
+        self._live["failed"].add(int(row[3] is not None))
+        self._live["retries"].add(row[4] - 1)
+
+    def __getstate__(self) -> dict:
+        return {"_live": self._live, "began": 0.0, "asked": 0, "passes": []}
+
+    def __getattr__(self, name: str) -> int:
+        if name in ("done", "failed", "retries"):
+            return self._live[name].value
+        if name in ("total", "success", "failure"):
+            return sum(p[name] for p in self.passes)
+        raise AttributeError(name)
+
+    def line(self) -> str:
+        took = max(time.monotonic() - self.began, 1e-9)
+        return f"{self.done}/{self.asked} ({self.done / took:.2f} a second, {self.failed} failed)"
+
+    @contextmanager
+    def told(self, tell: Callable[[str], None] | None, every: float = 1.0) -> Iterator[None]:
+        """Calls ``tell`` with a line whenever the counts have moved, until the block ends."""
+        if tell is None:
+            yield
+            return
+        over = threading.Event()
+
+        def watch():
+            last = None
+            while not over.wait(every):
+                if self.done != last:
+                    last = self.done
+                    tell(self.line())
+
+        thread = threading.Thread(target=watch, daemon=True)
+        thread.start()
+        try:
+            yield
+        finally:
+            over.set()
+            thread.join()
+            tell(self.line())
+
+
+def fetched(urls: DataFrame, policy: Policy = Policy(), opener: Opener | None = None, progress: Progress | None = None) -> DataFrame:
     """A row of SCHEMA for each distinct url; asked for again whenever it is evaluated, hence :func:`fetch_into`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = Client(policy, opener)
-        for b in batches:
-            rows = pd.DataFrame([client.get(u) for u in b["url"]], columns=["url", "status", "body", "error", "attempts"])
-            yield rows.astype({"status": "Int32", "attempts": "int32"})
+        with Connections() as connections:
+            client = Client(policy, opener or connections)
+            for b in batches:
+                got = []
+                for u in b["url"]:
+                    got.append(client.get(u))
+                    if progress:
+                        progress.add(got[-1])
+                yield pd.DataFrame(got, columns=["url", "status", "body", "error", "attempts"]).astype({"status": "Int32", "attempts": "int32"})
 
     wanted = urls.select("url").filter("url is not null").distinct()
     return wanted.repartition(urls.sparkSession.sparkContext.defaultParallelism, F.try_parse_url("url", F.lit("HOST"))).mapInPandas(run, SCHEMA)
@@ -119,22 +231,28 @@ def answers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path) if store.table_exists(spark, path) else spark.createDataFrame([], SCHEMA)
 
 
-def fetch_into(urls: DataFrame, path: str, policy: Policy = Policy(), opener: Callable[[str, Policy], Answer] = request, passes: int = 3, commits: int = 1) -> DataFrame:
+def fetch_into(urls: DataFrame, path: str, policy: Policy = Policy(), opener: Opener | None = None, passes: int = 3, commits: int = 1, progress: Progress | None = None) -> DataFrame:
     """S-21: fetch what ``path`` lacks and append it, in up to ``passes`` passes of ``commits`` jobs each; the urls that remain."""
     spark = urls.sparkSession
     wanted = urls.select("url").filter("url is not null").distinct()
     left = lambda: wanted.join(answers(spark, path).select("url"), "url", "left_anti")
     for _ in range(passes):
         todo = left()
-        if todo.isEmpty():
+        n = todo.count()
+        if not n:
             break
+        if progress:
+            progress.asked += n
         for k in range(commits):
-            own = todo.filter(F.pmod(F.xxhash64("url"), F.lit(commits)) == k)
-            fetched(own, policy, opener).filter("error is null").write.mode("append").parquet(path)
+            own, watch = todo.filter(F.pmod(F.xxhash64("url"), F.lit(commits)) == k), Observation()
+            told = fetched(own, policy, opener, progress).observe(watch, F.count(F.lit(1)).alias("total"), F.count_if(F.col("error").isNull()).alias("success"), F.count_if(F.col("error").isNotNull()).alias("failure"))
+            told.filter("error is null").write.mode("append").parquet(path)
+            if progress:
+                progress.passes.append(watch.get)
     return left()
 
 
-def tag_hits(tags: DataFrame, path: str, site: pages.Site = pages.Site(), policy: Policy = Policy(), opener: Callable[[str, Policy], Answer] = request, only_pages: int = 0, passes: int = 1) -> DataFrame:
+def tag_hits(tags: DataFrame, path: str, site: pages.Site = pages.Site(), policy: Policy = Policy(), opener: Opener | None = None, only_pages: int = 0, passes: int = 1) -> DataFrame:
     """S-10, S-22, P-9, W-2: (title, tag, tag_rank, score, position, song_url) of the works that each tag's pages list.
 
     tags: tag, tag_rank, score, url of the first page.  Pages are as many as the first one tells, or ``only_pages``.
@@ -161,9 +279,20 @@ def metadata_url(service: Column, video_id: Column) -> Column:
     return F.when(service == "niconico", first).otherwise(second)
 
 
-def video_metadata(ids: DataFrame, path: str, policy: Policy = Policy(interval=0.0), opener: Callable[[str, Policy], Answer] = request, passes: int = 1) -> DataFrame:
+def video_metadata(ids: DataFrame, path: str, policy: Policy = Policy(interval=0.0), opener: Opener | None = None, passes: int = 1, progress: Progress | None = None) -> DataFrame:
     """N-3: (service, id, title, thumbnail_url) of the videos (service, id) whose service answered."""
     wanted = ids.select("service", "id").distinct().withColumn("url", metadata_url(F.col("service"), F.col("id")))
-    fetch_into(wanted, path, policy, opener, passes)
+    fetch_into(wanted, path, policy, opener, passes, progress=progress)
     told = wanted.join(answers(ids.sparkSession, path).select("url", "body"), "url").withColumn("r", enrich.answer("service", "id", "body"))
     return told.select("service", "id", "r.*")
+
+
+def refresh_videos(kept: Store, name: str, path: str, policy: Policy = Policy(interval=0.0), opener: Opener | None = None, passes: int = 1, progress: Progress | None = None) -> tuple[Commit, dict[str, int]]:
+    """N-1 to N-8 and S-17: ask the services for the videos of stored records, and store what they tell.
+
+    The write, which counts records and entries, and the sums of :func:`enrich.fetch_summary` over both services.
+    """
+    ids = enrich.video_ids(kept.snapshot().table(name))
+    told = video_metadata(ids, path, policy, opener, passes, progress)
+    sums = enrich.fetch_summary(ids, told).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "success", "failure", "fallback"))).first()
+    return enrich.refreshed(kept, name, told), sums.asDict()
