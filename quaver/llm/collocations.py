@@ -41,9 +41,11 @@ from ._common import parts, table, written
 
 LONGEST, LEAST, COVER, TOP = 4, 30, 80, 2000
 #: Bytes of text whose grams are added up at once.
-TOGETHER = 4_000_000
+TOGETHER = 2_000_000
 #: Words of distinct pieces for one hash bucket, and what duckdb may hold of it in memory.
-BUCKET_WORDS, DUCK_MEMORY = 20_000_000, "256MB"
+BUCKET_WORDS, DUCK_MEMORY = 20_000_000, "192MB"
+#: Shares of a language that are ranked side by side; the last ranking sees as many times the rows that it keeps.
+SHARES = 64
 #: Bits of the table of frequent grams.
 BITS = 1 << 26
 _ENDS = V.byte_class(False, on=b".,;:!?\x0a\x0b\x0c\x0d")
@@ -288,7 +290,7 @@ def _explained(candidates: DataFrame) -> DataFrame:
 def _ranked(scored: DataFrame, top: int) -> DataFrame:
     """The first rows of each language: of salted shares first, so that no task sorts a whole language."""
     by = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    share = F.pmod(F.xxhash64("phrase"), F.lit(parts(scored.sparkSession)))
+    share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES))
     first = scored.withColumn("share", share).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*by))).filter(F.col("rank") <= top).drop("rank", "share")
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).filter(F.col("rank") <= top)
 
