@@ -53,6 +53,18 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.read(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def _entities(text: str) -> str:
+    for name, sign in (("copy;", "©"), ("middot;", "·"), ("quot;", '"'), ("amp;?", "&")):
+        text = f"regexp_replace({text}, '&{name}', '{sign}', 'g')"
+    return text
+
+
+#: Titles and texts of the given pages: what lies between tags and comments, outside scripts and styles.
+_TEXTS = """
+WITH bare AS (SELECT url, regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', chr(10), 'g'), '<[A-Za-z/][^<>]*$', '') AS h FROM pages),
+texts AS (SELECT url, regexp_extract(h, '(?is)<title>(.*?)</title>', 1) AS t, regexp_replace(regexp_replace(h, '(?s)<!--.*?-->', chr(10), 'g'), '<[^>]*>', chr(10), 'g') AS told FROM bare)"""
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.read(spark, sf_dir, "pages")
 
@@ -83,7 +95,8 @@ _DERIVED: dict[str, tuple[Query, str | None]] = {
     "page_title": (lambda s, d: _pages(s, d).select("page_id", corpus.page_title(F.col("html")).alias("title")), "SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages"),
     "page_links": (lambda s, d: corpus.links(_pages(s, d)).select("page_id", F.col("position").cast("long").alias("position"), "href"), "SELECT page_id, (i - 1)::BIGINT AS position, l[i] AS href FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*?href=[\"'']([^\"'']*)[\"'']', 1) AS l FROM pages))"),
     "page_link_count": (lambda s, d: stats.buckets(corpus.links(_pages(s, d)), "page_id"), "SELECT page_id, sum(len(regexp_extract_all(html, '(?i)<a\\s[^>]*?href=[\"'']([^\"'']*)[\"'']', 1)))::BIGINT AS n FROM pages GROUP BY 1 HAVING n > 0"),
-    "page_records": (lambda s, d: pages.details(_pages(s, d)), None),
+    "page_records": (lambda s, d: pages.details(_pages(s, d)), f"{_TEXTS} SELECT url, '{{\"page_title\":' || to_json(trim(regexp_replace({_entities('t')}, '\\s+', ' ', 'g'))) || ',\"reading\":\"\",\"published_year\":null,\"credits\":{{}},\"introduction\":[],\"videos\":{{\"niconico\":[],\"youtube\":[]}},\"related_videos\":{{\"niconico\":[],\"youtube\":[]}},\"source_url\":' || to_json(url) || '}}' AS payload_json, NULL::INT AS published_year FROM texts"),
+    "page_lines": (lambda s, d: pages.page_lines(_pages(s, d)).select("url", F.size("lines").cast("long").alias("n"), F.md5(F.array_join("lines", "\n")).alias("h")), f"{_TEXTS}, told AS (SELECT url, list_filter(list_transform(string_split({_entities('told')}, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM texts) SELECT url, len(l) AS n, md5(array_to_string(l, chr(10))) AS h FROM told"),
     "last_page": (lambda s, d: _pages(s, d).select("page_id", corpus.last_page(F.col("html")).alias("n")), "SELECT page_id, coalesce(list_max(list_transform(regexp_extract_all(html, '[?&]p=(\\d+)', 1), lambda x: x::INT)), 1) AS n FROM pages"),
     "url_parts": (lambda s, d: _pages(s, d).select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("PATH")).alias("path")), "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages"),
     "url_decode": (lambda s, d: _pages(s, d).select("page_id", X.url_decoded(F.url_encode(F.col("url"))).alias("url")), "SELECT page_id, url FROM pages"),
@@ -102,12 +115,17 @@ _WIKI = "WITH p AS (SELECT p_partkey AS k, p_name, p_brand, 'https://catalog.exa
 SITE = pages.Site(title_ending="Songs Wiki", tag_path="/w/tag/")
 
 
+def _wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, dealt to all cores: they come from a table of one row group."""
+    return C.wiki(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.details(C.wiki(spark, sf_dir), SITE)
+    return pages.details(_wiki(spark, sf_dir), SITE)
 
 
 def _record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _records(spark, sf_dir).select("url", pages.parsed(F.col("payload_json")).alias("d"))
+    return pages.records(_wiki(spark, sf_dir), SITE)
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,7 +325,7 @@ _DERIVED |= {
     "video_ids": (lambda s, d: enrich.video_ids(_records(s, d)), f"{_IDS} SELECT service, id FROM ids"),
     "video_answers": (_answers, f"{_IDS} SELECT service, id, {_TITLE} AS title, {_THUMBNAIL} AS thumbnail_url FROM ids"),
     "fetch_summary": (lambda s, d: enrich.fetch_summary(_answers(s, d).select("service", "id"), _answers(s, d).filter("title is not null")), f"{_IDS} SELECT service, count(*) AS total, count(*) FILTER (WHERE k % 3 = 0) AS success, count(*) FILTER (WHERE k % 3 = 2) AS failure, count(*) FILTER (WHERE k % 3 = 1) AS fallback FROM ids GROUP BY 1"),
-    "apply_metadata": (_applied, f"{_WIKI} SELECT url, CASE k % 3 WHEN 0 THEN 'T ' || k WHEN 1 THEN 'YouTube' ELSE 'YouTube ' || own END AS title, CASE k % 3 WHEN 0 THEN 'https://t.test/' || k ELSE 'https://img.youtube.com/vi/' || own || '/maxresdefault.jpg' END AS \"first\", CASE k % 3 WHEN 0 THEN 'https://n.test/' || k ELSE 'https://nicovideo.cdn.nimg.jp/thumbnails/' || k || '/' || k || '.L' END AS thumbnail FROM p"),
+    "apply_metadata": (_applied, f"{_WIKI} SELECT url, CASE k % 3 WHEN 0 THEN 'T ' || k WHEN 1 THEN 'YouTube' ELSE 'YouTube ' || own END AS title, CASE k % 3 WHEN 0 THEN 'https://t.test/' || k ELSE 'https://img.youtube.com/vi/' || own || CASE k % 3 WHEN 1 THEN '/mqdefault.jpg' ELSE '/maxresdefault.jpg' END END AS \"first\", CASE k % 3 WHEN 0 THEN 'https://n.test/' || k ELSE 'https://nicovideo.cdn.nimg.jp/thumbnails/' || k || '/' || k || '.L' END AS thumbnail FROM p"),
     "refresh_counts": (_refresh_counts, f"{_WIKI} SELECT count(*) AS n, count(*) FILTER (WHERE k % 3 < 2) AS records, 3 * count(*) FILTER (WHERE k % 3 < 2) AS entries FROM p"),
     "upsert_counts": (_upsert_counts, "SELECT (SELECT count(*) FROM customer) AS n, 0::BIGINT AS inserted, count(DISTINCT o_custkey) AS replaced FROM orders"),
     "readiness": (_ready, "SELECT variant, strict, variant = 'whole' OR (variant = 'wrong' AND NOT strict) AS ready FROM (VALUES ('whole'), ('lacking'), ('wrong')) v(variant), (VALUES (true), (false)) t(strict)"),

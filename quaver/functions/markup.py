@@ -8,11 +8,58 @@ from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE = frozenset(("script", "style", "noscript"))
-#: A start tag of the key closes an open element of the value.
-CLOSES = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
-CLOSES |= {k: {"p"} for k in "h1 h2 h3 h4 h5 h6 ul ol div table blockquote section article pre hr".split()}
-#: Closing by a start tag does not reach beyond these.
-WALLS = frozenset("ul ol table tbody div blockquote section article body html [document]".split())
+_BLOCKS = "address blockquote caption center col colgroup dd dir div dl dt fieldset form frameset h1 h2 h3 h4 h5 h6 hr li listing menu ol p pre table tbody td tfoot th title tr ul xmp"
+_HEADING = "fieldset form li p table"
+#: Start tags that end an open element of the key, where it is the innermost one, as lenient parsers of HTML 4 do.
+ENDED_BY = {
+    "a": "a fieldset table td th",
+    "address": "dd dl dt form li ul",
+    "b": "center p td th",
+    "big": "p",
+    "caption": "col colgroup tbody tfoot thead tr",
+    "col": "col colgroup tbody tfoot thead tr",
+    "colgroup": "colgroup tbody tfoot thead tr",
+    "dd": "dt",
+    "dir": "dd dl dt form ul",
+    "dl": "form li",
+    "dt": "dd dl",
+    "font": "center td th",
+    "form": "form",
+    "h1": _HEADING,
+    "h2": _HEADING,
+    "h3": _HEADING,
+    "h4": _HEADING,
+    "h5": _HEADING,
+    "h6": _HEADING,
+    "i": "center",
+    "legend": "fieldset",
+    "li": "li",
+    "menu": "dd dl dt form ul",
+    "ol": "form ul",
+    "option": "optgroup option",
+    "p": _BLOCKS,
+    "pre": "dd dl dt fieldset form li table ul",
+    "s": "p",
+    "small": "p",
+    "span": "td th",
+    "strike": "p",
+    "tbody": "tbody tfoot",
+    "td": "tbody td tfoot th tr",
+    "tfoot": "tbody",
+    "th": "tbody td tfoot th tr",
+    "thead": "tbody tfoot",
+    "tr": "tbody tfoot tr",
+    "tt": "p",
+    "u": "p td th",
+    "ul": "address form menu ol pre",
+}
+ENDED_BY = {k: frozenset(v.split()) for k, v in ENDED_BY.items()}
+#: An end tag does not reach beyond an open element of a higher rank; others have 100.
+RANK = {"div": 150, "td": 160, "th": 160, "tr": 170, "tbody": 180, "tfoot": 180, "thead": 180, "table": 190, "body": 200, "head": 200, "html": 220}
+#: What may stand in a head; anything else begins the body.
+IN_HEAD = frozenset("base link meta noscript script style title".split())
+FRAME = frozenset(("html", "head", "body"))
+ROOT = "[document]"
 
 
 def clean(text: str) -> str:
@@ -65,54 +112,100 @@ class Node:
 
 
 class _Builder(HTMLParser):
+    """Repairs as it builds: start tags end what they cannot stand in, end tags end what is open within, paragraphs arise from text beside the body.
+
+    Elements are closed in the order in which they were opened, so what overlaps is cut where the outer one ends.
+    """
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("[document]", {}, None)
-        self.quiet = 0
+        self.root = self.at = Node(ROOT, {}, None)
+        self.quiet: list[str] = []
+        self.framed: set[str] = set()
+
+    def _opened(self, tag: str, attrs: dict[str, str]) -> None:
+        node = Node(tag, attrs, self.at)
+        self.at.inner.append(node)
+        if tag not in VOID:
+            self.at = node
+
+    def _leave_head(self) -> None:
+        x = self.at
+        while x.parent is not None and x.tag != "head":
+            x = x.parent
+        if x.tag == "head":
+            self.at = x.parent
 
     def handle_starttag(self, tag, attrs):
         if tag in NOISE:
-            self.quiet += 1
+            self._parted()
+            self.quiet.append(tag)
         if self.quiet:
             return
-        x = self.at
-        while x.parent is not None and x.tag not in WALLS:
-            if x.tag in CLOSES.get(tag, ()):
-                self.at = x.parent
-                break
-            x = x.parent
-        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
-        self.at.inner.append(node)
-        if tag not in VOID:
-            self.at = node
+        if tag in FRAME:
+            if tag in self.framed or tag == "html" and self.root.inner or tag == "head" and "body" in self.framed:
+                return  # there is one of each
+            self.framed.add(tag)
+        if tag not in IN_HEAD and tag not in ("html", "head"):
+            self._leave_head()
+        while self.at.parent is not None and tag in ENDED_BY.get(self.at.tag, ()):
+            self.at = self.at.parent
+        self._opened(tag, {k: v or "" for k, v in reversed(attrs)})
 
     def handle_endtag(self, tag):
-        if tag in NOISE:
-            self.quiet = max(0, self.quiet - 1)
+        if self.quiet:
+            if tag in self.quiet:
+                del self.quiet[self.quiet.index(tag) :]
             return
+        if tag in NOISE or tag in ("html", "body"):
+            return  # what follows the end of the body still belongs to it
         x = self.at
-        while not self.quiet and x.parent is not None:
+        while x.parent is not None:
             if x.tag == tag:
                 self.at = x.parent
                 return
+            if RANK.get(x.tag, 100) > RANK.get(tag, 100):
+                break
             x = x.parent
+        if tag == "p":  # the end of a paragraph that never began is an empty one
+            self.handle_starttag("p", [])
+            self.at = self.at.parent
 
     def handle_startendtag(self, tag, attrs):
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        elif tag not in NOISE:
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
             self.handle_endtag(tag)
 
     def handle_data(self, data):
-        if not self.quiet:
-            self.at.inner.append(data)
+        if self.quiet or not data:
+            return
+        if self.at.tag in (ROOT, "html", "head"):
+            if not data.strip():
+                return
+            self._leave_head()
+            self._opened("p", {})
+        own = self.at.inner
+        if own and isinstance(own[-1], str) and own[-1]:
+            own[-1] += data  # the tokenizer cuts texts at odd signs
+        else:
+            own.append(data)
+
+    def _parted(self) -> None:
+        """Texts on both sides of what is left out are two."""
+        if not self.quiet and self.at.tag not in (ROOT, "html", "head"):
+            self.at.inner.append("")
+
+    def handle_comment(self, data):
+        self._parted()
+
+
+_CUT_TAG = re.compile(r"<[A-Za-z/][^<>]*\Z")
 
 
 def tree(html: str) -> Node:
-    """E-1: the document without scripts, styles and noscript parts."""
+    """E-1: the document without comments, scripts, styles and noscript parts, repaired; a tag that the end of the page cuts is no text."""
     b = _Builder()
-    b.feed(html)
+    b.feed(_CUT_TAG.sub("", html))
     b.close()
     return b.root
 
