@@ -23,7 +23,6 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import json
-import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -49,21 +48,26 @@ LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
-@cache
-def _classes() -> np.ndarray:
+def classes(split: Callable[[str], list]) -> np.ndarray:
+    """The class of every code point as the tokenizer itself has it, whatever its version of Unicode: ``split`` gives a text's pre-tokens.
+
+    Characters of one class that follow one of it stay with it, so a whole range of a class is one pre-token; mixed ranges are halved.
+    """
     kinds = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x110000):
-        g = unicodedata.category(chr(c))[0]
-        if g == "L":
-            kinds[c] = LETTER
-        elif g == "N":
-            kinds[c] = NUMBER
-    for c in (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000):
-        kinds[c] = SPACE
+    todo = [range(c, c + 4096) for c in range(0, 0x110000, 4096) if not 0xD000 <= c < 0xE000] + [range(0xD000, 0xD800)]
+    while todo:
+        own = todo.pop()
+        text = "".join(map(chr, own))
+        kind = next((k for k, lead in ((OTHER, "!"), (LETTER, "a"), (NUMBER, "1")) if len(split(lead + text)) == 1), None)
+        if kind is not None or len(own) == 1:
+            kinds[own.start : own.stop] = SPACE if kind is None else kind
+        else:
+            half = own.start + len(own) // 2
+            todo += [range(own.start, half), range(half, own.stop)]
     return kinds
 
 
-def pretokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pretokens(buf: np.ndarray, off: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets at which pre-tokens of the byte-level pattern start, and their document numbers."""
     # code points and the bytes at which they start
     lead = (buf & 0xC0) != 0x80
@@ -71,7 +75,7 @@ def pretokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     if not len(at):
         return at, at
     cp = np.frombuffer(buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    kind = _classes()[cp]
+    kind = kinds[cp]
     doc0 = np.searchsorted(at, off[:-1])  # first code point of each document
     doc0 = doc0[np.diff(off) > 0]
     n = len(cp)
@@ -134,6 +138,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = _byte_pieces(path)
+        self.kinds = classes(self.tokenizer.pre_tokenizer.pre_tokenize_str)
         self.forget()
 
     def forget(self) -> None:
@@ -159,7 +164,7 @@ class Encoder:
 
     def slice(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all the slice's documents, and where each document's ids start."""
-        place, doc = pretokens(buf, off)
+        place, doc = pretokens(buf, off, self.kinds)
         h = V.Hasher(buf).spans(place, np.r_[place[1:], len(buf)]) if len(place) else np.zeros(0, np.uint64)
         distinct, sample, back = np.unique(h, return_index=True, return_inverse=True)
         if len(distinct) > REMEMBERED // 2:

@@ -204,22 +204,25 @@ def _once(df: DataFrame, name: str, sql: str) -> DataFrame:
 
 def scanned(docs: DataFrame, model: str, path: str | None = "source") -> tuple[DataFrame, str, str]:
     """``docs`` with two more columns, and their names: the text between matches, and an array of (lead, value, start, score) structs."""
-    matches, between, seen, found = (free(c, docs.columns) for c in ("_matches", "_between", "_seen", "_found"))
+    matches, between, places, seen, found = (free(c, docs.columns) for c in ("_matches", "_between", "_places", "_seen", "_found"))
     source = f"coalesce(cast(`{path}` as string), '')" if path and path in docs.columns else "''"
     pattern = _quoted(CANDIDATE)
     out = _once(docs, matches, f"regexp_extract_all(coalesce(text, ''), {pattern}, 0)")
     out = _once(out, between, f"if(size({matches}) = 0, array(coalesce(text, '')), split(coalesce(text, ''), {pattern}, -1))")
+    # where each match begins: sums of all lengths before it, by doubling, so that n matches cost n log n
+    sizes = f"transform({between}, (t, i) -> cast(length(t) + if(i = 0, 0, length({matches}[i - 1])) as bigint))"
+    out = _once(out, places, f"if(size({matches}) = 0, null, aggregate(sequence(0, cast(ceil(log2(size({matches}))) as int)), {sizes}, (a, k) -> transform(a, (x, i) -> x + coalesce(get(a, i - shiftleft(1, k)), 0L))))")
     features = ", ".join(f"'{k}', {s}" for k, s in _feature_sql("c.value", "c.before", "c.after", source).items())
     led = f"transform({matches}, m -> named_struct('m', m, 'lead', regexp_extract(m, {_quoted(LEAD)}, 0)))"
     placed = (
         f"transform({led}, (x, i) -> named_struct('lead', x.lead, 'value', substr(x.m, length(x.lead) + 1), 'before', right(concat({between}[i], x.lead), {NEAR}), 'after', left({between}[i + 1], {NEAR}), "
-        f"'start', cast(length(x.lead) + aggregate(slice({between}, 1, i + 1), 0L, (a, t) -> a + length(t)) + aggregate(slice({matches}, 1, i), 0L, (a, t) -> a + length(t)) as bigint)))"
+        f"'start', length(x.lead) + {places}[i]))"
     )
     described = f"transform({placed}, c -> named_struct('c', c, 'f', named_struct({features})))"
     out = _once(out, seen, f"if(size({matches}) = 0, null, {described})")
     score = f"transform({seen}, s -> named_struct('lead', s.c.lead, 'value', s.c.value, 'start', s.c.start, 'score', element_at(transform(array(s.f), f -> {model}), 1)))"
     out = _once(out, found, score)
-    return out.drop(matches, seen), between, found
+    return out.drop(matches, places, seen), between, found
 
 
 def findings(docs: DataFrame, model: str, path: str | None = "source") -> DataFrame:

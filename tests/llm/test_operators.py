@@ -326,3 +326,43 @@ def test_pipeline(spark, documents):
     first = [i for k, i in enumerate(ids) if not any(documents[ids[j]] == documents[i] or sets[k] and len(sets[k] & sets[j]) >= 0.8 * len(sets[k] | sets[j]) for j in range(k))]
     assert steps[1] == set(first)
     assert steps[2] <= steps[1] and steps[3] == steps[2] == steps[4]
+
+
+def test_ids_of_every_code_point():
+    """The encoder against the tokenizer: each code point beside letters, digits, spaces, signs, apostrophes and itself.
+
+    All of the planes that hold characters; of those without any, one in 64 (all of them were compared once, without a difference).
+    """
+    enc = pack.Encoder(pack.default_path())
+    bad = []
+    for at in range(0, 0x110000, 2048):
+        step = 1 if at < 0x33000 or 0xE0000 <= at < 0xE1000 else 64
+        own = [chr(c) for c in range(at, at + 2048, step) if not 0xD800 <= c < 0xE000]
+        if not own:
+            continue
+        texts = ["\n".join(x) for x in zip(*((f"x{c}{c}y 1", f"{c}'s", f" {c}'ll {c}", f"7{c}{c}8", f"!{c}'t{c}?", f"{c} {c}  {c}", f"é{c}\t'{c}re") for c in own))]
+        for t, got in zip(texts, enc.texts(pa.array(texts))):
+            if got.tolist() != enc.tokenizer.encode(t, add_special_tokens=False).ids:
+                bad.append((hex(at), t[:60]))
+    assert not bad
+
+
+def test_many_candidates_in_one_text(spark):
+    """A hundred thousand candidates of one text: each in its place, in time that grows with the text."""
+    import time
+
+    rng = random.Random(6)
+    parts, starts, n = [], [], 0
+    for k in range(100_000):
+        gap = rng.choice(["x ", "the é ", "\n", "a, "])
+        value = "".join(rng.choices("abcdefgh0123456789", k=20))
+        starts.append(n + len(gap))
+        parts += [gap, value, " "]
+        n += len(gap) + 21
+    docs = spark.createDataFrame([(1, "".join(parts), "s")], "doc_id long, text string, source string")
+    model = secrets.forest(secrets.generated_findings(spark, 400), trees=3, depth=3)
+    began = time.monotonic()
+    got = secrets.findings(docs, model).select("start").toPandas()["start"].tolist()
+    took = time.monotonic() - began
+    assert sorted(got) == starts
+    assert took < 120, took
