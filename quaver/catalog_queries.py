@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import checks, corpus, enrich, pages, scans, search, stats, store
+from .operators import checks, corpus, enrich, pages, scans, search, selection, stats, store
 from .operators.versioned import Commit, Store
 from .session import shared_folder
 from .sources import catalog as C
@@ -75,6 +75,9 @@ def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DERIVED: dict[str, tuple[Query, str | None]] = {
+    "search_far_page": (lambda s, d: search.search(C.placed(s, d, "title_length_desc"), "title_length_desc", 50, 1200), f"{_search(lead='title_length DESC, ', page='LIMIT 50 OFFSET 1200')}"),
+    "search_short_composer": (lambda s, d: search.search(C.catalog(s, d), composer="#0"), _search("EXISTS (SELECT 1 FROM people p WHERE p.song_url = s.song_url AND contains(p.normalized_name, '#0'))")),
+    "median_prices": (lambda s, d: selection.medians(C.read(s, d, "lineitem"), "l_returnflag", "l_extendedprice", 500), "SELECT l_returnflag, median(l_extendedprice) AS median FROM lineitem GROUP BY 1"),
     "search_total": (lambda s, d: search.total(C.catalog(s, d), labels=("PROMO",), composer="supplier#00000000"), f"{C.SQL} SELECT count(*) AS total FROM songs s JOIN details d ON s.song_url = d.url WHERE popularity_label = 'PROMO' AND {_COMPOSER}"),
     "detail_lookup": (lambda s, d: search.detail(C.catalog(s, d), "https://catalog.example.test/pages/42.html").select("url", "published_year"), f"{C.SQL} SELECT url, published_year FROM details WHERE url = 'https://catalog.example.test/pages/42.html'"),
     "worklist": (lambda s, d: search.worklist(C.catalog(s, d)), f"{C.SQL} SELECT song_url FROM songs"),
@@ -99,13 +102,12 @@ _DERIVED: dict[str, tuple[Query, str | None]] = {
     "page_lines": (lambda s, d: pages.page_lines(_pages(s, d)).select("url", F.size("lines").cast("long").alias("n"), F.md5(F.array_join("lines", "\n")).alias("h")), f"{_TEXTS}, told AS (SELECT url, list_filter(list_transform(string_split({_entities('told')}, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM texts) SELECT url, len(l) AS n, md5(array_to_string(l, chr(10))) AS h FROM told"),
     "last_page": (lambda s, d: _pages(s, d).select("page_id", corpus.last_page(F.col("html")).alias("n")), "SELECT page_id, coalesce(list_max(list_transform(regexp_extract_all(html, '[?&]p=(\\d+)', 1), lambda x: x::INT)), 1) AS n FROM pages"),
     "url_parts": (lambda s, d: _pages(s, d).select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("PATH")).alias("path")), "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages"),
-    "url_decode": (lambda s, d: _pages(s, d).select("page_id", X.url_decoded(F.url_encode(F.col("url"))).alias("url")), "SELECT page_id, url FROM pages"),
+    "url_decode": (lambda s, d: _pages(s, d).select("page_id", X.url_decoded(F.concat(F.regexp_replace("url", "e", "%65"), F.lit("%E3%81%8B+%2f%zz"))).alias("url")), "SELECT page_id, url || 'か+/%zz' AS url FROM pages"),
     "json_props": (lambda s, d: C.read(s, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k")), "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events"),
     "json_counters": (lambda s, d: checks.json_counters(C.read(s, d, "events"), "props"), "SELECT count(*) AS n, count(*) FILTER (WHERE NOT json_valid(props)) AS invalid, count(*) FILTER (WHERE json_type(props) = 'OBJECT') AS objects FROM events"),
     "row_checks": (lambda s, d: enrich.issues(C.details(s, d), 2026).select("url", F.concat_ws(",", "checks").alias("checks")), f"{C.SQL} SELECT url, 'missing_credits,missing_introduction,missing_primary_videos' || CASE WHEN published_year IS NULL THEN ',missing_published_year' WHEN published_year < 2000 OR published_year > 2027 THEN ',suspicious_published_year' ELSE '' END AS checks FROM details"),
     "issue_counts": (lambda s, d: enrich.issue_counts(enrich.issues(C.details(s, d), 2026)), f"{C.SQL} SELECT c.name AS \"check\", count(url) AS n FROM (VALUES {', '.join(f'({k!r})' for k in enrich.CHECKS)}) c(name) LEFT JOIN details ON c.name IN ('missing_credits', 'missing_introduction', 'missing_primary_videos') OR c.name = 'missing_published_year' AND published_year IS NULL OR c.name = 'suspicious_published_year' AND (published_year < 2000 OR published_year > 2027) GROUP BY 1"),
     "orphan_details": (lambda s, d: checks.orphans(C.details(s, d).select("url"), C.people(s, d), "url", "song_url"), f"{C.SQL} SELECT url FROM details WHERE url NOT IN (SELECT song_url FROM people)"),
-    "scan_emails": (lambda s, d: checks.emails(_docs(s, d)), f"SELECT doc_id, line, value FROM (SELECT doc_id, i::BIGINT AS line, unnest(regexp_extract_all(l[i], '{checks.EMAIL}')) AS value FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))) WHERE NOT ends_with(lower(value), '@example.com')"),
     "markers": (lambda s, d: scans.lacking(_docs(s, d).withColumn("name", F.col("doc_id").cast("string")), {"1": ("the", "no such passage"), "2": ("",)}), "SELECT m.doc_id::VARCHAR AS name, marker FROM (VALUES (1, 'the'), (1, 'no such passage'), (2, '')) m(doc_id, marker) LEFT JOIN documents d ON m.doc_id = d.doc_id WHERE d.doc_id IS NULL OR NOT contains(text, marker)"),
     "duplicate_headings": (lambda s, d: stats.duplicates(_docs(s, d).select(F.md5("text").alias("h")), "h"), "SELECT md5(text) AS h, count(*) AS n FROM documents GROUP BY 1 HAVING n > 1"),
     "profile_latency": (lambda s, d: stats.latency(C.read(s, d, "events"), "event_type", "value"), "SELECT event_type, round(min(value), 2) AS min_ms, round(median(value), 2) AS median_ms, round(max(value), 2) AS max_ms FROM events GROUP BY 1"),
@@ -260,6 +262,48 @@ def _dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.dump(tables, {"by_region": ("nation", ("n_regionkey", "n_name")), "a_name": ("region", ("r_name",))})
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of documents for each part: even ones link to those of twice their key and of two more, modulo the number of parts; odd ones stand in circles of three."""
+    n = C.read(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("n"))
+    k = F.col("p_partkey")
+    name = lambda c: F.concat(F.lit("d"), c.cast("string"), F.lit(".md"))
+    circle = F.floor(k / 6) * 6 + F.when(k % 6 == 1, 3).when(k % 6 == 3, 5).otherwise(1)
+    link = lambda c: F.concat(F.lit("[to]("), name(c), F.lit(")\n"))
+    rows = C.read(spark, sf_dir, "part").crossJoin(F.broadcast(n))  # one row
+    return rows.select(name(k).alias("name"), F.when(k % 2 == 0, F.concat(link(2 * k % F.col("n")), link((2 * k + 2) % F.col("n")))).otherwise(link(circle)).alias("text"))
+
+
+_LINKED = """
+WITH RECURSIVE n AS (SELECT count(*) AS n FROM part),
+edges AS (
+  SELECT 'd' || p_partkey || '.md' AS a, 'd' || (2 * p_partkey % n) || '.md' AS b FROM part, n WHERE p_partkey % 2 = 0
+  UNION SELECT 'd' || p_partkey || '.md', 'd' || ((2 * p_partkey + 2) % n) || '.md' FROM part, n WHERE p_partkey % 2 = 0
+  UNION SELECT 'd' || p_partkey || '.md', 'd' || (p_partkey // 6 * 6 + CASE p_partkey % 6 WHEN 1 THEN 3 WHEN 3 THEN 5 ELSE 1 END) || '.md' FROM part WHERE p_partkey % 2 = 1),
+names AS (SELECT 'd' || p_partkey || '.md' AS name FROM part),
+walk AS (SELECT 'd2.md' AS name UNION SELECT b FROM walk JOIN edges ON a = walk.name JOIN names ON names.name = b)
+SELECT name, 'out of reach' AS problem, '' AS detail FROM names WHERE name NOT IN (SELECT name FROM walk) AND name IN (SELECT b FROM edges WHERE a <> b)
+"""
+
+
+def _dump_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Given in the wrong order: what others refer to comes first."""
+    tables = {t: C.read(spark, sf_dir, t) for t in ("customer", "nation", "region")}
+    keys = {"region": (("r_regionkey",),), "nation": (("n_nationkey",), ("n_name",)), "customer": (("c_custkey",),)}
+    to = lambda column, table, key: (store.Reference((column,), table, (key,)),)
+    return store.dump(tables, keys=keys, references={"nation": to("n_regionkey", "region", "r_regionkey"), "customer": to("c_nationkey", "nation", "n_nationkey")})
+
+
+_DUMP_KEYS = """
+SELECT k - 1 AS step, 'DROP TABLE IF EXISTS "' || t || '";' AS statement FROM (VALUES (1, 'customer'), (2, 'nation'), (3, 'region')) AS v(k, t)
+UNION ALL SELECT 3, 'CREATE TABLE "region" ("r_regionkey" INTEGER, "r_name" TEXT, PRIMARY KEY ("r_regionkey"));'
+UNION ALL SELECT 4, 'CREATE TABLE "nation" ("n_nationkey" INTEGER, "n_name" TEXT, "n_regionkey" INTEGER, PRIMARY KEY ("n_nationkey"), UNIQUE ("n_name"), FOREIGN KEY ("n_regionkey") REFERENCES "region" ("r_regionkey") ON DELETE CASCADE);'
+UNION ALL SELECT 5, 'CREATE TABLE "customer" ("c_custkey" INTEGER, "c_name" TEXT, "c_nationkey" INTEGER, "c_acctbal" REAL, "c_mktsegment" TEXT, PRIMARY KEY ("c_custkey"), FOREIGN KEY ("c_nationkey") REFERENCES "nation" ("n_nationkey") ON DELETE CASCADE);'
+UNION ALL SELECT 6, 'INSERT INTO "region" ("r_regionkey", "r_name") VALUES (' || r_regionkey || ', ''' || r_name || ''');' FROM region
+UNION ALL SELECT 7, 'INSERT INTO "nation" ("n_nationkey", "n_name", "n_regionkey") VALUES (' || n_nationkey || ', ''' || n_name || ''', ' || n_regionkey || ');' FROM nation
+UNION ALL SELECT 8, 'INSERT INTO "customer" ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment") VALUES (' || c_custkey || ', ''' || c_name || ''', ' || c_nationkey || ', ' || c_acctbal || ', ''' || c_mktsegment || ''');' FROM customer
+"""
+
+
 _DUMP = """
 SELECT 0 AS step, 'DROP TABLE IF EXISTS "nation";' AS statement UNION ALL SELECT 1, 'DROP TABLE IF EXISTS "region";'
 UNION ALL SELECT 2, 'CREATE TABLE "region" ("r_regionkey" INTEGER, "r_name" TEXT);' UNION ALL SELECT 3, 'CREATE TABLE "nation" ("n_nationkey" INTEGER, "n_name" TEXT, "n_regionkey" INTEGER);'
@@ -311,9 +355,12 @@ def _crawling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CRAWLING = "SELECT page_id, array_to_string(list_transform(range(1, page_id % 3 + 2), lambda p: 'https://w.test/t?q=' || page_id || CASE WHEN p > 1 THEN '&p=' || p ELSE '' END), ' ') AS urls, least(coalesce(CASE WHEN page_id % 4 = 0 THEN (page_id % 50)::DOUBLE END, 2.0 * pow(2.0, page_id % 6)), 30.0) AS wait FROM pages"
 _LINES = "(SELECT doc_id, l[i] AS t, i::BIGINT AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
-_PUBLIC = """list_max(o) <= 255 AND NOT (o[1] IN (0, 10, 127) OR o[1] >= 224 OR (o[1] = 100 AND o[2] BETWEEN 64 AND 127) OR (o[1] = 169 AND o[2] = 254) OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31) OR (o[1] = 192 AND o[2] = 168)
-  OR (o[1] = 192 AND o[2] = 0 AND o[3] IN (0, 2)) OR (o[1] = 198 AND o[2] IN (18, 19)) OR (o[1] = 198 AND o[2] = 51 AND o[3] = 100) OR (o[1] = 203 AND o[2] = 0 AND o[3] = 113))"""
-_SECRET = checks.ASSIGNMENT.replace("(?iU)", "(?i)").replace("'", "''")
+#: Addresses as numbers, outside of the special networks.
+_PUBLIC = """list_max(o) <= 255 AND NOT regexp_matches(value, '(^|[.])0[0-9]') AND NOT (
+  n < 16777216 OR n BETWEEN 167772160 AND 184549375 OR n BETWEEN 2130706432 AND 2147483647 OR n BETWEEN 2851995648 AND 2852061183 OR n BETWEEN 2886729728 AND 2887778303
+  OR (n BETWEEN 3221225472 AND 3221225727 AND n NOT IN (3221225481, 3221225482)) OR n BETWEEN 3221225984 AND 3221226239 OR n BETWEEN 3232235520 AND 3232301055
+  OR n BETWEEN 3323068416 AND 3323199487 OR n BETWEEN 3325256704 AND 3325256959 OR n BETWEEN 3405803776 AND 3405804031 OR n >= 3758096384)"""
+_SECRET = r"(?i)\b(api[_-]?key|token|secret|passw(or)?d|private[_-]?key|cloudflare[_-]?api[_-]?token|github[_-]?token)\b\s*[:=]\s*[''\x22]?([A-Za-z0-9_./+=:-]{12,})"
 _FAILED = "'missing_credits,missing_introduction,missing_primary_videos' || CASE WHEN published_year IS NULL THEN ',missing_published_year' WHEN published_year < 2000 OR published_year > 2027 THEN ',suspicious_published_year' ELSE '' END"
 
 _DERIVED |= {
@@ -340,12 +387,15 @@ _DERIVED |= {
     "upserted": (_upserted, "SELECT c_custkey, c_name AS name, -1::BIGINT AS version FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT o_custkey, arg_max(o_orderpriority || ' ' || o_orderkey, o_orderkey), max(o_orderkey) FROM orders GROUP BY 1"),
     "children_replaced": (_children, "SELECT l_orderkey, l_suppkey % 3 AS who, l_linenumber * 10 AS note FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 10 <> 0 UNION ALL SELECT l_orderkey, l_suppkey % 3, min(l_linenumber) * 10 FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1, 2"),
     "sql_dump": (_dump, _DUMP),
+    "sql_dump_keys": (_dump_keys, _DUMP_KEYS),
+    "lost_documents": (lambda s, d: scans.lost(_linked(s, d), ("d2.md",)), _LINKED),
     "text_rules": (_text_rules, _TEXT_RULES),
     "crawling": (_crawling, _CRAWLING),
     "orphan_orders": (lambda s, d: checks.orphans(C.read(s, d, "customer").select("c_custkey"), C.read(s, d, "orders").filter("o_orderpriority = '1-URGENT'"), "c_custkey", "o_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
     "scan_domains": (lambda s, d: scans.domains(_pages(s, d).select(F.col("page_id").alias("doc_id"), F.concat(F.lit("x\nsee "), "url").alias("text")), allowed=("example.org",)), "SELECT page_id AS doc_id, 2::BIGINT AS line, value FROM (SELECT page_id, regexp_extract(url, 'https?://([^/,\\s''\"`]+)', 1) AS value FROM pages) WHERE contains(value, '.') AND NOT contains(value, '$') AND NOT regexp_matches(lower(value), '^(?:example\\.org|(?:.*\\.)?example\\.com|www\\.example\\.com|localhost|127\\.0\\.0\\.1|0\\.0\\.0\\.0|example\\.test)(?::[^:]*)?$')"),
-    "scan_ips": (lambda s, d: checks.public_ips(_docs(s, d)), f"SELECT doc_id, line, value FROM (SELECT doc_id, line, value, list_transform(string_split(value, '.'), lambda x: x::INT) AS o FROM (SELECT doc_id, line, unnest(regexp_extract_all(t, '{checks.IPV4}')) AS value FROM {_LINES})) WHERE {_PUBLIC}"),
-    "scan_secrets": (lambda s, d: checks.secret_assignments(_docs(s, d)).select("doc_id", "line", F.md5("value").alias("h")), f"SELECT doc_id, line, md5(value) AS h FROM (SELECT doc_id, line, regexp_extract(t, '{_SECRET}', 1) AS value FROM {_LINES} WHERE NOT regexp_matches(t, '{checks.PLACEHOLDERS}')) WHERE value <> ''"),
+    "scan_emails": (lambda s, d: checks.emails(_docs(s, d)), f"SELECT doc_id, line, value FROM (SELECT doc_id, line, unnest(regexp_extract_all(t, '\\b[[:alnum:]._%+\\-]+@[[:alnum:].\\-]+\\.[[:alpha:]]{{2,}}\\b')) AS value FROM {_LINES}) WHERE value NOT LIKE '%@example.com'"),
+    "scan_ips": (lambda s, d: checks.public_ips(_docs(s, d)), f"SELECT doc_id, line, value FROM (SELECT *, o[1]::BIGINT * 16777216 + o[2] * 65536 + o[3] * 256 + o[4] AS n FROM (SELECT doc_id, line, value, list_transform(string_split(value, '.'), lambda x: x::INT) AS o FROM (SELECT doc_id, line, unnest(regexp_extract_all(t, '\\b[0-9]{{1,3}}[.][0-9]{{1,3}}[.][0-9]{{1,3}}[.][0-9]{{1,3}}\\b')) AS value FROM {_LINES}))) WHERE {_PUBLIC}"),
+    "scan_secrets": (lambda s, d: checks.secret_assignments(_docs(s, d)).select("doc_id", "line", F.md5("value").alias("h")), f"SELECT doc_id, line, md5(value) AS h FROM (SELECT doc_id, line, regexp_extract(t, '{_SECRET}', 3) AS value FROM {_LINES} WHERE t NOT LIKE '%replace-with-%' AND t NOT LIKE '%example%') WHERE value <> ''"),
 }
 
 

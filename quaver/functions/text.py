@@ -79,8 +79,8 @@ def like_escaped(c: Column) -> Column:
 
 
 def url_decoded(c: Column) -> Column:
-    """X-10: percent-decoding that leaves plus signs alone."""
-    return F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    """X-10: percent-decoding that leaves plus signs alone, and percent signs that begin no code."""
+    return F.try_url_decode(F.regexp_replace(F.replace(c, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def sql_literal(c: Column) -> Column:
@@ -119,3 +119,19 @@ def whole_number(c: Column) -> tuple[Column, Column]:
     """X-24: the number, and what is wrong if the text is none."""
     n = c.try_cast("bigint")
     return n, F.when(c.isNotNull() & n.isNull(), F.concat(F.lit("not a whole number: "), c))
+
+
+def _folds() -> dict[str, str]:
+    """Letters that case folding, unlike lower case, turns into something with an ASCII letter."""
+    every = (chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000)
+    return {x: x.casefold() for x in every if x.casefold() != x.lower() and any(y.isascii() for y in x.casefold())}
+
+
+FOLDS = _folds()
+
+
+def folded(c: Column) -> Column:
+    """X-28: case folding, as far as it can decide whether a text holds a word of ASCII letters or of letters without case."""
+    for old, new in FOLDS.items():
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return F.lower(c)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as X
 from ..sources.catalog import Catalog
 from .pages import DETAIL, SERVICES, niconico_thumbnails, youtube_thumbnails
 from .search import order
@@ -155,7 +156,7 @@ def row_checks(payload: Column, stored_year: Column, this_year: int) -> Column:
     composers, year = _strings(v, "$.credits.composer"), _whole(v, "$.published_year")
     named = lambda values: F.exists(values, lambda x: F.trim(x) != "")
     has_credits = F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.credits", "variant")).rlike("^OBJECT<.+>$"), F.lit(False))
-    odd_name = F.exists(composers, lambda x: reduce(lambda a, b: a | b, [F.contains(F.lower(x), F.lit(w)) for w in SUSPICIOUS]))
+    odd_name = F.exists(composers, lambda x: reduce(lambda a, b: a | b, [F.contains(X.folded(x), F.lit(w)) for w in SUSPICIOUS]))
     services = F.try_variant_get(v, "$.videos", "map<string,variant>")
     with_id = lambda e: _kind(e, "OBJECT") & _stated(F.try_variant_get(e, "$.id", "variant"), F.try_variant_get(e, "$.id", "string"))
     has_video = F.coalesce(F.exists(F.map_values(services), lambda x: F.exists(_list(x, "$"), with_id)), F.lit(False))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import stored
 
 #: Hosts and endings of hosts that stand for no real site.
 ALLOWED, ALLOWED_ENDINGS = ("example.com", "www.example.com", "localhost", "127.0.0.1", "0.0.0.0", "example.test"), (".example.com",)
@@ -59,7 +60,7 @@ def doc_links(docs: DataFrame) -> DataFrame:
 
 
 def link_failures(docs: DataFrame, entry_points: tuple[str, ...] = ("index.md", "README.md")) -> DataFrame:
-    """T-6: (name, problem, detail) of links to missing files and headings, documents without a link to them, repeated headings."""
+    """T-6: (name, problem, detail) of links to missing files and headings, documents without a link to them or out of reach, repeated headings."""
     links, anchors = doc_links(docs), headings(docs)
     names = docs.select(F.col("name").alias("file")).distinct()
     say = lambda df, problem, detail: df.select("name", F.lit(problem).alias("problem"), F.col(detail).alias("detail"))
@@ -68,7 +69,31 @@ def link_failures(docs: DataFrame, entry_points: tuple[str, ...] = ("index.md",
     no_heading = say(links.filter("fragment <> ''").join(names, "file", "left_semi").join(known, ["file", "fragment"], "left_anti"), "missing heading", "target")
     orphans = say(names.filter(~F.col("file").isin(*entry_points)).join(links, "file", "left_anti").withColumnRenamed("file", "name").withColumn("detail", F.lit("")), "no link here", "detail")
     repeated = say(anchors.groupBy("name", "slug").count().filter("count > 1"), "repeated heading", "slug")
-    return no_file.unionByName(no_heading).unionByName(orphans).unionByName(repeated)
+    return no_file.unionByName(no_heading).unionByName(orphans).unionByName(repeated).unionByName(lost(docs, entry_points))
+
+
+def reached(docs: DataFrame, entry_points: tuple[str, ...] = ("index.md", "README.md")) -> DataFrame:
+    """T-6: (name, steps): how many links it takes at least from an entry point to each document; null where no path leads.
+
+    Steps spread along the links round by round, over stored tables; a round asks only the documents that the last one found.
+    """
+    names = stored(docs.select("name").distinct())
+    edges = stored(doc_links(docs).select("name", F.col("file").alias("to")).distinct().join(names.select(F.col("name").alias("to")), "to", "left_semi"))
+    known = stored(names.filter(F.col("name").isin(*entry_points)).withColumn("steps", F.lit(0)))
+    fresh, step = known, 0
+    while not fresh.isEmpty():
+        step += 1
+        next_ = edges.join(fresh.select("name"), "name", "left_semi").select(F.col("to").alias("name")).distinct()
+        fresh = stored(next_.join(known, "name", "left_anti").withColumn("steps", F.lit(step)))
+        known = stored(known.unionByName(fresh))
+    return names.join(known, "name", "left")
+
+
+def lost(docs: DataFrame, entry_points: tuple[str, ...] = ("index.md", "README.md")) -> DataFrame:
+    """T-6: (name, problem, detail) of documents that no path of links reaches, though some link leads to them: they are in circles of their own, or behind one."""
+    apart = reached(docs, entry_points).filter("steps is null").select("name")
+    linked = doc_links(docs).filter("name <> file").select(F.col("file").alias("name")).distinct()
+    return apart.join(linked, "name", "left_semi").select("name", F.lit("out of reach").alias("problem"), F.lit("").alias("detail"))
 
 
 def lacking(docs: DataFrame, marks: dict[str, tuple[str, ...]]) -> DataFrame:

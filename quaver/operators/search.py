@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.params import SORTS
-from ..sources.catalog import Catalog
+from . import trigrams
+
+if TYPE_CHECKING:
+    from ..sources.catalog import Catalog
 
 
 def order(sort: str) -> list[Column]:
@@ -37,7 +41,10 @@ def matching(c: Catalog, length: int | None = None, labels: tuple[str, ...] = ()
     out = songs.join(details, songs.song_url == details.url).drop("url")
     wanted = unicodedata.normalize("NFKC", composer).casefold().strip()
     if wanted:
-        hit = c.people.filter((F.col("role") == "composer") & F.col("normalized_name").contains(wanted)).select("song_url").distinct()
+        if c.index:
+            hit = trigrams.songs_of(songs.sparkSession, c.index, wanted)
+        else:
+            hit = c.people.filter((F.col("role") == "composer") & F.col("normalized_name").contains(wanted)).select("song_url").distinct()
         out = out.join(hit, "song_url", "left_semi")
     return out
 
@@ -47,11 +54,21 @@ def composers(people: DataFrame) -> DataFrame:
     return people.filter("role = 'composer'").groupBy("song_url").agg(F.expr("listagg(name, ' / ') WITHIN GROUP (ORDER BY name)").alias("composer_names"))
 
 
+def page(places: DataFrame, parts: DataFrame, limit: int, offset: int) -> DataFrame:
+    """O-17: the rows at places offset + 1 to offset + limit; only the parts that hold them are read, and of these what their statistics leave."""
+    held = parts.filter((F.col("first") <= offset + limit) & (F.col("last") > offset)).select("part").collect()  # the parts of one page
+    return places.filter(F.col("part").isin(*(r.part for r in held)) & F.col("place").between(offset + 1, offset + limit)).drop("part", "place")
+
+
 def search(c: Catalog, sort: str = "popularity", limit: int | None = 50, offset: int = 0, **filters) -> DataFrame:
-    rows = matching(c, **filters)
+    """A page, or all rows; without filters, an order whose places are stored gives its pages by them, however far they are."""
     keys, people = order(sort), c.people
+    rows = page(*c.places[sort], limit, max(0, offset)) if limit is not None and sort in c.places and not any(v not in (None, "", ()) for v in filters.values()) else None
+    if rows is None:
+        rows = matching(c, **filters)
+        if limit is not None:
+            rows = rows.orderBy(*keys).offset(max(0, offset)).limit(limit)
     if limit is not None:  # names are gathered for the songs of the page only, which are few by its limit
-        rows = rows.orderBy(*keys).offset(max(0, offset)).limit(limit)
         people = people.join(F.broadcast(rows.select("song_url")) if limit <= 1000 else rows.select("song_url"), "song_url", "left_semi")
     out = rows.join(composers(people), "song_url", "left")
     return out.orderBy(*keys).select("title", F.coalesce("composer_names", F.lit("")).alias("artist"), "artist_note", "title_length", "song_url", "popularity_label", "popularity_score", "published_year", "sort_order")

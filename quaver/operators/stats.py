@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .selection import medians
+
 if TYPE_CHECKING:
     from ..sources.catalog import Catalog
 
@@ -48,7 +50,9 @@ def bars(counts: DataFrame) -> DataFrame:
 
 def latency(rows: DataFrame, key: str, ms: str) -> DataFrame:
     """A-18: exact minimum, median and maximum, to two digits."""
-    return rows.groupBy(key).agg(F.round(F.min(ms), 2).alias("min_ms"), F.round(F.median(ms), 2).alias("median_ms"), F.round(F.max(ms), 2).alias("max_ms"))
+    ends = rows.groupBy(key).agg(F.round(F.min(ms), 2).alias("min_ms"), F.round(F.max(ms), 2).alias("max_ms"))
+    middle = medians(rows, key, ms).select(F.col(key).alias("_key"), F.round("median", 2).alias("median_ms"))
+    return ends.join(middle, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, "min_ms", "median_ms", "max_ms")
 
 
 def duplicates(rows: DataFrame, *keys: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,19 +62,88 @@ def inserts(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.concat(F.lit(head), F.concat_ws(", ", *values), F.lit(");")).alias("statement"))
 
 
-def dump(tables: dict[str, DataFrame], indexes: dict[str, tuple[str, tuple[str, ...]]] | None = None, metadata: str | None = None, required: tuple[str, ...] = ()) -> DataFrame:
-    """S-18: (step, statement): tables go in reverse order, are created, filled, and indexed by name of the index; foreign keys are not part of it.
+@dataclass(frozen=True)
+class Reference:
+    """Columns of a table that name a row of another by its key; a null names none."""
+
+    columns: tuple[str, ...]
+    table: str
+    key: tuple[str, ...]
+
+
+def dependent_order(tables: list[str], references: dict[str, tuple[Reference, ...]]) -> list[str]:
+    """Tables after those that they refer to, otherwise as given; a table may refer to itself."""
+    left, out = list(tables), []
+    while left:
+        free = [t for t in left if all(r.table in out or r.table == t for r in references.get(t, ()))]
+        if not free:
+            raise ValueError(f"references go round or out of the dump: {', '.join(left)}")
+        out.append(free[0])
+        left.remove(free[0])
+    return out
+
 
-    indexes: name to (table, columns). With ``metadata``, the name of a table of key and value, keys that it lacks raise before anything is made.
+def broken(tables: dict[str, DataFrame], keys: dict[str, tuple[tuple[str, ...], ...]], references: dict[str, tuple[Reference, ...]]) -> DataFrame:
+    """(table, problem, columns, value, n): null or repeated keys, and references to no row; values as JSON."""
+    spark, out = next(iter(tables.values())).sparkSession, None
+
+    def add(table: str, problem: str, columns: tuple[str, ...], rows: DataFrame) -> None:
+        nonlocal out
+        found = rows.select(F.lit(table).alias("table"), F.lit(problem).alias("problem"), F.lit(", ".join(columns)).alias("columns"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value"), "n")
+        out = found if out is None else out.unionByName(found)
+
+    for t, own in keys.items():
+        for columns in own:
+            groups = tables[t].groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+            whole = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in columns])
+            add(t, "null in key", columns, groups.filter(~whole))
+            add(t, "repeated key", columns, groups.filter(whole & (F.col("n") > 1)))
+    for t, own in references.items():
+        for r in own:
+            named = tables[t].groupBy(*r.columns).agg(F.count(F.lit(1)).alias("n"))
+            parents = tables[r.table].select(*(F.col(k).alias(f"_parent_{i}") for i, k in enumerate(r.key))).distinct()
+            same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"_parent_{i}") for i, c in enumerate(r.columns)])
+            add(t, f"no such row of {r.table}", r.columns, named.dropna(how="any", subset=list(r.columns)).join(parents, same, "left_anti"))
+    return out if out is not None else spark.createDataFrame([], "table string, problem string, columns string, value string, n long")
+
+
+def dump(
+    tables: dict[str, DataFrame],
+    indexes: dict[str, tuple[str, tuple[str, ...]]] | None = None,
+    metadata: str | None = None,
+    required: tuple[str, ...] = (),
+    keys: dict[str, tuple[tuple[str, ...], ...]] | None = None,
+    references: dict[str, tuple[Reference, ...]] | None = None,
+) -> DataFrame:
+    """S-18: (step, statement): tables are dropped, created, filled, and indexed by name of the index; those that others refer to come first, and go last.
+
+    indexes: name to (table, columns).  With ``metadata``, the name of a table of key and value, keys that it lacks raise
+    before anything is made.  ``keys`` (the first one is the primary key) and ``references`` become constraints of the
+    tables; rows that break them raise.
     """
+    keys, references = keys or {}, references or {}
+    tables = {t: tables[t] for t in dependent_order(list(tables), references)}
     if metadata is not None:
         have = {r[0] for r in tables[metadata].filter(F.col("key").isin(*required)).select("key").collect()}  # at most the required keys
         if lacking := sorted(set(required) - have):
             raise ValueError(f"metadata lacks {', '.join(lacking)}")
+    for own in references.values():
+        for r in own:
+            if r.key not in keys.get(r.table, ()):
+                raise ValueError(f"{', '.join(r.key)} is no key of {r.table}")
+    if keys or references:
+        found = broken(tables, keys, references).orderBy("table", "problem", "columns", "value").limit(20).collect()  # enough to tell
+        if found:
+            raise ValueError("; ".join(f"{r.table}: {r.problem} {r.value} ({r.n} rows)" for r in found))
     spark = next(iter(tables.values())).sparkSession
+    names = lambda columns: ", ".join(map(quoted, columns))
     lines = [f"DROP TABLE IF EXISTS {quoted(t)};" for t in reversed(tables)]
-    lines += [f"CREATE TABLE {quoted(t)} ({', '.join(f'{quoted(c)} {TYPES.get(k, TEXT)}' for c, k in df.dtypes)});" for t, df in tables.items()]
-    made = [f"CREATE INDEX {quoted(i)} ON {quoted(t)} ({', '.join(map(quoted, columns))});" for i, (t, columns) in sorted((indexes or {}).items())]
+    for t, df in tables.items():
+        parts = [f"{quoted(c)} {TYPES.get(k, TEXT)}" for c, k in df.dtypes]
+        parts += [f"{'UNIQUE' if i else 'PRIMARY KEY'} ({names(k)})" for i, k in enumerate(keys.get(t, ()))]
+        parts += [f"FOREIGN KEY ({names(r.columns)}) REFERENCES {quoted(r.table)} ({names(r.key)}) ON DELETE CASCADE" for r in references.get(t, ())]
+        lines.append(f"CREATE TABLE {quoted(t)} ({', '.join(parts)});")
+    made = [f"CREATE INDEX {quoted(i)} ON {quoted(t)} ({names(columns)});" for i, (t, columns) in sorted((indexes or {}).items())]
     out = spark.createDataFrame([(k, x) for k, x in enumerate(lines)] + [(len(lines) + len(tables) + k, x) for k, x in enumerate(made)], "step int, statement string")
     for k, (t, df) in enumerate(tables.items()):
         out = out.unionByName(inserts(df, t).select(F.lit(len(lines) + k).alias("step"), "statement"))

@@ -7,12 +7,13 @@ the catalog is built, and searches read the columns that they need.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import trigrams
 from ..operators.stats import numbered
 from ..session import shared_folder
 
@@ -26,9 +27,13 @@ NUMBERED_AT_ONCE = 500_000
 
 @dataclass
 class Catalog:
+    """index: where :mod:`trigrams` has indexed the composers; places: all songs by place in an order, and the places of each part (:func:`placed`)."""
+
     songs: DataFrame
     details: DataFrame
     people: DataFrame
+    index: str | None = None
+    places: dict[str, tuple[DataFrame, DataFrame]] = field(default_factory=dict)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,20 +72,52 @@ def _details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(_url("p_partkey").alias("url"), payload.alias("payload_json"), "published_year", version.alias("schema_version"))
 
 
-_stored: dict[tuple[str, str], str] = {}
+_stored: dict[tuple, str] = {}
+_TABLES = (("songs", _songs), ("details", _details), ("people", _people))
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files that the tables are built from: a changed folder is built again."""
+    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    found = []
+    for p in map(at, ("part", "lineitem", "supplier")):
+        each = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listFiles(p, True)
+        while each.hasNext():
+            f = each.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The stored tables; the first call of an application for a folder builds them."""
-    key = spark.sparkContext.applicationId, sf_dir
+    """The stored tables; the first call of an application for a folder, as it is then, builds them."""
+    key = spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir)
     if key not in _stored:
         path = f"{shared_folder(spark)}/quaver/catalog-{uuid.uuid4().hex}"
-        for name, make in (("songs", _songs), ("details", _details), ("people", _people)):
+        for name, make in _TABLES:
             make(spark, sf_dir).write.parquet(f"{path}/{name}")
+        trigrams.build(spark.read.parquet(f"{path}/people"), f"{path}/composers")
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(p)
         _stored[key] = path
-    return Catalog(*(spark.read.parquet(f"{_stored[key]}/{name}") for name in ("songs", "details", "people")))
+    return Catalog(*(spark.read.parquet(f"{_stored[key]}/{name}") for name, _ in _TABLES), index=f"{_stored[key]}/composers")
+
+
+_placed: dict[tuple[str, str], str] = {}
+
+
+def placed(spark: SparkSession, sf_dir: str, sort: str) -> Catalog:
+    """The catalog with all songs stored by their place in one order, for pages far from its start; built by the first call."""
+    from ..operators import search, selection
+
+    c = catalog(spark, sf_dir)
+    root = c.index.removesuffix("/composers")
+    path = f"{root}/places-{sort}"
+    if (root, sort) not in _placed:
+        selection.ranked(search.matching(c), *search.order(sort)).sortWithinPartitions("part", "place").write.partitionBy("part").parquet(path)
+        spark.read.parquet(path).groupBy("part").agg(F.min("place").alias("first"), F.max("place").alias("last")).coalesce(1).write.parquet(f"{root}/parts-{sort}")
+        _placed[root, sort] = path
+    c.places[sort] = spark.read.parquet(path), spark.read.parquet(f"{root}/parts-{sort}")
+    return c
 
 
 def songs(spark: SparkSession, sf_dir: str) -> DataFrame:

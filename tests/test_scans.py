@@ -1,5 +1,9 @@
 """Scans of text against small files."""
 
+import ipaddress
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +27,61 @@ def test_link_failures(spark):
     assert sorted(tuple(r) for r in got) == [("b.md", "repeated heading", "b"), ("c.md", "no link here", ""), ("index.md", "missing file", "gone.md"), ("index.md", "missing heading", "a.md#nine")]
 
 
+def test_documents_out_of_reach(spark):
+    """Circles, a tail behind one, and chains; against a plain walk."""
+    rng = random.Random(1)
+    names = [f"n{k}.md" for k in range(60)] + ["index.md"]
+    links = {n: [names[rng.randrange(61)] for _ in range(rng.choice([0, 1, 1, 2]))] for n in names}
+    links |= {"x.md": ["y.md"], "y.md": ["z.md"], "z.md": ["x.md", "tail.md"], "tail.md": [], "self.md": ["self.md"], "chain.md": [], "index.md": ["n0.md", "n1.md"], "n0.md": ["chain.md"]}
+    docs = spark.createDataFrame([(n, "# T\n" + " ".join(f"[l]({t})" for t in own)) for n, own in links.items()], "name string, text string")
+    steps, todo = {"index.md": 0}, ["index.md"]
+    for n in todo:
+        for t in links[n]:
+            if t not in steps:
+                steps[t] = steps[n] + 1
+                todo.append(t)
+    assert {r.name: r.steps for r in S.reached(docs, ("index.md",)).collect()} == {n: steps.get(n) for n in links}
+    linked = {t for n, own in links.items() for t in own if t != n}
+    got = {r.name for r in S.lost(docs, ("index.md",)).collect()}
+    assert got == {n for n in links if n not in steps and n in linked} and {"x.md", "y.md", "z.md", "tail.md"} <= got and "self.md" not in got
+    assert S.lost(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("value, shown", [
+    ("a@b.1", None), ("a@b.co", "a@b.co"), ("x a.b+c@d-e.f.org.", "a.b+c@d-e.f.org"), ("a@EXAMPLE.COM", "a@EXAMPLE.COM"), ("a@example.com", None), ("a@b.c", None), ("éa@b.de", None), ("é.a@b.de", ".a@b.de"), ("a@b.deü", None), ("a@b.c1.de_x", None), ("-a@b.de", "a@b.de"),
+])
+def test_emails(spark, value, shown):
+    """As Python's own expression finds them."""
+    plain = re.findall(r"\b[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9.-]+\.[A-Za-z]{2,})\b", value)
+    assert [x for x in plain if not x.endswith("@example.com")] == ([shown] if shown else [])
+    got = checks.emails(spark.createDataFrame([(1, f"first\n{value}"), (2, None)], "doc_id long, text string")).collect()
+    assert [tuple(r) for r in got] == ([(1, 2, shown)] if shown else [])
+
+
+def test_public_addresses(spark):
+    """Against the classes of the standard library, at the edges of every network and some random places."""
+    rng = random.Random(3)
+    edges = [n + d for first, size in checks.SPECIAL for n in (first, first + (1 << (32 - size))) for d in (-1, 0, 1)]
+    numbers = [n % 2**32 for n in edges] + [rng.randrange(2**32) for _ in range(300)] + [ipaddress.IPv4Address(x) for x in ("192.0.0.8", "192.0.0.9", "192.0.0.10", "192.0.0.11", "192.0.0.170", "100.64.0.1", "198.51.100.1")]
+    texts = [str(ipaddress.IPv4Address(n)) for n in numbers] + ["8.8.8.08", "08.8.8.8", "256.1.1.1", "8.8.8.0", "0.8.8.8", "8.00.8.8"]
+
+    def public(x):
+        try:
+            a = ipaddress.ip_address(x)
+        except ValueError:
+            return False
+        return not (a.is_private or a.is_loopback or a.is_reserved or a.is_unspecified or a.is_multicast)
+
+    rows = spark.createDataFrame([(x,) for x in texts], "v string").select("v", checks.public_ip(F.col("v")).alias("p")).collect()
+    assert {r.v: r.p for r in rows} == {x: public(x) for x in texts}
+
+
+def test_folding(spark):
+    values = ["TWITTER", "ſite HTTP", "hﬅtp", "ﬀ", "Straße", "ẞ", "X.COM", "公式サイト", "İnstagram", "ŉ", "ẖttp"]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", X.folded(F.col("v")).alias("f")).collect()
+    assert {r.v: r.f for r in rows} == {v: v.casefold() for v in values}
+
+
 @pytest.mark.parametrize("url, part, whole", [("https://w.test/pages/1.html", True, True), ("https://w.test/pages/1.html?x", True, False), ("http://w.test/pages/1.html", False, False), ("https://w.test/pages/a.html", False, False), ("https://v.test/pages/1.html", False, False), ("", False, False)])
 def test_page_url(spark, url, part, whole):
     r = spark.createDataFrame([(url,)], "u string").select(S.page_url(F.col("u"), "w.test").alias("part"), S.page_url(F.col("u"), "w.test", whole=True).alias("whole")).first()
