@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -205,6 +206,30 @@ def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("variant", F.concat_ws("; ", "errors").alias("errors"), F.concat_ws("; ", "warnings").alias("warnings"), "ok")
 
 
+def _made_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for each part, every ninth one whole and the others each with one fault."""
+    good = {"credits": {"composer": ["a"]}, "introduction": ["text"], "videos": {"youtube": [{"id": "x"}]}, "published_year": 2010}
+    faults = [{}, None, {"credits": {}}, {"credits": {"composer": [" "]}}, {"credits": {"composer": ["see HTTPS://x.test"]}}, {"introduction": []}, {"videos": {"youtube": [{"id": ""}]}}, {"published_year": None}, {"published_year": 1999}]
+    payloads = F.array(*[F.lit("{" if x is None else json.dumps(good | x)) for x in faults])
+    k = F.col("p_partkey") % 9
+    return C.read(spark, sf_dir, "part").select(C._url("p_partkey").alias("url"), F.element_at(payloads, (k + 1).cast("int")).alias("payload_json"), F.when(k != 7, 2010).alias("published_year"))
+
+
+_FAULTS = "['', 'invalid_json', 'missing_credits', 'missing_composer', 'suspicious_composer', 'missing_introduction', 'missing_primary_videos', 'missing_published_year', 'suspicious_published_year,published_year_mismatch']"
+
+
+def _bare_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that holds all it must, but no composer, year or thumbnail."""
+    c = C.catalog(spark, sf_dir)
+    details = c.details.select("url", F.lit('{"videos":[{"id":"x","title":"t"}]}').alias("payload_json"), F.lit(None).cast("int").alias("published_year"), F.lit("2").alias("schema_version"))
+    counts = enrich.core_counts(C.Catalog(c.songs, details, c.people.filter("role = 'vocalist'")), "2")
+    n = F.col("n").cast("string")
+    told = F.create_map(F.lit("song_count"), n, F.lit("detail_count"), n, F.lit("schema_version"), F.lit("2"), F.lit("detail_schema_version"), F.lit("2"), F.lit("fetched_at"), F.lit("now"), F.lit("title_length_rule"), F.lit("r"))
+    metadata = c.songs.agg(F.count(F.lit(1)).alias("n")).select(F.explode(told).alias("key", "value"))
+    out = enrich.store_report(counts, metadata, _REQUIRED, {"schema_version": "2", "detail_schema_version": "2"})
+    return out.crossJoin(F.broadcast(counts.select("songs"))).select("songs", F.concat_ws("; ", "errors").alias("errors"), F.concat_ws("; ", "warnings").alias("warnings"), "ok")
+
+
 def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _tags(spark, sf_dir).select("tag", "tag_rank", F.col("position").alias("event_id")).withColumn("page", F.floor(F.col("event_id") / 1000))
     rows = stats.numbered(rows, "tag_order", ["tag"], ["page"], "event_id")
@@ -376,6 +401,8 @@ _DERIVED |= {
     "refresh_counts": (_refresh_counts, f"{_WIKI} SELECT count(*) AS n, count(*) FILTER (WHERE k % 3 < 2) AS records, 3 * count(*) FILTER (WHERE k % 3 < 2) AS entries FROM p"),
     "upsert_counts": (_upsert_counts, "SELECT (SELECT count(*) FROM customer) AS n, 0::BIGINT AS inserted, count(DISTINCT o_custkey) AS replaced FROM orders"),
     "readiness": (_ready, "SELECT variant, strict, variant = 'whole' OR (variant = 'wrong' AND NOT strict) AS ready FROM (VALUES ('whole'), ('lacking'), ('wrong')) v(variant), (VALUES (true), (false)) t(strict)"),
+    "made_row_checks": (lambda s, d: enrich.issues(_made_rows(s, d), 2026).select("url", F.concat_ws(",", "checks").alias("checks")), f"SELECT 'https://catalog.example.test/pages/' || p_partkey || '.html' AS url, {_FAULTS}[p_partkey % 9 + 1] AS checks FROM part WHERE p_partkey % 9 > 0"),
+    "store_warnings": (_bare_store, "SELECT count(*) AS songs, '' AS errors, 'no record has a composer; no record has a year; no video has a thumbnail' AS warnings, true AS ok FROM part"),
     "store_report": (_report, "SELECT variant, CASE variant WHEN 'whole' THEN '' WHEN 'lacking' THEN 'metadata lacks detail_count; metadata lacks detail_schema_version; ' ELSE 'schema_version is 1, not 2; song_count is x but there are ' || n || '; detail_count is 7 but there are ' || n || '; ' END || old || ' details of another version' AS errors, '' AS warnings, false AS ok FROM (VALUES ('whole'), ('lacking'), ('wrong')) v(variant), (SELECT count(*) AS n, count(*) FILTER (WHERE p_partkey % 50 = 0) AS old FROM part)"),
     "core_counts": (lambda s, d: enrich.core_counts(C.catalog(s, d), "2"), f"{C.SQL} SELECT (SELECT count(*) FROM songs) AS songs, (SELECT count(*) FROM details) AS details, (SELECT count(published_year) FROM details) AS with_year, (SELECT count(DISTINCT song_url) FROM people) AS with_composer, (SELECT count(*) FROM details WHERE schema_version <> '2') AS version_mismatch, 0::BIGINT AS invalid, 0::BIGINT AS videos, 0::BIGINT AS related_videos, 0::BIGINT AS with_thumbnail, 0::BIGINT AS with_title, (SELECT count(*) FROM details WHERE url NOT IN (SELECT song_url FROM songs)) AS orphan_details, (SELECT count(*) FROM people WHERE song_url NOT IN (SELECT song_url FROM songs)) AS orphan_people"),
     "content_counts": (_contents, "SELECT count(*) FILTER (WHERE event_id % 4 = 2) AS invalid, 3 * count(*) FILTER (WHERE event_id % 4 = 0) AS videos, count(*) FILTER (WHERE event_id % 4 = 1) AS related_videos, count(*) FILTER (WHERE event_id % 4 < 2) AS with_thumbnail, count(*) FILTER (WHERE event_id % 4 = 0) AS with_title FROM events"),

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 SPACES = r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Characters that look blank and are not counted in titles.
 BLANKS = "".join(map(chr, (0x200B, 0x200C, 0x2060, 0xFEFF, 0x2800)))
+#: Characters that never join their neighbours into one cluster (but CR LF, which is white space): Latin, common punctuation, kana, ideographs.
+SINGLE = "\\x00-\u02FF\u2010-\u2027\u3000-\u3029\u3041-\u3096\u30A0-\u30FF\u4E00-\u9FFF\uFF01-\uFF60"
 
 
 @F.pandas_udf(T.StringType())
@@ -48,7 +50,9 @@ def title_length(c: Column) -> Column:
     # each cluster gets an end mark, uncounted ones go, marks are counted: no array of clusters is made
     marked = F.regexp_replace(F.translate(c, "\x01", "\x02"), r"(\X)", "$1\x01")
     counted = F.regexp_replace(marked, f"(?:^|(?<=\x01))(?:[{SPACES}]+|[{BLANKS}]+)\x01", "")
-    return F.length(counted) - F.length(F.translate(counted, "\x01", ""))
+    slow = F.length(counted) - F.length(F.translate(counted, "\x01", ""))
+    # where every character is a cluster of its own, they are counted without being taken apart
+    return F.when(c.rlike(f"[^{SINGLE}]"), slow).otherwise(F.length(F.regexp_replace(c, f"[{SPACES}]+", "")))
 
 
 def title_parts(c: Column) -> dict[str, Column]:
