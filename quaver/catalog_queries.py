@@ -77,6 +77,7 @@ def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DERIVED: dict[str, tuple[Query, str | None]] = {
     "search_far_page": (lambda s, d: search.search(C.placed(s, d, "title_length_desc"), "title_length_desc", 50, 1200), f"{_search(lead='title_length DESC, ', page='LIMIT 50 OFFSET 1200')}"),
+    "search_far_filtered": (lambda s, d: search.search(C.catalog(s, d), "published_year_desc", 50, 300, 0, labels=("PROMO", "LARGE", "ECONOMY")), _search("popularity_label IN ('PROMO', 'LARGE', 'ECONOMY')", "published_year DESC NULLS LAST, ", "LIMIT 50 OFFSET 300")),
     "search_short_composer": (lambda s, d: search.search(C.catalog(s, d), composer="#0"), _search("EXISTS (SELECT 1 FROM people p WHERE p.song_url = s.song_url AND contains(p.normalized_name, '#0'))")),
     "median_prices": (lambda s, d: selection.medians(C.read(s, d, "lineitem"), "l_returnflag", "l_extendedprice", 500), "SELECT l_returnflag, median(l_extendedprice) AS median FROM lineitem GROUP BY 1"),
     "search_total": (lambda s, d: search.total(C.catalog(s, d), labels=("PROMO",), composer="supplier#00000000"), f"{C.SQL} SELECT count(*) AS total FROM songs s JOIN details d ON s.song_url = d.url WHERE popularity_label = 'PROMO' AND {_COMPOSER}"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
@@ -60,14 +61,38 @@ def page(places: DataFrame, parts: DataFrame, limit: int, offset: int) -> DataFr
     return places.filter(F.col("part").isin(*(r.part for r in held)) & F.col("place").between(offset + 1, offset + limit)).drop("part", "place")
 
 
-def search(c: Catalog, sort: str = "popularity", limit: int | None = 50, offset: int = 0, **filters) -> DataFrame:
-    """A page, or all rows; without filters, an order whose places are stored gives its pages by them, however far they are."""
+#: Rows before a page from which counts are taken first, and works of one popularity that are counted as one group.
+FAR, STEP = 10_000, 100_000
+
+
+def far_page(rows: DataFrame, sort: str, limit: int, offset: int, step: int = STEP) -> DataFrame:
+    """O-17: a page deep in any filtered order: counts by the leading keys tell the groups that hold it, and only those are sorted.
+
+    Groups are values of the leading key and of the popularity, with the order within it cut every ``step`` works; the
+    driver sees one count of each.
+    """
+    lead = {"title_length": "title_length", "published_year": "published_year"}.get(sort.rpartition("_")[0])
+    keys = {"lead": F.col(lead).cast("int") if lead else F.lit(0), "score": F.col("popularity_score"), "part": F.floor(F.col("popularity_order") / step)}
+    counts = rows.groupBy(*(k.alias(n) for n, k in keys.items())).agg(F.count(F.lit(1)).alias("n")).collect()
+    down = -1 if sort.endswith("_desc") else 1
+    before, held = 0, []
+    for g in sorted(counts, key=lambda g: (g.lead is None, down * (g.lead or 0), -g.score, g.part)):
+        if not held and before + g.n <= offset:
+            before += g.n
+        elif not held or before + sum(h.n for h in held) < offset + limit:
+            held.append(g)
+    own = [reduce(lambda x, y: x & y, [k.eqNullSafe(F.lit(g[n])) for n, k in keys.items()]) for g in held]
+    return rows.filter(reduce(lambda x, y: x | y, own, F.lit(False))).orderBy(*order(sort)).offset(offset - before).limit(limit)
+
+
+def search(c: Catalog, sort: str = "popularity", limit: int | None = 50, offset: int = 0, far: int = FAR, **filters) -> DataFrame:
+    """A page, or all rows; without filters, an order whose places are stored gives its pages by them; other pages from ``far`` on are narrowed by counts."""
     keys, people = order(sort), c.people
     rows = page(*c.places[sort], limit, max(0, offset)) if limit is not None and sort in c.places and not any(v not in (None, "", ()) for v in filters.values()) else None
     if rows is None:
         rows = matching(c, **filters)
         if limit is not None:
-            rows = rows.orderBy(*keys).offset(max(0, offset)).limit(limit)
+            rows = far_page(rows, sort, limit, offset) if offset >= far else rows.orderBy(*keys).offset(max(0, offset)).limit(limit)
     if limit is not None:  # names are gathered for the songs of the page only, which are few by its limit
         people = people.join(F.broadcast(rows.select("song_url")) if limit <= 1000 else rows.select("song_url"), "song_url", "left_semi")
     out = rows.join(composers(people), "song_url", "left")

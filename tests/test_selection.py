@@ -56,6 +56,15 @@ def test_pages_by_places(spark, sort):
     assert filtered.collect() == search.search(plain, sort, 5, 2, length=9).collect()
 
 
+@pytest.mark.parametrize("sort", ["popularity", "title_length_asc", "title_length_desc", "published_year_asc", "published_year_desc"])
+def test_far_pages_by_counts(spark, sort):
+    c = C.catalog(spark, DATA)
+    every = [r.song_url for r in search.matching(c).orderBy(*search.order(sort)).collect()]
+    for offset, limit, step in ((0, 10, 7), (33, 50, 7), (190, 50, 1000), (500, 5, 7)):
+        got = search.far_page(search.matching(c), sort, limit, offset, step)
+        assert [r.song_url for r in got.collect()] == every[offset : offset + limit]
+
+
 def test_trigram_index(spark, tmp_path):
     rng = random.Random(2)
     names = ["".join(rng.choices("abcé𝒳 ", k=rng.randrange(0, 9))) for _ in range(200)] + ["aaa", "aaaa", "ab%c_", "x.*y"]
