@@ -13,7 +13,7 @@ A text is the set of its ``N``-word shingles; equal sets are one from the start.
    components are families: every candidate pair lies within one family, so each
    set travels once, however many trees it shares.
 3. Links.  Families are compared on their full sets.  A family of more than
-   ``BLOCK`` sets is dealt out in blocks, and its ``PIVOTS`` smallest sets join
+   ``BLOCK`` sets or ``TOKENS`` shingles is dealt out in blocks, and its ``PIVOTS`` smallest sets join
    every block; whatever reaches the threshold with one of them is connected
    without further work.  Only sets that this leaves apart from the largest part
    of their family are then compared with all blocks of it, so the cost follows
@@ -52,6 +52,8 @@ TREES, DEPTHS, MOST = 16, (2, 3, 4), (64, 512)
 HASHES, AGREE = 128, 80
 #: Sets of one block, and sets that stand in all blocks of their family.
 BLOCK, PIVOTS = 1024, 4
+#: Shingles of one block, as a mean.
+TOKENS = 3_300_000
 #: Sets of one region that are compared by signature at once; a larger one is a family as it stands.
 REGION = 1024
 _RNG = np.random.Generator(np.random.PCG64(12))
@@ -325,6 +327,11 @@ def _to(task: Column, side: int) -> Column:
     return F.struct(task.cast("long").alias("task"), F.lit(side).cast("long").alias("side"))
 
 
+def _blocks(sets: Column, tokens: Column, block: int) -> Column:
+    """How many blocks so many sets and shingles take."""
+    return F.ceil(F.greatest(sets / block, tokens / TOKENS)).cast("long")
+
+
 def _block(of: str) -> Column:
     """Which of so many blocks a set is in."""
     return F.pmod(F.xxhash64("set", F.lit(5)), F.col(of))
@@ -348,9 +355,9 @@ def _rest_links(docs: DataFrame, sets: DataFrame, large: DataFrame, roots: DataF
     """Links of the sets that are apart from the largest part of their family, with all of it; None where there are none."""
     named = large.join(roots.select(F.col("node").alias("set"), F.col("root").alias("label")), "set", "left").withColumn("label", F.coalesce("label", "set"))
     named = written(named)
-    part = named.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"))
-    main = part.groupBy("family").agg(F.max(F.struct("c", "label"))["label"].alias("main"), (F.sum("c") - F.max("c")).alias("apart")).filter("apart > 0")
-    main = written(main.select("family", "main", F.ceil(F.col("apart") / block).cast("long").alias("r")))
+    part = named.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
+    main = part.groupBy("family").agg(F.max(F.struct("c", "label", "t")).alias("m"), F.sum("c").alias("c"), F.sum("t").alias("t")).filter("c > m.c")
+    main = written(main.select("family", F.col("m.label").alias("main"), _blocks(F.col("c") - F.col("m.c"), F.col("t") - F.col("m.t"), block).alias("r")))
     if main.isEmpty():
         return None
     held = named.join(main, "family")
@@ -369,9 +376,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, b
     of = F.min(F.struct("row", "th", "bytes")).alias("of")
     sets = written(sketched.filter("n > 0").groupBy("set", "n").agg(of, F.first("deep").alias("deep"), F.first("sig").alias("sig")).select("set", "n", "of.*", "deep", "sig"))
     families = written(_families(sets, threshold))
-    size = families.groupBy("family").agg(F.count(F.lit(1)).alias("c"))
-    size = written(size.select("family", F.ceil(F.col("c") / block).cast("long").alias("g")))
-    member = written(families.join(size, "family"))
+    sized = families.join(sets.select("set", "n"), "set")
+    size = sized.groupBy("family").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
+    size = written(size.select("family", _blocks(F.col("c"), F.col("t"), block).alias("g")))
+    member = written(sized.join(size, "family"))
     edges = _first_links(rows, sets, member, threshold, n, pivots)
     roots = components(edges)
     rest = _rest_links(rows, sets, member.filter("g > 1"), roots, threshold, n, block)

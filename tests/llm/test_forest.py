@@ -70,9 +70,10 @@ def fixture():
     return rows
 
 
-@pytest.mark.parametrize("block, pivots", [(forest.BLOCK, forest.PIVOTS), (4, 1)])
-def test_components_against_all_pairs(spark, block, pivots):
-    """Also with families dealt out in blocks of four, which chains cross."""
+@pytest.mark.parametrize("block, pivots, tokens", [(forest.BLOCK, forest.PIVOTS, forest.TOKENS), (4, 1, 100)])
+def test_components_against_all_pairs(spark, monkeypatch, block, pivots, tokens):
+    """Also with families dealt out in blocks of two sets and a hundred shingles, which chains cross."""
+    monkeypatch.setattr(forest, "TOKENS", tokens)
     rows = fixture()
     docs = spark.createDataFrame([(i, t, "x", "x", "x", "x") for i, t in rows], "doc_id long, text string, `set` string, row string, n string, part string").repartition(5)
     got = forest.near_duplicates(docs, block=block, pivots=pivots)
