@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .operators import checks, corpus, enrich, pages, scans, search, selection, stats, store
 from .operators.versioned import Commit, Store
-from .session import shared_folder
+from .session import shared_folder, stored
 from .sources import catalog as C
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,9 +153,9 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _refreshed(spark: SparkSession, sf_dir: str) -> tuple[Store, Commit]:
     """Stored records, whose videos take what the services tell."""
-    stored = _own_store(spark)
-    stored.rebuild({"details": (_records(spark, sf_dir), ("url",))})
-    return stored, enrich.refreshed(stored, "details", _answers(spark, sf_dir).filter("title is not null"))
+    kept = _own_store(spark)
+    kept.rebuild({"details": (_records(spark, sf_dir), ("url",))})
+    return kept, enrich.refreshed(kept, "details", _answers(spark, sf_dir).filter("title is not null"))
 
 
 def _applied(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,8 +165,8 @@ def _applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _refresh_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored, done = _refreshed(spark, sf_dir)
-    return stored.snapshot().table("details").agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(done.counts["rows"]).cast("long").alias("records"), F.lit(done.counts["updated"]).cast("long").alias("entries"))
+    kept, done = _refreshed(spark, sf_dir)
+    return kept.snapshot().table("details").agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(done.counts["rows"]).cast("long").alias("records"), F.lit(done.counts["updated"]).cast("long").alias("entries"))
 
 
 _IDS = f"{_WIKI}, ids AS (SELECT 'youtube' AS service, own AS id, k FROM p UNION ALL SELECT 'youtube', other, k FROM p UNION ALL SELECT 'niconico', 'sm' || k, k FROM p)"
@@ -195,14 +195,14 @@ def _per_variant(spark: SparkSession, sf_dir: str, of: Callable[[DataFrame], Dat
 
 
 def _ready(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = stats.scalars(C.catalog(spark, sf_dir)).select("songs", "details")
+    counts = stored(stats.scalars(C.catalog(spark, sf_dir)).select("songs", "details"))  # one row, for six variants
     plain = _per_variant(spark, sf_dir, lambda m: checks.readiness(counts, m, _REQUIRED)).withColumn("strict", F.lit(False))
     strict = _per_variant(spark, sf_dir, lambda m: checks.readiness(counts, m, _REQUIRED, {"schema_version": "2"}, True)).withColumn("strict", F.lit(True))
     return plain.unionByName(strict)
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = enrich.core_counts(C.catalog(spark, sf_dir), "2")
+    counts = stored(enrich.core_counts(C.catalog(spark, sf_dir), "2"))  # one row, for three variants
     out = _per_variant(spark, sf_dir, lambda m: enrich.store_report(counts, m, _REQUIRED, {"schema_version": "2", "detail_schema_version": "2"}))
     return out.select("variant", F.concat_ws("; ", "errors").alias("errors"), F.concat_ws("; ", "warnings").alias("warnings"), "ok")
 
@@ -223,7 +223,7 @@ def _bare_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store that holds all it must, but no composer, year or thumbnail."""
     c = C.catalog(spark, sf_dir)
     details = c.details.select("url", F.lit('{"videos":[{"id":"x","title":"t"}]}').alias("payload_json"), F.lit(None).cast("int").alias("published_year"), F.lit("2").alias("schema_version"))
-    counts = enrich.core_counts(C.Catalog(c.songs, details, c.people.filter("role = 'vocalist'")), "2")
+    counts = stored(enrich.core_counts(C.Catalog(c.songs, details, c.people.filter("role = 'vocalist'")), "2"))
     n = F.col("n").cast("string")
     told = F.create_map(F.lit("song_count"), n, F.lit("detail_count"), n, F.lit("schema_version"), F.lit("2"), F.lit("detail_schema_version"), F.lit("2"), F.lit("fetched_at"), F.lit("now"), F.lit("title_length_rule"), F.lit("r"))
     metadata = c.songs.agg(F.count(F.lit(1)).alias("n")).select(F.explode(told).alias("key", "value"))
@@ -260,9 +260,9 @@ def _customers(spark: SparkSession, sf_dir: str) -> tuple[Store, Commit]:
     """Customers, over which their orders are upserted."""
     old = C.read(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.lit(-1).cast("long").alias("version"))
     new = C.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.concat("o_orderpriority", F.lit(" "), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_orderkey").alias("version"))
-    stored = _own_store(spark)
-    stored.rebuild({"customers": (old, ("c_custkey",))})
-    return stored, stored.upsert("customers", new, "version")
+    kept = _own_store(spark)
+    kept.rebuild({"customers": (old, ("c_custkey",))})
+    return kept, kept.upsert("customers", new, "version")
 
 
 def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,17 +270,17 @@ def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _upsert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored, done = _customers(spark, sf_dir)
-    return stored.snapshot().table("customers").agg(F.count(F.lit(1)).alias("n")).select("n", *(F.lit(v).cast("long").alias(k) for k, v in done.counts.items()))
+    kept, done = _customers(spark, sf_dir)
+    return kept.snapshot().table("customers").agg(F.count(F.lit(1)).alias("n")).select("n", *(F.lit(v).cast("long").alias(k) for k, v in done.counts.items()))
 
 
 def _children(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = C.read(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 3).alias("who"), (F.col("l_linenumber") * 10).alias("note"), "l_linenumber")
     old = lines.filter("l_linenumber = 1").drop("l_linenumber")
-    stored = _own_store(spark)
-    stored.rebuild({"notes": (old, ("l_orderkey",))})
-    stored.replace_children("notes", lines.filter("l_orderkey % 10 = 0"), ("l_orderkey", "who"), "l_linenumber")
-    return stored.snapshot().table("notes")
+    kept = _own_store(spark)
+    kept.rebuild({"notes": (old, ("l_orderkey",))})
+    kept.replace_children("notes", lines.filter("l_orderkey % 10 = 0"), ("l_orderkey", "who"), "l_linenumber")
+    return kept.snapshot().table("notes")
 
 
 def _dump(spark: SparkSession, sf_dir: str) -> DataFrame:
