@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,15 @@ def dropped(spark: SparkSession, paths: list[str]) -> None:
         made.remove(path)
 
 
+def released() -> None:
+    """At the end of a task: give back what its arrays left in the allocators of a worker that other stages use again."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def free(name: str, columns: list[str]) -> str:
     """``name``, with as many underscores behind it as it takes to be no column."""
     taken = {c.lower() for c in columns}

@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import _vec as V
-from ._common import table, written
+from ._common import released, table, written
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
 #: Distinct pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 #: Distinct pre-tokens encoded at once in a slice with too many of them to remember.
 CHUNK = 100_000
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
@@ -254,6 +254,7 @@ def pieces(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), capacity: int =
             take = pa.array(row, pa.int64())
             columns = [b.column(k).take(take) for k in keys] + [pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int64()))] * with_ids, names=[*keys, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+        released()
 
     fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
     return docs.select(*keys, "text").mapInArrow(run, f"{fields}, {PIECES}" + ", ids array<long>" * with_ids)
