@@ -98,8 +98,11 @@ def is_fallback(service: Column, video_id: Column, title: Column, thumbnail: Col
 
 
 def fetch_summary(ids: DataFrame, metadata: DataFrame) -> DataFrame:
-    """A-14: per service, ids, answers that tell something, ids without an answer, fallbacks."""
-    both = ids.join(metadata.withColumn("got", F.lit(True)), ["service", "id"], "left")
+    """A-14: per service, ids, answers that tell something, ids without an answer, fallbacks.
+
+    Metadata are merged, as below: made of texts by functions, they are far larger than the estimate by which Spark would broadcast them.
+    """
+    both = ids.join(metadata.withColumn("got", F.lit(True)).hint("merge"), ["service", "id"], "left")
     weak = is_fallback(F.col("service"), F.col("id"), F.col("title"), F.col("thumbnail_url"))
     return both.groupBy("service").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("got") & ~weak).alias("success"), F.count_if(F.col("got").isNull()).alias("failure"), F.count_if(F.col("got") & weak).alias("fallback"))
 
