@@ -114,7 +114,7 @@ def apply_metadata(details: DataFrame, metadata: DataFrame) -> DataFrame:
     Records must have the form of ``pages.DETAIL``; a payload that is no JSON keeps its text.
     """
     ids = details.select("url", F.explode(F.array_distinct(F.concat(*[F.transform(_strings_of_ids(F.try_parse_json("payload_json"), f"$.{section}.{s}"), _with(s)) for section in SECTIONS for s in SERVICES]))).alias("r")).select("url", "r.*")
-    per_url = ids.join(metadata, ["service", "id"]).groupBy("url").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "service", "id"), F.struct("title", "thumbnail_url")))).alias("found"))
+    per_url = ids.join(metadata.hint("merge"), ["service", "id"]).groupBy("url").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "service", "id"), F.struct("title", "thumbnail_url")))).alias("found"))
     found = lambda service, e: F.try_element_at(F.col("found"), F.concat(F.lit(service + ":"), e["id"]))
 
     def taken(service):
@@ -126,7 +126,7 @@ def apply_metadata(details: DataFrame, metadata: DataFrame) -> DataFrame:
 
         return one
 
-    rows = details.join(per_url, "url", "left").withColumn("d", F.from_json("payload_json", DETAIL))
+    rows = details.join(per_url.hint("merge"), "url", "left").withColumn("d", F.from_json("payload_json", DETAIL))
     counts, record = [], F.col("d")
     for section in SECTIONS:
         for s in SERVICES:

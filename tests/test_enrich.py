@@ -52,6 +52,17 @@ def test_metadata(spark):
     assert u["related_videos"]["niconico"][0]["title"] == "ニコニコ動画"
 
 
+def test_metadata_are_merged_however_small_they_seem(spark, tmp_path, capsys):
+    """Files tell sizes, so that these tables would be broadcast by their estimates."""
+    spark.createDataFrame([("u", '{"videos": {"youtube": [{"id": "a"}]}}')], "url string, payload_json string").write.parquet(str(tmp_path / "details"))
+    spark.createDataFrame([("youtube", "a", "T", "http://t")], "service string, id string, title string, thumbnail_url string").write.parquet(str(tmp_path / "metadata"))
+    details, metadata = (spark.read.parquet(str(tmp_path / t)) for t in ("details", "metadata"))
+    for df in (E.fetch_summary(E.video_ids(details), metadata), E.apply_metadata(details, metadata)):
+        df.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin [service" in plan and "Broadcast" not in plan
+
+
 def test_store_report(spark):
     names = "songs details with_year with_composer orphan_details orphan_people invalid version_mismatch videos with_thumbnail"
     counts = spark.createDataFrame([(2, 1, 0, 1, 1, 0, 0, 3, 2, 0)], ", ".join(f"{x} long" for x in names.split()))
