@@ -143,19 +143,29 @@ def _of(section: str):
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(enrich.video_ids(_records(spark, sf_dir)))
+
+
+def _told(videos: DataFrame) -> DataFrame:
     """What two services might tell of the videos: a third whole, a third broken, a third nothing."""
-    ids = enrich.video_ids(_records(spark, sf_dir)).withColumn("k", F.regexp_extract("id", "([0-9]+)$", 1).cast("long"))
+    ids = videos.withColumn("k", F.regexp_extract("id", "([0-9]+)$", 1).cast("long"))
     niconico = F.concat(F.lit("<r><thumb><title> N "), "k", F.lit("</title><thumbnail_url>https://n.test/"), "k", F.lit("</thumbnail_url></thumb></r>"))
     youtube = F.concat(F.lit('{"title": " T '), "k", F.lit('", "thumbnail_url": "https://t.test/'), "k", F.lit('"}'))
     body = F.when(F.col("k") % 3 == 0, F.when(F.col("service") == "niconico", niconico).otherwise(youtube)).when(F.col("k") % 3 == 1, F.lit("<{"))
     return ids.withColumn("body", body).select("service", "id", enrich.answer("service", "id", "body").alias("r")).select("service", "id", "r.*")
 
 
+def _fetch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = stored(_answers(spark, sf_dir))  # read twice, so that pages are parsed once
+    return enrich.fetch_summary(told.select("service", "id"), told.filter("title is not null"))
+
+
 def _refreshed(spark: SparkSession, sf_dir: str) -> tuple[Store, Commit]:
     """Stored records, whose videos take what the services tell."""
     kept = _own_store(spark)
     kept.rebuild({"details": (_records(spark, sf_dir), ("url",))})
-    return kept, enrich.refreshed(kept, "details", _answers(spark, sf_dir).filter("title is not null"))
+    told = _told(enrich.video_ids(kept.snapshot().table("details")))
+    return kept, enrich.refreshed(kept, "details", told.filter("title is not null"))
 
 
 def _applied(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -397,7 +407,7 @@ _DERIVED |= {
     "wiki_listed": (lambda s, d: pages.listed(C.wiki_tags(s, d)).withColumn("position", F.col("position").cast("long")), "SELECT p_brand AS url, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS position, p_name || ' & ' || p_partkey || ' / x' AS title, 'https://wiki.example.test/w/pages/' || p_partkey || '.html' AS song_url FROM part"),
     "video_ids": (lambda s, d: enrich.video_ids(_records(s, d)), f"{_IDS} SELECT service, id FROM ids"),
     "video_answers": (_answers, f"{_IDS} SELECT service, id, {_TITLE} AS title, {_THUMBNAIL} AS thumbnail_url FROM ids"),
-    "fetch_summary": (lambda s, d: enrich.fetch_summary(_answers(s, d).select("service", "id"), _answers(s, d).filter("title is not null")), f"{_IDS} SELECT service, count(*) AS total, count(*) FILTER (WHERE k % 3 = 0) AS success, count(*) FILTER (WHERE k % 3 = 2) AS failure, count(*) FILTER (WHERE k % 3 = 1) AS fallback FROM ids GROUP BY 1"),
+    "fetch_summary": (_fetch_summary, f"{_IDS} SELECT service, count(*) AS total, count(*) FILTER (WHERE k % 3 = 0) AS success, count(*) FILTER (WHERE k % 3 = 2) AS failure, count(*) FILTER (WHERE k % 3 = 1) AS fallback FROM ids GROUP BY 1"),
     "apply_metadata": (_applied, f"{_WIKI} SELECT url, CASE k % 3 WHEN 0 THEN 'T ' || k WHEN 1 THEN 'YouTube' ELSE 'YouTube ' || own END AS title, CASE k % 3 WHEN 0 THEN 'https://t.test/' || k ELSE 'https://img.youtube.com/vi/' || own || CASE k % 3 WHEN 1 THEN '/mqdefault.jpg' ELSE '/maxresdefault.jpg' END END AS \"first\", CASE k % 3 WHEN 0 THEN 'https://n.test/' || k ELSE 'https://nicovideo.cdn.nimg.jp/thumbnails/' || k || '/' || k || '.L' END AS thumbnail FROM p"),
     "refresh_counts": (_refresh_counts, f"{_WIKI} SELECT count(*) AS n, count(*) FILTER (WHERE k % 3 < 2) AS records, 3 * count(*) FILTER (WHERE k % 3 < 2) AS entries FROM p"),
     "upsert_counts": (_upsert_counts, "SELECT (SELECT count(*) FROM customer) AS n, 0::BIGINT AS inserted, count(DISTINCT o_custkey) AS replaced FROM orders"),
