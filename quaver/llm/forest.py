@@ -54,6 +54,8 @@ HASHES, AGREE = 128, 80
 BLOCK, PIVOTS = 1024, 4
 #: Shingles of one block, as a mean.
 TOKENS = 3_300_000
+#: Bits by which the texts are told that no comparison asks for: 8 MB, whatever the corpus.
+BITS = 1 << 26
 #: Sets of one region that are compared by signature at once; a larger one is a family as it stands.
 REGION = 1024
 _RNG = np.random.Generator(np.random.PCG64(12))
@@ -313,11 +315,21 @@ def _families(sets: DataFrame, threshold: float) -> DataFrame:
     return components(pairs).select(F.col("node").alias("set"), F.col("root").alias("family"))
 
 
+def _asked(docs: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose bit a row of ``of`` has set: all that it names and a few others, so that the rest is not shuffled."""
+    bit = F.pmod(F.xxhash64("row", "th"), F.lit(BITS))
+    word, place = F.shiftright(bit, 15), bit % 32_768  # bitmaps are of 4 KB
+    maps = of.select(word.alias("word"), place.alias("place")).repartition("word").groupBy("word").agg(F.bitmap_construct_agg("place").alias("map"))
+    byte = F.conv(F.hex(F.substring("map", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    held = docs.withColumn("word", word).join(F.broadcast(maps), "word")
+    return held.filter(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (place % 8 + 1).cast("int")).cast("long")) != 0).select(*docs.columns)
+
+
 def _compared(docs: DataFrame, sets: DataFrame, wanted: DataFrame, threshold: float, n: int) -> DataFrame:
     """Edges (a, b) between labels from the tasks of ``wanted`` (set, label, family, to: array of task and side)."""
     of = written(wanted.join(sets.select("set", "row", "th", "bytes"), "set"))
     # rows that repeat id and text are one set in their task
-    full = docs.select("row", "th", "bytes", "text").join(of, ["row", "th", "bytes"]).select("set", "label", "family", "to", "text")
+    full = _asked(docs.select("row", "th", "bytes", "text"), of).join(of, ["row", "th", "bytes"]).select("set", "label", "family", "to", "text")
     sent = full.mapInArrow(_spread(n), "family long, task long, `set` long, label long, side long, tokens binary")
     sent = sent.repartition(4 * parts(docs.sparkSession), "family", "task").sortWithinPartitions("family", "task", "set")
     return written(sent.mapInArrow(_links(threshold), "a long, b long"))

@@ -111,6 +111,17 @@ def test_regions_leave_dense_prefixes(spark, monkeypatch):
                 assert any(members <= h for h in held.values())
 
 
+def test_texts_that_no_comparison_asks_for_stay(spark):
+    """All rows that are asked for pass, and next to no others."""
+    rows = spark.range(20_000).selectExpr("xxhash64(id) AS row", "xxhash64(id, 1) AS th", "id AS bytes", "CAST(id AS string) AS text")
+    for wanted in ("bytes % 50 = 0", "false"):
+        of = rows.filter(wanted).select("row", "th", "bytes")
+        got = forest._asked(rows, of)
+        asked = {r.bytes for r in of.collect()}
+        passed = {r.bytes for r in got.collect()}
+        assert got.columns == rows.columns and asked <= passed and len(passed) <= len(asked) + 20
+
+
 def test_pairs_at_the_threshold_are_neighbours():
     """Random pairs of Jaccard 0.8 share a prefix of four minima in some tree, and agree in enough minima."""
     rng = np.random.default_rng(8)
