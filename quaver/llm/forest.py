@@ -56,6 +56,8 @@ BLOCK, PIVOTS = 1024, 4
 TOKENS = 3_300_000
 #: Bits by which the texts are told that no comparison asks for: 8 MB, whatever the corpus.
 BITS = 1 << 26
+#: Columns that find a set's text: hashes of its id and of itself, and its size.
+TEXT = ("row", "th", "bytes")
 #: Sets of one region that are compared by signature at once; a larger one is a family as it stands.
 REGION = 1024
 _RNG = np.random.Generator(np.random.PCG64(12))
@@ -284,15 +286,15 @@ def _links(threshold: float):
 
 
 def _regions(sets: DataFrame) -> DataFrame:
-    """(region, set, c) of every set with neighbours: at each depth, what is not too dense stays, and the rest goes on."""
+    """(region, set, c, least: its smallest set) of every set with neighbours: at each depth, what is not too dense stays, and the rest goes on."""
     tree = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(*(F.get("deep", t * len(DEPTHS) + d).alias(f"p{d}") for d in range(len(DEPTHS)))))).alias("z")
     rows = sets.select("set", tree).select("set", *(f"z.p{d}" for d in range(len(DEPTHS))))
     out = None
     for d in range(len(DEPTHS)):
-        counts = written(rows.groupBy(f"p{d}").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+        counts = written(rows.groupBy(f"p{d}").agg(F.count(F.lit(1)).alias("c"), F.min("set").alias("least")).filter("c > 1"))
         shared = written(rows.join(counts, f"p{d}"))
         here = shared if d == len(DEPTHS) - 1 else shared.filter(F.col("c") <= MOST[d])
-        here = here.select(F.col(f"p{d}").alias("region"), "set", "c")
+        here = here.select(F.col(f"p{d}").alias("region"), "set", "c", "least")
         out = here if out is None else out.unionByName(here)
         if d < len(DEPTHS) - 1:
             rows = shared.filter(F.col("c") > MOST[d]).select("set", *(f"p{k}" for k in range(d + 1, len(DEPTHS))))
@@ -307,11 +309,9 @@ def _families(sets: DataFrame, threshold: float) -> DataFrame:
     regions = _regions(sets)
     small = regions.filter(F.col("c") <= REGION).groupBy("set").agg(F.collect_list("region").alias("regions"))
     near = sets.select("set", "n", "sig").join(small, "set").select(F.explode("regions").alias("region"), "set", "n", "sig")
-    near = near.repartition(4 * n, "region").sortWithinPartitions("region", "set")
+    near = near.repartition(n, "region").sortWithinPartitions("region", "set")
     pairs = near.mapInArrow(_candidates(threshold), "a long, b long")
-    dense = regions.filter(F.col("c") > REGION).select("region", "set")
-    least = written(dense.groupBy("region").agg(F.min("set").alias("b")))
-    pairs = pairs.unionByName(dense.join(least, "region").select(F.col("set").alias("a"), "b"))
+    pairs = pairs.unionByName(regions.filter(F.col("c") > REGION).select(F.col("set").alias("a"), F.col("least").alias("b")))
     return components(pairs).select(F.col("node").alias("set"), F.col("root").alias("family"))
 
 
@@ -325,13 +325,13 @@ def _asked(docs: DataFrame, of: DataFrame) -> DataFrame:
     return held.filter(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (place % 8 + 1).cast("int")).cast("long")) != 0).select(*docs.columns)
 
 
-def _compared(docs: DataFrame, sets: DataFrame, wanted: DataFrame, threshold: float, n: int) -> DataFrame:
-    """Edges (a, b) between labels from the tasks of ``wanted`` (set, label, family, to: array of task and side)."""
-    of = written(wanted.join(sets.select("set", "row", "th", "bytes"), "set"))
-    # rows that repeat id and text are one set in their task
-    full = _asked(docs.select("row", "th", "bytes", "text"), of).join(of, ["row", "th", "bytes"]).select("set", "label", "family", "to", "text")
+def _compared(docs: DataFrame, wanted: DataFrame, threshold: float, n: int) -> DataFrame:
+    """Edges (a, b) between labels from the tasks of ``wanted`` (set, label, family, row, th, bytes, to: array of task and side)."""
+    of = written(wanted)
+    # rows that repeat id and text, and rows that are wanted twice, are one set in their task
+    full = _asked(docs.select(*TEXT, "text"), of).join(of, [*TEXT]).select("set", "label", "family", "to", "text")
     sent = full.mapInArrow(_spread(n), "family long, task long, `set` long, label long, side long, tokens binary")
-    sent = sent.repartition(4 * parts(docs.sparkSession), "family", "task").sortWithinPartitions("family", "task", "set")
+    sent = sent.repartition(parts(docs.sparkSession), "family", "task").sortWithinPartitions("family", "task", "set")
     return written(sent.mapInArrow(_links(threshold), "a long, b long"))
 
 
@@ -353,17 +353,16 @@ def _each(count: str) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.col(count) - 1)
 
 
-def _first_links(docs: DataFrame, sets: DataFrame, member: DataFrame, threshold: float, n: int, pivots: int) -> DataFrame:
+def _first_links(docs: DataFrame, member: DataFrame, threshold: float, n: int, pivots: int) -> DataFrame:
     """Links within each block of a family, and of all its sets with its pivots."""
-    chosen = [F.min(F.struct(F.xxhash64("set", F.lit(100 + k)).alias("o"), "set"))["set"].alias(f"p{k}") for k in range(pivots)]
-    pivot = member.filter("g > 1").groupBy("family", "g").agg(*chosen).select("family", "g", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(pivots))))).alias("set"))
-    everywhere = pivot.select("set", "family", F.transform(_each("g"), lambda k: _to(k, 3)).alias("to"))
-    own = member.select("set", "family", F.array(_to(_block("g"), 3)).alias("to"))
-    wanted = own.unionByName(everywhere).groupBy("set", "family").agg(F.flatten(F.collect_list("to")).alias("to"))
-    return _compared(docs, sets, wanted.withColumn("label", F.col("set")), threshold, n)
+    chosen = [F.min(F.struct(F.xxhash64("set", F.lit(100 + k)).alias("o"), F.struct("set", *TEXT).alias("p")))["p"].alias(f"p{k}") for k in range(pivots)]
+    pivot = member.filter("g > 1").groupBy("family", "g").agg(*chosen).select("family", "g", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(pivots))))).alias("p")).select("family", "g", "p.*")
+    everywhere = pivot.select("set", "family", *TEXT, F.transform(_each("g"), lambda k: _to(k, 3)).alias("to"))
+    own = member.select("set", "family", *TEXT, F.array(_to(_block("g"), 3)).alias("to"))
+    return _compared(docs, own.unionByName(everywhere).withColumn("label", F.col("set")), threshold, n)
 
 
-def _rest_links(docs: DataFrame, sets: DataFrame, large: DataFrame, roots: DataFrame, threshold: float, n: int, block: int) -> DataFrame | None:
+def _rest_links(docs: DataFrame, large: DataFrame, roots: DataFrame, threshold: float, n: int, block: int) -> DataFrame | None:
     """Links of the sets that are apart from the largest part of their family, with all of it; None where there are none."""
     named = large.join(roots.select(F.col("node").alias("set"), F.col("root").alias("label")), "set", "left").withColumn("label", F.coalesce("label", "set"))
     named = written(named)
@@ -373,10 +372,10 @@ def _rest_links(docs: DataFrame, sets: DataFrame, large: DataFrame, roots: DataF
     if main.isEmpty():
         return None
     held = named.join(main, "family")
-    right = held.select("set", "label", "family", F.transform(_each("r"), lambda i: _to(i * F.col("g") + _block("g"), 2)).alias("to"))
-    left = held.filter("label <> main").select("set", "label", "family", F.transform(_each("g"), lambda j: _to(_block("r") * F.col("g") + j, 1)).alias("to"))
-    wanted = right.unionByName(left).groupBy("set", "family").agg(F.first("label").alias("label"), F.flatten(F.collect_list("to")).alias("to"))
-    return _compared(docs, sets, wanted, threshold, n)
+    right = F.transform(_each("r"), lambda i: _to(i * F.col("g") + _block("g"), 2))
+    left = F.transform(_each("g"), lambda j: _to(_block("r") * F.col("g") + j, 1))
+    to = F.when(F.col("label") != F.col("main"), F.concat(right, left)).otherwise(right)
+    return _compared(docs, held.select("set", "label", "family", *TEXT, to.alias("to")), threshold, n)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
@@ -387,18 +386,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, b
     sketched = written(rows.mapInArrow(run, schema))
     of = F.min(F.struct("row", "th", "bytes")).alias("of")
     sets = written(sketched.filter("n > 0").groupBy("set", "n").agg(of, F.first("deep").alias("deep"), F.first("sig").alias("sig")).select("set", "n", "of.*", "deep", "sig"))
-    families = written(_families(sets, threshold))
-    sized = families.join(sets.select("set", "n"), "set")
+    sized = written(_families(sets, threshold).join(sets.select("set", "n", *TEXT), "set"))
     size = sized.groupBy("family").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
     size = written(size.select("family", _blocks(F.col("c"), F.col("t"), block).alias("g")))
     member = written(sized.join(size, "family"))
-    edges = _first_links(rows, sets, member, threshold, n, pivots)
+    edges = _first_links(rows, member, threshold, n, pivots)
     roots = components(edges)
-    rest = _rest_links(rows, sets, member.filter("g > 1"), roots, threshold, n, block)
+    rest = _rest_links(rows, member.filter("g > 1"), roots, threshold, n, block)
     named = sketched.select("doc_id", F.col("n").alias("n_shingles"), "set").join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
     named = named.select("doc_id", "n_shingles", F.coalesce("root", "set").alias("part"))
     if rest is not None:  # these edges are between components, of which there are few
-        joined = written(components(rest).select(F.col("node").alias("part"), "root"))
+        joined = components(rest).select(F.col("node").alias("part"), "root")
         named = named.join(joined, "part", "left").select("doc_id", "n_shingles", F.coalesce("root", "part").alias("part"))
     named = written(named)
     least = written(named.filter("n_shingles > 0").groupBy("part").agg(F.min("doc_id").alias("least")))

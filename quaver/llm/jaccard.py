@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _vec as V
@@ -259,24 +259,19 @@ def solve(rows: list[tuple], threshold: float, out: list[list]) -> None:
 
 def components(edges: DataFrame, most: int = 50) -> DataFrame:
     """(node, root) of every node of the undirected edges (a, b): alternating large and small stars."""
-    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     for _ in range(most):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.filter("u <> v").distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == state:
-            break
-        state = seen
-    else:
-        raise RuntimeError("components did not settle")
-    roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.join(now.select(F.col("u").alias("node")), "node", "left_anti"))
+        # stored, so that both sides of the join are plain shuffles, which are split where a node is hot
+        near = written(both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x")))
+        # all are stars where every node has larger neighbours only, or a single one
+        if near.filter("m < u AND m < x").isEmpty():
+            return near.select(F.col("u").alias("node"), F.least("u", "m").alias("root"))
+        large = now.join(near.select(F.col("u").alias("v"), F.least("u", "m").alias("m")), "v").select("u", F.col("m").alias("v"))
+        # every edge becomes one at most, so tables never grow
+        small = large.repartition("u").distinct().withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        now = written(small.select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")))
+    raise RuntimeError("components did not settle")
 
 
 def joined(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, runs: int = RUNS, fan: float = FAN, split: int = SPLIT, block: int = BLOCK) -> DataFrame:

@@ -7,8 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from quaver.llm import _common, forest, jaccard
 from quaver.llm import _vec as V
-from quaver.llm import forest
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -136,6 +136,34 @@ def test_pairs_at_the_threshold_are_neighbours():
     assert missed <= 2 and below == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_against_a_walk(spark, seed):
+    """Chains, stars around large and small ids, repeated edges, loops, negative ids."""
+    rng = random.Random(seed)
+    ids = rng.sample(range(-500, 500), 300)
+    edges = [(a, b) for a, b in zip(ids[:40], ids[1:40])]
+    edges += [(max(ids[40:80]), k) for k in ids[40:80]] + [(min(ids[80:120]), k) for k in ids[80:120]]
+    edges += [tuple(rng.sample(ids[120:], 2)) for _ in range(100)]
+    edges += edges[::3] + [(b, a) for a, b in edges[::4]] + [(600, 600)]
+    rng.shuffle(edges)
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = jaccard.components(spark.createDataFrame(edges, "a long, b long").repartition(3))
+    assert sorted(map(tuple, got.collect())) == sorted(root.items())
+
+
+def test_stars_take_no_round(spark):
+    """What is settled is seen from one aggregation: no round confirms it, and nothing is written for the roots."""
+    for edges, tables in (([(9, 1), (1, 8), (7, 2), (7, 2)], 2), ([(3, 1), (3, 2)], 4), ([], 2)):
+        before = len(_common.made)
+        got = jaccard.components(spark.createDataFrame(edges, "a long, b long"))
+        assert len(_common.made) - before == tables
+        assert sorted(map(tuple, got.collect())) == {2: [(1, 1), (2, 1), (3, 1)], 4: [(1, 1), (2, 2), (7, 2), (8, 1), (9, 1)]}.get(len(edges), [])
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_connected_is_exact(seed):
     rng = np.random.default_rng(seed)
