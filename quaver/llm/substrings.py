@@ -14,13 +14,19 @@
 4. A window reaching r bytes right of its anchor can only repeat if a neighbour
    in the array shares r bytes; those windows are matched within the array.
 
+On request it also marks the texts of which ``words`` consecutive words stand in
+another document, however few bytes they have; nothing is removed for that.
+Windows of words have their smallest hash of ``WORD_GRAM`` words as anchor, which
+passes the same count; those at repeated anchors are matched in the merging tasks.
+
 Defined cases: a null or empty text has nothing to remove; texts shorter than
 LENGTH are left whole; repeated rows are documents like any other, so each of
 them loses whatever repeats; a null id is kept; bytes may be cut inside a code
 point, as texts are bytes here; a very long text is read whole, as a slice
 of its own; an empty table gives an empty result; ids are whole numbers; extra
 columns, whatever their names, are ignored.  Equal texts, grams and windows are
-found by 64-bit hashes.
+found by 64-bit hashes, windows of words at one anchor by 40 bits.  Words are cut
+at ASCII white space and compared as they stand.
 """
 
 from __future__ import annotations
@@ -38,9 +44,12 @@ from ._common import parts, table, written
 from .decontaminate import merged
 
 LENGTH, GRAM = 400, 256
+#: A passage of over 50 words, and the words of its anchor.
+WORDS, WORD_GRAM = 51, 20
 #: Suffixes that one merging task gets, as a mean.
 ROUTE_SUFFIXES = 50_000
 _LOW = np.uint64((1 << 24) - 1)
+_FORTY = np.uint64((1 << 40) - 1)
 _CHUNK = 1 << 23
 _NONE = -(1 << 63)
 
@@ -65,19 +74,34 @@ def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     return tuple(np.concatenate(out, 1))
 
 
-def _grams(length: int, gram: int):
+def word_windows(buf: np.ndarray, off: np.ndarray, words: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor's hash, hash) of each window of ``words`` words of one slice, and where those of each document begin."""
+    none = np.zeros(0, np.uint64)
+    least, windows, doc = none, none, np.zeros(0, np.int64)
+    if words:
+        start, end, of = V.runs(buf, off, V.TOKEN)
+        if len(start) >= words:
+            h, gram = V.Hasher(buf).spans(start, end), min(WORD_GRAM, words)
+            ok = np.flatnonzero(V.cuts(len(h), V.per_doc(of, len(off) - 1), words)[: len(h) - words + 1])
+            least, windows, doc = V.window_min(V.combine(h, gram), words - gram + 1)[ok], V.combine(h, words)[ok], of[ok]
+    return least.view(np.int64), windows, V.per_doc(doc, len(off) - 1)
+
+
+def _grams(length: int, gram: int, words: int | None):
     def run(batches):
         for b in batches:
-            lists = []
+            lists, long = [], []
             for _, _, buf, off in V.slices(b.column("text")):
                 h, p, _, _ = anchors(buf, off, length, gram)
                 bound = np.searchsorted(p, off)
+                least, _, first = word_windows(buf, off, words)
+                long += (np.diff(first) > 0).tolist()
                 for d in range(len(off) - 1):
                     # a gram that repeats within a text is listed twice, however often it does
                     one, count = np.unique(h[bound[d] : bound[d + 1]], return_counts=True)
-                    lists.append(np.r_[one, one[count > 1]])
+                    lists.append(np.r_[one, one[count > 1], np.unique(least[first[d] : first[d + 1]])])
             if lists:
-                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("th"), b.column("n"), pa.array(lists, pa.list_(pa.int64()))], names=["key", "th", "n", "hs"])
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("th"), b.column("n"), pa.array(long, pa.bool_()), pa.array(lists, pa.list_(pa.int64()))], names=["key", "th", "n", "long", "hs"])
 
     return run
 
@@ -196,15 +220,69 @@ def joined(done: list[tuple]) -> list[tuple]:
     return out
 
 
-def _runs(length: int, gram: int, routes: int):
+_TEXT = [("key", "<i8"), ("th", "<i8"), ("n", "<i8"), ("shared", "?")]
+_ANCHOR = [("h", "<i8"), ("text", "<u4"), ("windows", "<u4")]
+
+
+class WordRun:
+    """Windows of words at repeated anchors, of the texts that one task sends to one route."""
+
+    def __init__(self):
+        self.texts: list[list] = []
+        self.anchors: list[tuple] = []
+        self.body: list[bytes] = []
+        self.seen: dict[tuple[int, bytes], int] = {}
+
+    def add(self, text: tuple, h: np.ndarray, windows: np.ndarray) -> None:
+        t = len(self.texts)
+        self.texts.append([*text, False])
+        ends = np.r_[np.flatnonzero(np.r_[True, h[1:] != h[:-1]]), len(h)].tolist()
+        low = np.ascontiguousarray(windows.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
+        for a, z in zip(ends, ends[1:]):
+            key = int(h[a]), low[a:z].tobytes()
+            before = self.seen.setdefault(key, t)
+            if before == t:
+                self.anchors.append((key[0], t, z - a))
+                self.body.append(key[1])
+            else:  # equal contexts share all their windows; the first stands for both
+                self.texts[before][3] = self.texts[t][3] = True
+
+    def encoded(self) -> bytes:
+        head = np.array([len(self.texts), len(self.anchors)], "<i8").tobytes()
+        return b"".join([head, np.array([tuple(x) for x in self.texts], _TEXT).tobytes(), np.array(self.anchors, _ANCHOR).tobytes(), *self.body])
+
+
+def sharing(raws: list[bytes]) -> np.ndarray:
+    """The texts of these word runs that share a window with another text."""
+    texts, who, keys, at = [np.zeros(0, _TEXT)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    for raw in raws:
+        n, m = np.frombuffer(raw, "<i8", 2).tolist()
+        own = np.frombuffer(raw, _TEXT, n, 16)
+        anchor = np.frombuffer(raw, _ANCHOR, m, 16 + own.nbytes)
+        low = np.zeros((int(anchor["windows"].sum()), 8), np.uint8)
+        low[:, :5] = np.frombuffer(raw, np.uint8, 5 * len(low), 16 + own.nbytes + anchor.nbytes).reshape(-1, 5)
+        texts.append(own)
+        who.append(np.repeat(anchor["text"].astype(np.int64) + at, anchor["windows"]))
+        keys.append(V.mix(low.view("<u8").ravel() ^ V.mix(np.repeat(anchor["h"], anchor["windows"]).view(np.uint64))))
+        at += n
+    every, of = np.concatenate(texts), np.concatenate(who)
+    shared = every["shared"].copy()
+    _, back, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    shared[of[count[back] > 1]] = True
+    return every[shared]
+
+
+def _runs(length: int, gram: int, routes: int, words: int | None):
     def run(batches):
         for b in batches:
             per: dict[int, list[tuple]] = {}
+            by_words: dict[int, WordRun] = {}
             keys, ths, ns, copies = (b.column(c).to_pylist() for c in ("key", "th", "n", "copies"))
             wanted = b.column("hs")
             for i, j, buf, off in V.slices(b.column("text")):
                 h, p, a, z = anchors(buf, off, length, gram)
                 bound, raw = np.searchsorted(p, off), buf.tobytes()
+                least, windows, first = word_windows(buf, off, words)
                 for d in range(j - i):
                     r = i + d
                     own = slice(bound[d], bound[d + 1])
@@ -213,7 +291,17 @@ def _runs(length: int, gram: int, routes: int):
                     for k in hit.tolist():
                         route = int(h[k]) % routes
                         per.setdefault(route, []).append((raw[p[k] : z[k] + length], raw[a[k] : p[k]], 2 if copies[r] > 1 else 1, keys[r], ths[r], ns[r], int(a[k]) - o))
-            out: list[list] = [[], []]
+                    lh, lw = least[first[d] : first[d + 1]], windows[first[d] : first[d + 1]] & _FORTY
+                    hits = np.flatnonzero(np.isin(lh, wanted[r].values.to_numpy()))
+                    # by route and anchor, each window once
+                    hits = hits[np.lexsort((lw[hits], lh[hits], lh[hits] % routes))]
+                    lh, lw = lh[hits], lw[hits]
+                    once = np.flatnonzero(np.r_[True, (lh[1:] != lh[:-1]) | (lw[1:] != lw[:-1])][: len(lh)])
+                    lh, lw = lh[once], lw[once]
+                    ends = np.r_[np.flatnonzero(np.r_[True, (lh % routes)[1:] != (lh % routes)[:-1]][: len(lh)]), len(lh)].tolist()
+                    for x, y in zip(ends, ends[1:]):
+                        by_words.setdefault(int(lh[x]) % routes, WordRun()).add((keys[r], ths[r], ns[r]), lh[x:y], lw[x:y])
+            out: list[list] = [[], [], []]
             for route, items in per.items():
                 items.sort()
                 kept, done, k = [], [], 0
@@ -229,7 +317,12 @@ def _runs(length: int, gram: int, routes: int):
                     k = e
                 out[0].append(route)
                 out[1].append(encode_run(kept, joined(done)))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["route", "run"])
+                out[2].append(None)
+            for route, found in by_words.items():
+                out[0].append(route)
+                out[1].append(None)
+                out[2].append(found.encoded())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["route", "run", "words"])
 
     return run
 
@@ -237,7 +330,7 @@ def _runs(length: int, gram: int, routes: int):
 def _merge(length: int, gram: int):
     def run(t):
         done, order, shared = [], [], []
-        decoded = [decode_run(x) for x in t.column("run").to_pylist()]
+        decoded = [decode_run(x) for x in t.column("run").to_pylist() if x is not None]
         for r, k, same in LoserTree([(d[2], d[0]["lcp"].tolist()) for d in decoded]):
             order.append((r, k))
             shared.append(same)
@@ -269,7 +362,12 @@ def _merge(length: int, gram: int):
                         got[c] = own[c]
                     got["s"], got["e"] = own["a"] + o[new], own["a"] + o[last] + length
                     done.append(got)
-        every = np.concatenate(done) if done else np.zeros(0, _DONE)
+        shared = sharing([x for x in t.column("words").to_pylist() if x is not None])
+        marks = np.zeros(len(shared), _DONE)
+        for c in ("key", "th", "n"):
+            marks[c] = shared[c]
+        marks["s"] = marks["e"] = -1
+        every = np.concatenate([*done, marks])
         return pa.table({c: np.ascontiguousarray(every[c]) for c in ("key", "th", "n", "s", "e")})
 
     return run
@@ -281,12 +379,13 @@ def _keyed(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return docs.select(*keep, key.alias("key"), F.xxhash64(text).alias("th"), F.octet_length(text).cast("long").alias("n"), "text")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, text, and spans: array of (s, e) byte intervals to remove (null for none), which may overlap."""
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = ("doc_id",), words: int | None = None) -> DataFrame:
+    """``keep``, text, spans: array of (s, e) byte intervals to remove (null for none), which may overlap, and shared: whether
+    that many consecutive words stand in another document."""
     spark = docs.sparkSession
     n = parts(spark)
     keyed = _keyed(docs, keep)
-    per_doc = written(keyed.select("key", "th", "n", "text").mapInArrow(_grams(length, gram), "key long, th long, n long, hs array<long>"))
+    per_doc = written(keyed.select("key", "th", "n", "text").mapInArrow(_grams(length, gram, words), "key long, th long, n long, long boolean, hs array<long>"))
     texts = written(per_doc.groupBy("th", "n").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("hs").alias("hs")))
     grams = texts.select("key", "th", "n", "copies", F.explode("hs").alias("h"))
     # stored, so that both sides of the join are plain shuffles, which are split where a gram is hot
@@ -295,12 +394,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tuple
     n_suffixes = wanted.agg(F.coalesce(F.sum(F.size("hs")), F.lit(0))).first()[0]
     routes = max(4 * n, -(-n_suffixes // ROUTE_SUFFIXES))
     by_key = keyed.repartition(n, "key", "th", "n")
-    runs = by_key.select("key", "th", "n", "text").join(wanted, ["key", "th", "n"]).mapInArrow(_runs(length, gram, routes), "route long, run binary")
+    runs = by_key.select("key", "th", "n", "text").join(wanted, ["key", "th", "n"]).mapInArrow(_runs(length, gram, routes, words), "route long, run binary, words binary")
     passages = runs.groupBy("route").applyInArrow(_merge(length, gram), "key long, th long, n long, s long, e long")
-    twice = texts.filter((F.col("copies") > 1) & (F.col("n") >= length)).select("th", "n")
-    whole = per_doc.select("key", "th", "n").join(twice, ["th", "n"], "left_semi").select("key", "th", "n", F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))
+    twice = texts.filter("copies > 1").select("th", "n")
+    copied = per_doc.filter((F.col("n") >= length) | F.col("long")).select("key", "th", "n", "long").join(twice, ["th", "n"], "left_semi")
+    span = lambda s, e: F.struct(F.lit(s).cast("long").alias("s"), F.lit(e).cast("long").alias("e"))
+    both = F.array(F.when(F.col("n") >= length, span(0, F.col("n"))), F.when(F.col("long"), span(-1, -1)))
+    whole = copied.select("key", "th", "n", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("x")).select("key", "th", "n", "x.s", "x.e")
     spans = passages.unionByName(whole).groupBy("key", "th", "n").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    return by_key.join(spans, ["key", "th", "n"], "left").select(*keep, "text", "spans")
+    shared = F.coalesce(F.exists("spans", lambda x: x["s"] < 0), F.lit(False)).alias("shared")
+    return by_key.join(spans, ["key", "th", "n"], "left").select(*keep, "text", F.filter("spans", lambda x: x["s"] >= 0).alias("spans"), shared)
 
 
 def _cut(raw: bytes, spans) -> tuple[bytes, list[list[int]]]:
@@ -312,22 +415,23 @@ def _cut(raw: bytes, spans) -> tuple[bytes, list[list[int]]]:
     return b"".join([raw[ends[k] : ends[k + 1]] for k in range(0, len(ends), 2)]), runs
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, n_bytes, n_removed, n_spans, kept (binary) and kept_sha256."""
+def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = ("doc_id",), words: int | None = None) -> DataFrame:
+    """``keep``, n_bytes, n_removed, n_spans, kept (binary) and kept_sha256; with ``words`` also shared, as :func:`repeats` has it."""
+    more = ("shared",) if words else ()
 
     def run(batches):
         for b in batches:
             rows = [_cut((t or "").encode(), s) for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist())]
             sizes = [len((t or "").encode()) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in keep), pa.array(sizes, pa.int64()), pa.array([n - len(k) for n, (k, _) in zip(sizes, rows)], pa.int64()), pa.array([len(r) for _, r in rows], pa.int64()), pa.array([k for k, _ in rows], pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k, _ in rows], pa.string())],
-                names=[*keep, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
+                [*(b.column(c) for c in keep), pa.array(sizes, pa.int64()), pa.array([n - len(k) for n, (k, _) in zip(sizes, rows)], pa.int64()), pa.array([len(r) for _, r in rows], pa.int64()), pa.array([k for k, _ in rows], pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k, _ in rows], pa.string()), *(b.column(c) for c in more)],
+                names=[*keep, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", *more],
             )
 
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return repeats(docs, length, gram, keep).mapInArrow(run, fields + "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return repeats(docs, length, gram, keep, words).mapInArrow(run, fields + "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string" + (", shared boolean" if words else ""))
 
 
 def op3_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = deduplicated(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), (F.col("n_removed") > 0).alias("changed"))
+    found = deduplicated(table(spark, sf_dir, "documents"), words=WORDS)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), (F.col("n_removed") > 0).alias("changed"), F.col("shared").alias("shares_51_words"))

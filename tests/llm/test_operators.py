@@ -129,6 +129,24 @@ def test_repeated_passages(spark):
     assert got == brute_removed([(t or "").encode() for t in texts])
 
 
+def test_passages_of_words_in_other_documents(spark):
+    # 51 words of fewer than 400 bytes stay, as the contract asks, and are marked; 50 words are not
+    short = " ".join(prose(51, 31).split())
+    assert len(short) < 400
+    fifty, long, own = short.rsplit(" ", 1)[0], prose(120, 32), prose(60, 33)
+    texts = [prose(90, 34) + " " + short + "\n" + prose(40, 35), "x " + short.replace(" ", " \t", 3), prose(70, 36) + " " + fifty + " " + prose(9, 37), long, prose(30, 38) + " " + long, own + " " + own, None, "", fifty, fifty, short[1:], prose(55, 39), "q " * 60, "q " * 51]
+    texts += [prose(51, 40)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    windows = [{tuple(w[k : k + 51]) for k in range(len(w) - 50)} for w in (re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts)]
+    held = Counter(x for own in windows for x in own)
+    for n in (1, 5):
+        rows = sorted(substrings.deduplicated(docs.repartition(n), words=51).drop("kept").collect())
+        assert [r.shared for r in rows] == [any(held[x] > 1 for x in own) for own in windows]
+        assert [tuple(r)[1:5] for r in rows] == brute_removed([(t or "").encode() for t in texts])
+    assert [r.doc_id for r in rows if r.shared] == [0, 1, 3, 4, 12, 13, 14, 15]
+    assert [r.n_removed for r in rows][:2] == [0, 0]
+
+
 def test_repeated_passages_edges(spark, odd):
     assert substrings.deduplicated(odd).count() == 9
     assert substrings.deduplicated(odd.limit(0)).count() == 0
